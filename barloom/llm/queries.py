@@ -6,16 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import pii
+from barloom.llm import packing, pii, secrets, simhash
 from barloom.llm.common import table
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets_report(table(spark, sf_dir, "documents"))
+
+
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_report(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_pii": op9_pii}
+    return {
+        "op2_packing": op2_packing,
+        "op3_secrets": op3_secrets,
+        "op9_pii": op9_pii,
+        "op10_simhash": op10_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

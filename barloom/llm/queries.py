@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import packing, pii, secrets, simhash
+from barloom.llm import line_templates, packing, pii, secrets, simhash
 from barloom.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets_report(table(spark, sf_dir, "documents"))
 
 
+def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.line_report(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(table(spark, sf_dir, "documents"))
 
@@ -30,10 +34,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": op2_packing,
         "op3_secrets": op3_secrets,
+        "op4_line_templates": op4_line_templates,
         "op9_pii": op9_pii,
         "op10_simhash": op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_pii": pii.sql_for()}
+    return {"op4_line_templates": line_templates.sql_for(), "op9_pii": pii.sql_for()}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import line_templates, packing, pii, quality, secrets, simhash
+from barloom.llm import language, line_templates, packing, pii, quality, secrets, simhash
 from barloom.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language_report(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": op2_packing,
         "op3_secrets": op3_secrets,
         "op4_line_templates": op4_line_templates,
+        "op5_language": op5_language,
         "op9_pii": op9_pii,
         "op10_simhash": op10_simhash,
     }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import language, line_templates, packing, pii, quality, secrets, simhash
+from barloom.llm import imatch, language, line_templates, packing, pii, quality, secrets, simhash
 from barloom.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(table(spark, sf_dir, "documents"))
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.imatch_report(table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secrets": op3_secrets,
         "op4_line_templates": op4_line_templates,
         "op5_language": op5_language,
+        "op8_imatch": op8_imatch,
         "op9_pii": op9_pii,
         "op10_simhash": op10_simhash,
     }

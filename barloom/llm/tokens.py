@@ -50,7 +50,7 @@ class Memo:
 
     def learn(self, parts: list[str]) -> None:
         """Make sure that all of ``parts`` are known."""
-        new = list(set(parts) - self.known.keys())
+        new = [c for c in set(parts) if c not in self.known]
         if len(self.known) + len(new) > self.most:
             self.known.clear()
             new = list(set(parts))

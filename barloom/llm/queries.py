@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import ann, imatch, language, line_templates, packing, pii, quality, secrets, simhash
+from barloom.llm import ann, bpe, imatch, language, line_templates, packing, pii, quality, secrets, simhash
 from barloom.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(table(spark, sf_dir, "documents"))
 
 
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_report(table(spark, sf_dir, "documents"))
+
+
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_report(table(spark, sf_dir, "embeddings"))
 
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secrets": op3_secrets,
         "op4_line_templates": op4_line_templates,
         "op5_language": op5_language,
+        "op6_bpe": op6_bpe,
         "op7_neighbours": op7_neighbours,
         "op8_imatch": op8_imatch,
         "op9_pii": op9_pii,

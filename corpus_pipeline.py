@@ -1,5 +1,68 @@
-"""Corpus cleaning pipeline."""
-STAGES = []
+"""From raw documents to packed training sequences, stage by stage.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and
+returns a DataFrame, which ``run`` writes as Parquet in the shared folder and
+reads again for the next stage. All but the last return the columns of
+``documents``.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barloom.llm import line_templates, packing, quality, secrets, simhash
+from barloom.llm.common import shared_dir, table
+
+
+def _recount(docs: DataFrame) -> DataFrame:
+    """n_chars after texts have changed."""
+    return docs.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+
+
+def keep_good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the co-trained classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of templates that an earlier document has go; documents stay."""
+    return _recount(line_templates.drop_recurring_lines(docs))
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-copies stays, the one with the smallest id."""
+    return simhash.keep_first_of_each(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked where they stand; documents stay."""
+    return _recount(secrets.redact_secrets(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their places in training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", keep_good_quality),
+    ("line_dedup", drop_repeated_lines),
+    ("near_dedup", keep_one_of_near_copies),
+    ("secrets", mask_secrets),
+    ("packing", pack_sequences),
+]
+
+#: Learning and tokenising have no SQL form; tests/llm/test_pipeline.py compares with a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

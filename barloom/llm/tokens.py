@@ -17,6 +17,11 @@ ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
+#: Marks that end a chunk whose last letter is one of LETTERS: the vocabulary splits between them.
+TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+LETTERS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -42,25 +47,59 @@ def chunks(text: str) -> list[str]:
     return text.split()
 
 
+def folded(text: str) -> str:
+    """The text in lower case where that surely changes no id; the vocabulary folds case itself.
+
+    So it is for Latin-1 texts without the opening of a special string: special
+    strings are matched before case is folded.
+    """
+    if "<|" in text:
+        return text
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class Memo:
-    """Chunk to its ids as little-endian unsigned 32-bit bytes; forgets all when full."""
+    """Chunk to its ids as little-endian unsigned 32-bit bytes.
+
+    Two generations: when the younger is full it becomes the older, from which
+    chunks that are still met come back, so the frequent ones stay known.
+    """
 
     def __init__(self, path: str, most: int = 400_000):
-        self.tokenizer, self.most, self.known = library_tokenizer(path), most, {}
+        self.tokenizer, self.most, self.known, self.older = library_tokenizer(path), most, {}, {}
 
     def learn(self, parts: list[str]) -> None:
         """Make sure that all of ``parts`` are known."""
-        new = [c for c in set(parts) if c not in self.known]
-        if len(self.known) + len(new) > self.most:
-            self.known.clear()
-            new = list(set(parts))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        wanted = {c for c in parts if c not in self.known}
+        if len(self.known) + len(wanted) > self.most:
+            self.older, self.known = self.known, {}
+            wanted = set(parts)
+        new, with_tail = set(), []
+        for c in wanted:
+            ids = self.older.get(c)
+            if ids is not None:
+                self.known[c] = ids
+                continue
+            core = c.rstrip(TAIL)
+            if core != c and core and core[-1] in LETTERS:
+                with_tail.append((c, core, c[len(core) :]))
+                new.update(x for x in (core, c[len(core) :]) if x not in self.known)
+            else:
+                new.add(c)
+        listed = list(new)
+        for at in range(0, len(listed), 20_000):
+            part = listed[at : at + 20_000]
             for chunk, made in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.known[chunk] = array("I", made.ids).tobytes()
+        for c, core, tail in with_tail:  # letters and such marks never share a token
+            self.known[c] = self.known[core] + self.known[tail]
 
     def encode(self, text: str) -> bytes:
-        parts = chunks(text)
+        parts = chunks(folded(text))
         try:
             return b"".join(map(self.known.__getitem__, parts))
         except KeyError:

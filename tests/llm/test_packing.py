@@ -14,12 +14,19 @@ def library_ids(text):
     return t.encode(text or "", add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("text", [*TEXTS, "a\x85b\xa0c d  e　f", "<|startoftext|>Aé <|endoftext|>", "é ́a", "日本 語１２", "\x1c \x1d"])
+@pytest.mark.parametrize("text", [*TEXTS, "a\x85b\xa0c d  e　f", "<|startoftext|>Aé <|endoftext|>", "é ́a", "日本 語１２", "\x1c \x1d", "ÀÉ THE <|ENDOFTEXT|> İS", "ÀÉÞ THE The the µ ÿ", "ΑΣ ΟΔΟΣ Ω K"])
 def test_memo_is_the_library(text):
     made = tokens.Memo(tokens.default_vocabulary(), most=3).encode(text or "")
     assert list(struct.unpack(f"<{len(made) // 4}I", made)) == library_ids(text)
 
 
+def test_memo_of_two_generations():
+    memo = tokens.Memo(tokens.default_vocabulary(), most=4)
+    for text in ("a b c", "a d e", "a b f g h i", "a b", "c d e f g h i"):
+        made = memo.encode(text)
+        assert list(struct.unpack(f"<{len(made) // 4}I", made)) == library_ids(text)
+
+
 def test_best_fit_decreasing_is_the_plain_rule():
     rng = np.random.default_rng(1)
     for size in (7, 64, 100):

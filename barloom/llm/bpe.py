@@ -59,8 +59,24 @@ def blocked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return spark.table(name)
 
 
+def words_of(text: str) -> list[str]:
+    return tokens.chunks(tokens.folded(text))
+
+
+def squeezed(items: list[str]) -> bytes:
+    return zlib.compress("\n".join(items).encode("utf-8", "surrogatepass"), 3)
+
+
+def listed_in(data: bytes) -> list[str]:
+    """Undoes ``squeezed`` for a list that isn't empty; words hold no line break."""
+    return zlib.decompress(data).decode("utf-8", "surrogatepass").split("\n")
+
+
 def word_table(blocks: DataFrame, vocabulary: str) -> DataFrame:
-    """(block, words, ids): for each block its distinct words and their ids as text, in several rows."""
+    """(block, words, ids): for each block its distinct words and their ids, in several rows.
+
+    Both columns are compressed lists, since they are what is shuffled.
+    """
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +88,7 @@ def word_table(blocks: DataFrame, vocabulary: str) -> DataFrame:
                 for w in words:
                     dealt.setdefault(zlib.crc32(w.encode("utf-8", "surrogatepass")) % parts, []).append(w)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(dealt, pa.int32()), pa.array([block] * len(dealt), pa.int64()), pa.array([sorted(d) for d in dealt.values()], pa.list_(pa.string()))],
+                    [pa.array(dealt, pa.int32()), pa.array([block] * len(dealt), pa.int64()), pa.array([squeezed(sorted(d)) for d in dealt.values()], pa.binary())],
                     names=["p", "block", "words"],
                 )
             seen.clear()
@@ -81,7 +97,7 @@ def word_table(blocks: DataFrame, vocabulary: str) -> DataFrame:
             for block, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if block not in seen and len(seen) >= 2:  # rows of a block lie together
                     yield from flush()
-                seen.setdefault(block, set()).update(tokens.chunks(text))
+                seen.setdefault(block, set()).update(words_of(text))
         yield from flush()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,17 +105,17 @@ def word_table(blocks: DataFrame, vocabulary: str) -> DataFrame:
         tokenizer = tokens.library_tokenizer(vocabulary)
         for batch in batches:
             for k in range(batch.num_rows):
-                words = batch.column(2)[k].as_py()
+                words = listed_in(batch.column(2)[k].as_py())
                 new = [w for w in words if w not in known]
                 for at in range(0, len(new), 20_000):
                     part = new[at : at + 20_000]
                     for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                         known[w] = " ".join(map(str, e.ids))
-                ids = [known[w] for w in words]
-                yield pa.RecordBatch.from_arrays([batch.column(1)[k : k + 1], batch.column(2)[k : k + 1], pa.array([ids], pa.list_(pa.string()))], names=["block", "words", "ids"])
+                ids = squeezed([known[w] for w in words])
+                yield pa.RecordBatch.from_arrays([batch.column(1)[k : k + 1], batch.column(2)[k : k + 1], pa.array([ids], pa.binary())], names=["block", "words", "ids"])
 
-    listed = blocks.select("block", "text").mapInArrow(distinct, "p int, block long, words array<string>")
-    return listed.repartition(parts, "p").mapInArrow(encode, "block long, words array<string>, ids array<string>")
+    listed = blocks.select("block", "text").mapInArrow(distinct, "p int, block long, words binary")
+    return listed.repartition(parts, "p").mapInArrow(encode, "block long, words binary, ids binary")
 
 
 def pieces(vocabulary: str) -> list[str]:
@@ -116,7 +132,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, vocabulary: str | None,
     def assemble(mine: pa.Table, table: pa.Table) -> pa.Table:
         of: dict[str, str] = {}
         for words, ids in zip(table.column("words").to_pylist(), table.column("ids").to_pylist(), strict=True):
-            of.update(zip(words, ids, strict=True))
+            of.update(zip(listed_in(words), listed_in(ids), strict=True))
         said: dict[str, str] = {}
         rows = [emit(text, of, said, path) for chunk in mine.column("text").chunks for at in range(0, len(chunk), 256) for text in chunk[at : at + 256].to_pylist()]
         columns = list(zip(*rows, strict=True)) or [[] for _ in schema.split(", ")]
@@ -130,7 +146,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, vocabulary: str | None,
 
 
 def _ids(text: str, of: dict[str, str]) -> str:
-    return " ".join(filter(None, map(of.__getitem__, tokens.chunks(text))))
+    return " ".join(filter(None, map(of.__getitem__, words_of(text))))
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
@@ -168,7 +184,7 @@ def round_trip_report(docs: DataFrame, vocabulary: str | None = None) -> DataFra
     table = docs.sparkSession.sparkContext.broadcast(pieces(vocabulary or tokens.default_vocabulary()))
 
     def emit(text: str, of: dict[str, str], said: dict[str, str], path: str) -> tuple:
-        words = tokens.chunks(text)
+        words = words_of(text)
         ids = " ".join(filter(None, map(of.__getitem__, words)))
         piece = table.value
         for w in words:

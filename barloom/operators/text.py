@@ -156,8 +156,8 @@ def clause_split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     heading = r"(?m)(?=^\s*(?:第[一二三四五六七八九十百千零\d]+[条章节]|Article\s+\d+|Section\s+\d+|\d+\.\s))"
     by_heading = F.split(text_col, heading)
     parts = F.when(F.size(by_heading) > 1, by_heading).otherwise(F.split(text_col, r"\n\s*\n"))
-    each = docs.select(id_col, F.posexplode(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")).alias("pos", "chunk"))
-    return each
+    stripped = F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
+    return docs.select(id_col, F.posexplode(F.filter(stripped, lambda p: p != "")).alias("pos", "chunk"))
 
 
 def markdown_sections(docs: DataFrame, id_col: str = "source", text_col: str = "text") -> DataFrame:

@@ -55,7 +55,8 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = base.select("id", F.xxhash64("t").alias("h"), F.posexplode(F.split("t", "\n")).alias("pos", "line"))
     tokens = lines.select("id", "h", "pos", _masked(F.col("line")).alias("tokens")).where(F.size("tokens") >= SHORTEST)
     keys = cut_lineage(tokens.select("id", "h", "pos", F.explode(_template_keys(F.col("tokens"))).alias("k")).select("id", "h", "pos", "k.k1", "k.k2"))
-    recurring = keys.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("k1", "k2", "first")
+    # Written first, so that the join reads two plain shuffles and Spark can split a hot template's lines.
+    recurring = cut_lineage(keys.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("k1", "k2", "first"))
     met = keys.join(recurring, ["k1", "k2"]).where(F.col("id") > F.col("first"))
     return met.groupBy("id", "h").agg(F.collect_set("pos").alias("dropped"))
 

@@ -96,6 +96,8 @@ def _segment_links(labelled: DataFrame) -> DataFrame:
 
 def link_fingerprints(distinct: DataFrame) -> DataFrame:
     """Distinct ``fp`` to (fp, root): the components of the graph of links at three bits or fewer."""
+    # Each row becomes 65, so rows are spread before, not after.
+    distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
     first = components(_near_stars(distinct))
     labelled = cut_lineage(distinct.join(first, distinct["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")))
     second = components(_segment_links(labelled))

@@ -36,7 +36,7 @@ def shown(columns: dict[str, str], *ctes: str, source: str = "bars", base: str =
 
 
 def six(x: str) -> str:
-    return f"round(({x})::double, 6)"
+    return f"round(({x})::double, 6) + 0.0::double"
 
 
 def ema(name: str, source: str, value: str, alpha: float, out: str) -> list[str]:

@@ -16,11 +16,11 @@ GRID = optimise.grid(fast=[5, 10], slow=[20, 30])
 
 
 def _six(name: str, df: DataFrame) -> Column:
-    return F.round(F.col(name), 6).alias(name) if df.schema[name].dataType.typeName() == "double" else F.col(name)
+    return (F.round(F.col(name), 6) + F.lit(0.0)).alias(name) if df.schema[name].dataType.typeName() == "double" else F.col(name)
 
 
 def show(df: DataFrame, *columns: str, keys: tuple[str, ...] = ("symbol", "bar_ts")) -> DataFrame:
-    """Keys and columns; floats at six places."""
+    """Keys and columns; floats at six places, without negative zero."""
     return df.select(*keys, *[_six(c, df) for c in columns])
 
 
@@ -71,12 +71,8 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = retrieval.bm25(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return scored.withColumn("s", F.round("score", 9)).transform(_top_by_nine).drop("s")
-
-
-def _top_by_nine(scored: DataFrame) -> DataFrame:
-    made = retrieval.top(scored.drop("score").withColumnRenamed("s", "score"), "item_id", 10, "doc_id")
-    return made.select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"), F.lit(0).alias("s"))
+    exact = scored.withColumnRenamed("score", "exact").withColumn("score", F.round("exact", 9))  # sums differ in their last digits
+    return retrieval.top(exact, "item_id", 10, "doc_id").select("item_id", "rank", "doc_id", F.round("exact", 6).alias("score"))
 
 
 def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,8 +5,12 @@ a vector; its cell is the nearest signed axis. Several tables have rotations of
 their own. A query looks into the cells of its nearest few signed axes in every
 table, and all candidates found are scored exactly.
 
-Vectors of different lengths are first made unit vectors by one more component,
-so that the angle to a query orders them by inner product.
+Vectors are split into ranges by their length, powers of two below the longest.
+Within a range of different lengths, vectors are made unit vectors by one more
+component, so that the angle to a query orders them by inner product. A query
+searches every range. Ranges of few entries are scanned whole, since long vectors
+are few and near many queries, at any angle; and a query that meets fewer entries
+than it asks for is compared with all.
 
 Equal vectors are one entry of the index with their smallest ids, as many as a
 result may need. A cell with many entries is split into blocks; a query visits
@@ -15,6 +19,7 @@ all blocks of its cells, so no candidate is lost and no task gets a whole hot ce
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +32,11 @@ from pyspark.sql import functions as F
 from barloom.llm.common import cut_lineage
 
 TABLES, PROBES, HASHES = 12, 8, 1
-#: With few vectors more cells are probed, until so many candidates are to be expected.
-LEAST_CANDIDATES = 2000
+#: Ranges of up to so many entries are scanned whole.
+SCANNED = 2000
 BLOCK = 4096
+#: Queries in one task of a scan.
+QUERY_BLOCK = 4096
 SEED = 11
 
 
@@ -77,31 +84,61 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
-def _unit(x: np.ndarray, longest: float | None) -> np.ndarray:
+def _axes(width: int) -> int:
+    return 2 << max(1, (width - 1).bit_length())
+
+
+def _unit(x: np.ndarray, longest: np.ndarray | None) -> np.ndarray:
     """Rows as unit vectors: with ``longest`` given, by one more component, else by division."""
     if longest is None:
         return x / np.linalg.norm(x, axis=1, keepdims=True)
-    x = x / longest
+    x = x / longest[:, None]
     return np.column_stack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))])
 
 
-def _with_cells(df: DataFrame, keep: str, kinds: str, tables: int, hashes: int, probes: int, longest: float | None, pad: bool) -> DataFrame:
-    """Rows (keep columns, v, t, c): one for each table and probed cell."""
-    names = [*[k.split()[0] for k in kinds.split(", ")], "v", "t", "c"]
+def _in_cells(same: pa.RecordBatch, g: np.ndarray, t: int, c: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """A row for each row of ``same`` and each of its cells; ``g`` is given for each row."""
+    rows = pa.array(np.repeat(np.arange(same.num_rows), c.shape[1]))
+    return pa.RecordBatch.from_arrays([*same.take(rows).columns, pa.array(np.repeat(g, c.shape[1])), pa.array(np.full(len(rows), t, np.int32)), pa.array(c.ravel())], names=names)
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return np.array(batch.column(batch.num_columns - 1).to_pylist(), np.float64)
+
+
+def _entry_cells(entries: DataFrame, ranges: dict[int, float | None], tables: int, hashes: int) -> DataFrame:
+    """(ids, v, g, t, c): a row for each entry and table; ``ranges`` has the longest norm of each range, None where all are equal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                part = whole.slice(at, 2048)
+                of = part.column(0).to_numpy()
+                for padded in (False, True):
+                    mine = np.flatnonzero([(ranges[g] is not None) == padded for g in of.tolist()])
+                    if not len(mine):
+                        continue
+                    g, same = of[mine], part.take(pa.array(mine)).select(["ids", "v"])
+                    x = _unit(_matrix(same), np.array([ranges[i] for i in g.tolist()]) if padded else None)
+                    for t in range(tables):
+                        yield _in_cells(same, g, t, cells(x, t, hashes, 1), ["ids", "v", "g", "t", "c"])
+
+    return entries.where(F.col("g").isin(list(ranges))).select("g", "ids", "v").mapInArrow(run, "ids array<long>, v array<double>, g int, t int, c long")
+
+
+def _query_cells(asked: DataFrame, padded: bool, tables: int, hashes: int, probes: int) -> DataFrame:
+    """(qv, v, g, t, c): a row for each query, table and probed cell, for the ranges with or without one more component; g is left at 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                x = np.array(batch.column(batch.num_columns - 1).to_pylist(), np.float64)
-                x = np.column_stack([_unit(x, None), np.zeros(len(x))]) if pad else _unit(x, longest)
+                same = whole.slice(at, 2048)
+                x = _unit(_matrix(same), None)
+                x = np.column_stack([x, np.zeros(len(x))]) if padded else x
                 for t in range(tables):
-                    c = cells(x, t, hashes, probes)
-                    rows = pa.array(np.repeat(np.arange(len(x)), c.shape[1]))
-                    same = batch.take(rows)
-                    yield pa.RecordBatch.from_arrays([*same.columns, pa.array(np.full(len(rows), t, np.int32)), pa.array(c.ravel())], names=names)
+                    yield _in_cells(same, np.zeros(len(x), np.int32), t, cells(x, t, hashes, probes), ["qv", "v", "g", "t", "c"])
 
-    return df.select(*keep.split(), "v").mapInArrow(run, f"{kinds}, v array<double>, t int, c long")
+    return asked.select("qv", "v").mapInArrow(run, "qv long, v array<double>, g int, t int, c long")
 
 
 def nearest(
@@ -134,19 +171,31 @@ def nearest(
     first = valid.select("id", "v").distinct().withColumn("n", F.row_number().over(W.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
     entries = cut_lineage(first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    n, shortest, longest = entries.agg(F.count(F.lit(1)), F.min(norm), F.max(norm)).first()
-    uneven = longest > 1.001 * shortest
-    axes = 2 * (1 << max(1, int(widths["w"] + uneven - 1).bit_length()))
-    probes = int(min(axes**hashes, max(probes, -(-LEAST_CANDIDATES * axes**hashes // (tables * n)))))
-
-    index = _with_cells(entries, "ids", "ids array<long>", tables, hashes, 1, longest if uneven else None, False)
+    longest = entries.agg(F.max(norm)).first()[0]
+    entries = entries.withColumn("g", F.coalesce(F.floor(F.log2(F.lit(longest) / norm)), F.lit(0)).cast("int"))
+    found_ranges = entries.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(norm).alias("shortest"), F.max(norm).alias("longest")).collect()
+    scanned = [r["g"] for r in found_ranges if r["n"] <= SCANNED]
+    ranges = {r["g"]: r["longest"] if r["longest"] > 1.001 * r["shortest"] else None for r in found_ranges if r["n"] > SCANNED}
+    n = sum(r["n"] for r in found_ranges)
+    asked = cut_lineage(valid.where("q").groupBy("v").agg(F.min("id").alias("qv")))
+
+    key = ["g", "t", "c", "b"]
+    index = _entry_cells(entries, ranges, tables, hashes)
     blocks = F.ceil(F.col("n") / BLOCK)
-    sizes = index.groupBy("t", "c").agg(F.count(F.lit(1)).alias("n")).select("t", "c", blocks.alias("blocks")).where("blocks > 1")
-    split = lambda: F.broadcast(sizes.toDF("t", "c", "blocks"))  # noqa: E731  at most tables * (2 * width) ** hashes rows
-    dealt = index.join(split(), ["t", "c"], "left").select("t", "c", F.pmod(F.xxhash64("v"), F.coalesce("blocks", F.lit(1))).alias("b"), "ids", "v")
-    asked = valid.where("q").groupBy("v").agg(F.min("id").alias("qv"))
-    looked = _with_cells(asked, "qv", "qv long", tables, hashes, probes, None, uneven).join(split(), ["t", "c"], "left")
-    looked = looked.select("t", "c", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1).cast("array<bigint>")).alias("b"), "qv", "v")
+    sizes = index.groupBy("g", "t", "c").agg(F.count(F.lit(1)).alias("n")).select("g", "t", "c", blocks.alias("blocks")).where("blocks > 1")
+    split = lambda: F.broadcast(sizes.toDF("g", "t", "c", "blocks"))  # noqa: E731  at most tables * entries / BLOCK rows
+    dealt = index.join(split(), ["g", "t", "c"], "left").select(*key[:3], F.pmod(F.xxhash64("v"), F.coalesce("blocks", F.lit(1))).alias("b"), "ids", "v")
+    looked = None
+    for padded in (False, True):
+        mine = [g for g, most in ranges.items() if (most is not None) == padded]
+        if mine:
+            # One more component may double the axes; as large a share of the cells is probed.
+            more = (_axes(widths["w"] + padded) // _axes(widths["w"])) ** hashes
+            made = _query_cells(asked, padded, tables, hashes, probes * more).withColumn("g", F.explode(F.array(*[F.lit(g) for g in mine])))
+            looked = made if looked is None else looked.unionByName(made)
+    if looked is not None:
+        looked = looked.join(split(), ["g", "t", "c"], "left")
+        looked = looked.select(*key[:3], F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1).cast("array<bigint>")).alias("b"), "qv", "v")
 
     def rerank(q: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         made = []
@@ -162,11 +211,33 @@ def nearest(
                     made += [(qv[at + i], v, float(z)) for z, j in zip(exact, row, strict=True) for v in ids[j]]
         return pd.DataFrame(made, columns=["qv", "vec_id", "score"])
 
-    key = ["t", "c", "b"]
-    found = looked.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(rerank, "qv long, vec_id long, score double")
+    form = "qv long, vec_id long, score double"
+
+    def scan(some: DataFrame, n_asked: int, those: DataFrame, n_entries: int) -> DataFrame:
+        """Each block of queries against each block of entries."""
+        across, down = -(-n_asked // QUERY_BLOCK) or 1, -(-n_entries // BLOCK) or 1
+        all_of = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        q = some.select("qv", "v", F.pmod(F.xxhash64("v"), F.lit(across)).cast("int").alias("qb")).select("*", all_of(down).alias("eb"))
+        e = those.select("ids", "v", F.pmod(F.xxhash64("v"), F.lit(down)).cast("int").alias("eb")).select("*", all_of(across).alias("qb"))
+        return q.groupBy("qb", "eb").cogroup(e.groupBy("qb", "eb")).applyInPandas(rerank, form)
+
+    parts = [] if looked is None else [looked.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(rerank, form)]
+    if scanned:
+        parts.append(scan(asked, asked.count(), entries.where(F.col("g").isin(scanned)), sum(r["n"] for r in found_ranges if r["g"] in scanned)))
+    found = functools.reduce(DataFrame.unionByName, parts)
     distinct = found.groupBy("qv", "vec_id").agg(F.max("score").alias("score"))
     order = [F.desc("score"), "vec_id"]
     best = distinct.withColumn("n", F.row_number().over(W.partitionBy("qv").orderBy(*order))).where(F.col("n") <= k + 1).drop("n")
+    if ranges:
+        # Queries that met too few are compared with all entries.
+        best = cut_lineage(best)
+        least = min(k + 1, entries.agg(F.sum(F.size("ids"))).first()[0])
+        enough = best.groupBy("qv").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+        short = cut_lineage(asked.join(enough, "qv", "left_anti"))
+        n_short = short.count()
+        if n_short:
+            whole = scan(short, n_short, entries, n).groupBy("qv", "vec_id").agg(F.max("score").alias("score"))
+            best = best.join(short, "qv", "left_anti").unionByName(whole)
     by_query = valid.where("q").select("id", "v").distinct().join(asked, "v").select(F.col("id").alias("query_id"), "qv")
     each = by_query.join(best, "qv").where("vec_id <> query_id").select("query_id", "vec_id", "score").distinct()
     ranked = each.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*order)))

@@ -60,3 +60,37 @@ def test_few_and_none(spark):
     few = ann.nearest_report(spark.createDataFrame([(20, [1.0, 0.0]), (3, [0.5, 0.5]), (40, [-1.0, 0.0])], schema)).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in few) == [(20, 1, 3, 0.5), (20, 2, 40, -1.0), (40, 1, 3, -0.5), (40, 2, 20, -1.0)]
     assert ann.nearest_report(spark.createDataFrame([(20, [1.0, 0.0])], schema)).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["lognormal", "one long"])
+def test_recall_on_very_uneven_lengths(spark, kind, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(6000, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= rng.lognormal(size=(6000, 1)) if kind == "lognormal" else 1
+    if kind == "one long":
+        x[7] *= 100
+    monkeypatch.setattr(ann, "SCANNED", 500)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = list(range(0, 6000, 40))
+    got = {}
+    for r in ann.nearest(df, ann.F.col("vec_id") % 40 == 0).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    scores = x[asked] @ x.T
+    scores[np.arange(len(asked)), asked] = -np.inf
+    hits = sum(len(set(np.argsort(-s)[:20]) & set(got[q])) for q, s in zip(asked, scores, strict=True))
+    assert all(len(got[q]) == 20 for q in asked) and hits / (20 * len(asked)) >= 0.9
+
+
+def test_queries_with_few_candidates_are_compared_with_all(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SCANNED", 0)
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(120, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, ann.F.col("vec_id") < 10, tables=1, probes=1).collect()
+    assert len(got) == 200
+    for q in range(10):
+        s = x[q] @ x.T
+        s[q] = -np.inf
+        assert {r.vec_id for r in got if r.query_id == q} == set(np.argsort(-s)[:20])

@@ -4,7 +4,9 @@ A tokenizer's vocabulary covers what people write, so ordinary words and names
 take few tokens for their length while random keys take many. A run of key
 characters whose characters-per-token ratio under a byte-level BPE vocabulary is
 low is reported, unless it is a known digest or identifier (hex digests of the
-usual lengths, UUIDs, plain numbers, and words joined by ``_``, ``-`` or ``/``).
+usual lengths, UUIDs, plain numbers, and words and numbers joined by ``_``, ``-``
+or ``/``). Where a whole run passes, its segments between separators, and its
+stretches of segments that are no plain words or numbers, are tested alone.
 """
 
 from __future__ import annotations
@@ -35,6 +37,10 @@ HEX_ONLY = re.compile(r"[0-9a-fA-F]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 NAMED = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8})(?:[_/=+-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8}))*")
 
+SEGMENT = re.compile(r"[^/=_+-]+")
+PLAIN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,8}")
+SHORTEST = 20
+
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 MAX_CHARS_PER_TOKEN = 2.0
 
@@ -58,8 +64,10 @@ def is_known(run: str) -> bool:
     """Digests, UUIDs, plain numbers and joined words: regular, not secret."""
     if HEX_ONLY.fullmatch(run) and len(run) in DIGEST_LENGTHS:
         return True
-    if UUID.fullmatch(run) or not re.search("[0-9]", run) or not re.search("[A-Za-z]", run):
+    if UUID.fullmatch(run) or not re.search("[A-Za-z]", run):
         return True
+    if not re.search("[0-9]", run):
+        return False
     # Words and short numbers with separators between them, few changes of kind.
     parts = re.findall(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+", run)
     return bool(NAMED.fullmatch(run)) and len(run) / len(parts) >= 4
@@ -69,6 +77,33 @@ def chars_per_token(run: str, path: str) -> float:
     return len(run) / len(encoder(path).encode_ordinary(run))
 
 
+def _parts(run: str) -> list[tuple[int, int]]:
+    """Spans inside a run, long enough to test: segments, and stretches of segments that aren't plain."""
+    found, at = [], None
+    segments = [m.span() for m in SEGMENT.finditer(run)]
+    for s, e in [*segments, (len(run), len(run))]:
+        if s < e and not PLAIN.fullmatch(run, s, e):
+            at = (s if at is None else at[0], e)
+        elif at is not None:
+            found.append(at)
+            at = None
+    return [x for x in dict.fromkeys([*found, *segments]) if x[1] - x[0] >= SHORTEST and x != (0, len(run))]
+
+
+def _random_spans(run: str, path: str, limit: float) -> list[tuple[int, int]]:
+    """The whole run if it is random, else its random parts, those that overlap as one."""
+    random = lambda part: not is_known(part) and chars_per_token(part, path) < limit
+    if random(run):
+        return [(0, len(run))]
+    joined: list[tuple[int, int]] = []
+    for s, e in sorted(x for x in _parts(run) if random(run[x[0] : x[1]])):
+        if joined and s < joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(e, joined[-1][1]))
+        else:
+            joined.append((s, e))
+    return joined
+
+
 def scan(text: str, path: str, limit: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, int]]:
     """Spans (start, kind index, end) of one text, by start, then kind."""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[1]) >= ASSIGN_MIN]
@@ -81,10 +116,9 @@ def scan(text: str, path: str, limit: float = MAX_CHARS_PER_TOKEN) -> list[tuple
         s, e = m.span()
         while at < len(shaped) and shaped[at][1] <= s:
             at += 1
-        if any(a < e and s < b for a, b in shaped[at : at + 3]) or is_known(m[0]):
+        if any(a < e and s < b for a, b in shaped[at : at + 3]):
             continue
-        if chars_per_token(m[0], path) < limit:
-            found.append((s, 3, e))
+        found += [(s + a, 3, s + b) for a, b in _random_spans(m[0], path, limit)]
     return sorted(found)
 
 

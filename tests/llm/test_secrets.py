@@ -1,4 +1,7 @@
 import hashlib
+import string
+
+import numpy as np
 
 from barloom.llm import secrets
 
@@ -34,3 +37,20 @@ def test_redact_keeps_clean_rows(spark):
 
 def test_empty(spark):
     assert secrets.secrets_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_letters_only_and_behind_paths():
+    path, key = secrets.default_vocabulary(), "Zk3qP9xWv7LmT2rYbN8sHd4G"
+    letters = "".join(np.random.default_rng(1).choice(list(string.ascii_letters), 24))
+    for before, secret in (
+        ("", letters),
+        ("", "qzxkvjwpqhgtzbvxmkqjwzpf"),
+        ("/services/webhooks/incoming/production/", key),
+        ("/services/webhooks/incoming/production/customers/notifications/", key),
+        ("/services/webhooks/incoming/production/customers/notifications/", key[:9] + "/" + key[9:]),
+    ):
+        spans = secrets.scan(f"see {before}{secret} now", path)
+        end = 4 + len(before) + len(secret)
+        assert spans and spans[-1][1] == 3 and spans[-1][0] <= 4 + len(before) and spans[-1][2] == end, (before, secret, spans)
+    for clean in ("some/long/path/to/file/name1/another/plain/identifier_with_words", "internationalization_of_documentation"):
+        assert secrets.scan(clean, path) == []

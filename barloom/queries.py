@@ -92,9 +92,10 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vector hits of the documents that share an id with an embedding, blended with token overlap."""
+    """Vector hits of the documents that share an id with an embedding, three times as many as are kept, blended with token overlap."""
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    hits = cosine_topk(spark, sf_dir).select("query_id", F.col("vec_id").alias("doc_id"), (1 - F.col("score")).alias("distance"))
+    hits = retrieval.vector_top(v, v.where("vec_id % 50 = 0"), k=30).select("query_id", F.col("vec_id").alias("doc_id"), (1 - F.col("score")).alias("distance"))
     return retrieval.hybrid(hits, docs, docs.withColumnRenamed("doc_id", "query_id"))
 
 

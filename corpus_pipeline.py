@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import line_templates, packing, quality, secrets, simhash
+from barloom.llm import line_templates, near_copies, packing, quality, secrets
 from barloom.llm.common import shared_dir, table
 
 
@@ -33,8 +33,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies stays, the one with the smallest id."""
-    return simhash.keep_first_of_each(docs)
+    """One document of each group of near-copies stays, the one with the smallest id.
+
+    Near-copies agree in at least 0.8 of their five-word shingles.
+    """
+    return near_copies.keep_first(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

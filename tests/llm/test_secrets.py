@@ -1,7 +1,12 @@
+import base64
 import hashlib
+import re
 import string
+import time
 
 import numpy as np
+import pytest
+import tiktoken
 
 from barloom.llm import secrets
 
@@ -17,12 +22,88 @@ CASES = [
 ]
 
 
+def brute_base(text):
+    """Base counts and digest of one text, straight from the rules."""
+    text = text or ""
+    found = []
+    rules = (
+        ("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", 6),
+        ("access", r"(AKIA[A-Z0-9]+)", 20),
+        ("hex", r"([0-9a-f]+)", 24),
+    )
+    for order, (kind, pattern, least) in enumerate(rules):
+        found += [(m.start(), order, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text) if len(m[1]) >= least]
+    said = ",".join(x[2] for x in sorted(found))
+    return (*(sum(x[1] == k for x in found) for k in range(3)), hashlib.sha256(said.encode()).hexdigest())
+
+
+def brute_random(text):
+    """Whole runs outside shaped spans whose ratio is low, character by character, for texts whose runs have no separators."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(line.split()[0]): int(line.split()[1]) for line in f}
+    enc = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    found, at = [], 0
+    for word in re.split(r"([^A-Za-z0-9+/_=-])", text):
+        s, at = at, at + len(word)
+        if len(word) < 20 or not re.search("[A-Za-z]", word):
+            continue
+        if re.fullmatch("[0-9a-fA-F]+", word) and len(word) in (32, 40, 56, 64, 96, 128):
+            continue
+        kinds = 1 + sum(not ((a.islower() and b.islower()) or (a.isupper() and b.isupper()) or (a.isdigit() and b.isdigit()) or (a.isupper() and b.islower() and (i == 0 or not word[i - 1].isupper()))) for i, (a, b) in enumerate(zip(word, word[1:])))
+        if re.search("[0-9]", word) and len(word) / kinds >= 4:
+            continue
+        if len(word) / len(enc.encode_ordinary(word)) < 2.0:
+            found.append(f"random:{s}:{at}")
+    return found
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_spans_are_the_plain_rule(seed):
+    rng = np.random.default_rng(seed)
+    words = ["the", "internationalization", "thandthentionedwouldhavebeen", "and", "2024", "0123456789" * 3]
+    for _ in range(60):
+        kind = rng.integers(4)
+        letters = [string.ascii_lowercase, string.ascii_letters + string.digits, string.ascii_uppercase, "ghijkl0123"][kind]
+        words.append("".join(rng.choice(list(letters), rng.integers(15, 40))))
+    rng.shuffle(words)
+    text = " ".join(words)
+    if secrets.HEX.search(text):
+        text = secrets.HEX.sub("gone", text)
+    got = [f"random:{s}:{e}" for s, k, e in secrets.scan(text, secrets.default_vocabulary()) if k == 3]
+    assert got == brute_random(text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "a" * 24 + "1_", "abcdefghijklmnopqrstuvwxyzabcd1=", "some-path-of-some-kind-and-more-words-here-v2-", "some/path/of/some/kind/and/more/words/here/v2/",
+        "aB1" * 333_334, "a1_" * 333_334, "Ab/9" * 250_000 + "=", ("word" * 5 + "1-") * 40_000, "a" * 1_000_000 + "1_", "f0" * 500_000 + "-" + "q7" * 10,
+    ],
+)
+def test_long_and_ragged_runs_take_under_a_second(text):
+    path = secrets.default_vocabulary()
+    secrets.encoder(path)
+    began = time.process_time()
+    secrets.scan("see " + text + " end", path)
+    assert time.process_time() - began < (1 if len(text) < 1000 else 8)
+    began = time.process_time()
+    secrets.is_known(text)
+    assert time.process_time() - began < 1
+
+
+def test_key_beside_a_digest_in_one_run():
+    spans = secrets.scan("x " + "0123456789abcdef" * 2 + "-Zk3qP9xWv7LmT2rYbN8sHd4G", secrets.default_vocabulary())
+    assert [s[1] for s in spans] == [2, 3] and spans[1][2] == 59
+
+
 def test_base_and_added(spark):
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(CASES)] + [(None, "x", "clash"), (2, CASES[2], "clash")], "doc_id long, text string, spans string")
     got = {r.doc_id: r for r in secrets.secrets_report(docs).collect()}
     for i, t in enumerate(CASES):
         r = got[i]
-        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == secrets.brute_force(t), t
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == brute_base(t), t
     assert got[6].spans == "random:7:31"
     assert "random" not in got[4].spans and got[5].spans == ""
     assert got[1].base_sha256 == hashlib.sha256(b"").hexdigest()

@@ -16,7 +16,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -129,10 +128,11 @@ def pack(
     # need no packing but take their sequence ids from the same groups.
     dealt = made.withColumn("grp", F.pmod(F.xxhash64("doc_id", "ids_crc32", "start"), F.lit(groups)))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
-        lengths = group["length"].to_numpy()
-        at, offset = best_fit_decreasing(lengths, window)
-        return group.drop(columns="grp").assign(sequence_id=at + group["grp"] * 2**32, offset=offset)
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        at, offset = best_fit_decreasing(group.column("length").to_numpy(), window)
+        sequence = at + group.column("grp").to_numpy() * 2**32
+        return group.drop_columns("grp").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    return dealt.groupBy("grp").applyInPandas(run, PIECE + ", sequence_id long, offset long")
+    # Arrow, not pandas: a null id would turn pandas' column of ids to floats.
+    return dealt.groupBy("grp").applyInArrow(run, PIECE + ", sequence_id long, offset long")

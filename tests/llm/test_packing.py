@@ -75,5 +75,36 @@ def test_pack(spark):
         assert at <= packing.WINDOW
 
 
+def test_large_ids_beside_a_null(spark):
+    ids = [2**60 + 1, 2**60 + 3, -(2**62) - 1, None]
+    rows = packing.pack(spark.createDataFrame([(i, "hello world") for i in ids], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id for r in rows), key=str) == sorted(ids, key=str)
+
+
+def test_registered_query_keeps_every_id_once(spark):
+    """Over the whole smallest table: pieces cover each document, offsets have no gaps, and little is padded."""
+    from barloom.llm import queries
+
+    sf_dir = "/root/testdata/sf0.001"
+    rows = queries.queries()["op2_packing"](spark, sf_dir).toPandas()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").toPandas()
+    pieces = {d: g.sort_values("start") for d, g in rows.groupby("doc_id")}
+    assert sorted(pieces) == sorted(docs.doc_id)
+    for doc, text in zip(docs.doc_id, docs.text, strict=True):
+        ids = [*library_ids(text), packing.END_ID]
+        at = 0
+        for r in pieces[doc].itertuples():
+            part = ids[r.start : r.start + r.length]
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(struct.pack(f"<{len(part)}I", *part))
+            at += r.length
+        assert at == len(ids)
+    used = 0
+    for _, g in rows.sort_values("offset").groupby("sequence_id"):
+        assert (g.offset.to_numpy() == np.r_[0, g.length.cumsum()[:-1]]).all()
+        used += 1
+        assert g.length.sum() <= packing.WINDOW
+    assert rows.length.sum() / (used * packing.WINDOW) > 0.9
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -13,8 +13,9 @@ are few and near many queries, at any angle; and a query that meets fewer entrie
 than it asks for is compared with all.
 
 Equal vectors are one entry of the index with their smallest ids, as many as a
-result may need. A cell with many entries is split into blocks; a query visits
-all blocks of its cells, so no candidate is lost and no task gets a whole hot cell.
+result may need. A cell with many entries is split into blocks, and so are the
+queries of a cell that many look into; every block of one side meets every block
+of the other, so no candidate is lost and no task gets a whole hot cell.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ import functools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -102,8 +102,34 @@ def _in_cells(same: pa.RecordBatch, g: np.ndarray, t: int, c: np.ndarray, names:
     return pa.RecordBatch.from_arrays([*same.take(rows).columns, pa.array(np.repeat(g, c.shape[1])), pa.array(np.full(len(rows), t, np.int32)), pa.array(c.ravel())], names=names)
 
 
-def _matrix(batch: pa.RecordBatch) -> np.ndarray:
-    return np.array(batch.column(batch.num_columns - 1).to_pylist(), np.float64)
+def _matrix(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    """Rows of the vector column ``v`` in double precision."""
+    v = batch.column("v")
+    flat = (v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v).flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+
+
+def best_pairs(x: np.ndarray, y: np.ndarray, first: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of ``x`` and ``y`` and their inner products: for each row of ``x`` its ``most`` nearest, ties to the smaller ``first``.
+
+    The product of matrices only narrows the choice down: all that may be among
+    the nearest in spite of its rounding is scored by itself, which gives the
+    same bits wherever a pair is met.
+    """
+    lengths = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1).max()
+    for at in range(0, len(x), 512):
+        s = x[at : at + 512] @ y.T
+        if len(y) > most:
+            least = np.partition(s, len(y) - most, axis=1)[:, len(y) - most] - 1e-9 * lengths[0][at : at + 512] * lengths[1]
+            i, j = np.nonzero(s >= least[:, None])
+        else:
+            i, j = (m.ravel() for m in np.indices(s.shape))
+        i += at
+        z = np.concatenate([(x[i[k : k + 50_000]] * y[j[k : k + 50_000]]).sum(axis=1) for k in range(0, len(i), 50_000)])
+        order = np.lexsort((first[j], -z, i))
+        i, j, z = i[order], j[order], z[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        yield i[place < most], j[place < most], z[place < most]
 
 
 def _entry_cells(entries: DataFrame, ranges: dict[int, float | None], tables: int, hashes: int) -> DataFrame:
@@ -123,7 +149,7 @@ def _entry_cells(entries: DataFrame, ranges: dict[int, float | None], tables: in
                     for t in range(tables):
                         yield _in_cells(same, g, t, cells(x, t, hashes, 1), ["ids", "v", "g", "t", "c"])
 
-    return entries.where(F.col("g").isin(list(ranges))).select("g", "ids", "v").mapInArrow(run, "ids array<long>, v array<double>, g int, t int, c long")
+    return entries.where(F.col("g").isin(list(ranges))).select("g", "ids", "v").mapInArrow(run, f"ids array<long>, v {entries.schema['v'].dataType.simpleString()}, g int, t int, c long")
 
 
 def _query_cells(asked: DataFrame, padded: bool, tables: int, hashes: int, probes: int) -> DataFrame:
@@ -138,7 +164,7 @@ def _query_cells(asked: DataFrame, padded: bool, tables: int, hashes: int, probe
                 for t in range(tables):
                     yield _in_cells(same, np.zeros(len(x), np.int32), t, cells(x, t, hashes, probes), ["qv", "v", "g", "t", "c"])
 
-    return asked.select("qv", "v").mapInArrow(run, "qv long, v array<double>, g int, t int, c long")
+    return asked.select("qv", "v").mapInArrow(run, f"qv long, v {asked.schema['v'].dataType.simpleString()}, g int, t int, c long")
 
 
 def nearest(
@@ -160,17 +186,18 @@ def nearest(
     most, or has null or non-finite components, take no part. Repeated rows count
     once. An empty table gives an empty result; other columns are ignored.
     """
-    whole = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
+    real = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"  # as short as they come
+    whole = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{real}>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
     valid = whole.where(F.col("id").isNotNull() & usable(F.col("v")))
     widths = valid.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
     out = "query_id long, rank int, vec_id long, score double"
     if widths is None:
         return vectors.sparkSession.createDataFrame([], out)
-    valid = valid.where(F.size("v") == widths["w"]).withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))
+    valid = valid.where(F.size("v") == widths["w"]).withColumn("v", F.transform("v", lambda x: (x + F.lit(0.0)).cast(real)))  # no negative zero
     # Of equal vectors no more than k + 1 ids can matter: k results and the query itself.
     first = valid.select("id", "v").distinct().withColumn("n", F.row_number().over(W.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
     entries = cut_lineage(first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     longest = entries.agg(F.max(norm)).first()[0]
     entries = entries.withColumn("g", F.coalesce(F.floor(F.log2(F.lit(longest) / norm)), F.lit(0)).cast("int"))
     found_ranges = entries.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(norm).alias("shortest"), F.max(norm).alias("longest")).collect()
@@ -179,12 +206,8 @@ def nearest(
     n = sum(r["n"] for r in found_ranges)
     asked = cut_lineage(valid.where("q").groupBy("v").agg(F.min("id").alias("qv")))
 
-    key = ["g", "t", "c", "b"]
+    cell, key = ["g", "t", "c"], ["g", "t", "c", "b", "qb"]
     index = _entry_cells(entries, ranges, tables, hashes)
-    blocks = F.ceil(F.col("n") / BLOCK)
-    sizes = index.groupBy("g", "t", "c").agg(F.count(F.lit(1)).alias("n")).select("g", "t", "c", blocks.alias("blocks")).where("blocks > 1")
-    split = lambda: F.broadcast(sizes.toDF("g", "t", "c", "blocks"))  # noqa: E731  at most tables * entries / BLOCK rows
-    dealt = index.join(split(), ["g", "t", "c"], "left").select(*key[:3], F.pmod(F.xxhash64("v"), F.coalesce("blocks", F.lit(1))).alias("b"), "ids", "v")
     looked = None
     for padded in (False, True):
         mine = [g for g, most in ranges.items() if (most is not None) == padded]
@@ -193,35 +216,46 @@ def nearest(
             more = (_axes(widths["w"] + padded) // _axes(widths["w"])) ** hashes
             made = _query_cells(asked, padded, tables, hashes, probes * more).withColumn("g", F.explode(F.array(*[F.lit(g) for g in mine])))
             looked = made if looked is None else looked.unionByName(made)
-    if looked is not None:
-        looked = looked.join(split(), ["g", "t", "c"], "left")
-        looked = looked.select(*key[:3], F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1).cast("array<bigint>")).alias("b"), "qv", "v")
 
-    def rerank(q: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        made = []
-        if len(q) and len(e):
-            x, y = np.stack(q["v"].to_numpy()), np.stack(e["v"].to_numpy())
-            ids, qv = e["ids"].to_numpy(), q["qv"].to_numpy()
-            most = min(len(y), k + 1)
-            for at in range(0, len(x), 512):
-                s = x[at : at + 512] @ y.T
-                top = np.argpartition(-s, most - 1, axis=1)[:, :most]
-                for i, row in enumerate(top):
-                    exact = (x[at + i] * y[row]).sum(axis=1)  # the same bits in every table
-                    made += [(qv[at + i], v, float(z)) for z, j in zip(exact, row, strict=True) for v in ids[j]]
-        return pd.DataFrame(made, columns=["qv", "vec_id", "score"])
+    def crowded(side: DataFrame, most: int, name: str) -> DataFrame:
+        """Cells of more than ``most`` rows with the number of their blocks: at most rows / ``most`` of them."""
+        return side.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*cell, F.ceil(F.col("n") / most).alias(name))
+
+    def dealt(side: DataFrame, split: DataFrame, mine: str, other: str) -> DataFrame:
+        """Each row in one block of its own side, for every block of the other side."""
+        named = side.join(F.broadcast(split), cell, "left")
+        own = F.pmod(F.xxhash64("v"), F.coalesce({"b": "blocks", "qb": "qblocks"}[mine], F.lit(1))).alias(mine)
+        every = F.explode(F.sequence(F.lit(0), F.coalesce({"b": "blocks", "qb": "qblocks"}[other], F.lit(1)) - 1).cast("array<bigint>")).alias(other)
+        return named.select(*cell, own, every, *[c for c in ("ids", "qv", "v") if c in side.columns])
+
+    if looked is not None:
+        split = cut_lineage(crowded(index, BLOCK, "blocks").join(crowded(looked, QUERY_BLOCK, "qblocks"), cell, "full"))
+        index, looked = dealt(index, split, "b", "qb"), dealt(looked, split, "qb", "b")
 
     form = "qv long, vec_id long, score double"
 
+    def rerank(q: pa.Table, e: pa.Table) -> pa.Table:
+        made = []
+        if q.num_rows and e.num_rows:
+            ids = e.column("ids").combine_chunks()
+            starts, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+            qv = q.column("qv").to_numpy()
+            for i, j, z in best_pairs(_matrix(q), _matrix(e), flat[starts[:-1]], k + 1):
+                n = starts[j + 1] - starts[j]
+                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                made.append((np.repeat(qv[i], n), flat[np.repeat(starts[j], n) + within], np.repeat(z, n)))
+        columns = [np.concatenate(c) for c in zip(*made, strict=True)] or [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
+        return pa.Table.from_arrays([pa.array(c) for c in columns], names=["qv", "vec_id", "score"])
+
     def scan(some: DataFrame, n_asked: int, those: DataFrame, n_entries: int) -> DataFrame:
         """Each block of queries against each block of entries."""
         across, down = -(-n_asked // QUERY_BLOCK) or 1, -(-n_entries // BLOCK) or 1
         all_of = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
         q = some.select("qv", "v", F.pmod(F.xxhash64("v"), F.lit(across)).cast("int").alias("qb")).select("*", all_of(down).alias("eb"))
         e = those.select("ids", "v", F.pmod(F.xxhash64("v"), F.lit(down)).cast("int").alias("eb")).select("*", all_of(across).alias("qb"))
-        return q.groupBy("qb", "eb").cogroup(e.groupBy("qb", "eb")).applyInPandas(rerank, form)
+        return q.groupBy("qb", "eb").cogroup(e.groupBy("qb", "eb")).applyInArrow(rerank, form)
 
-    parts = [] if looked is None else [looked.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(rerank, form)]
+    parts = [] if looked is None else [looked.groupBy(*key).cogroup(index.groupBy(*key)).applyInArrow(rerank, form)]
     if scanned:
         parts.append(scan(asked, asked.count(), entries.where(F.col("g").isin(scanned)), sum(r["n"] for r in found_ranges if r["g"] in scanned)))
     found = functools.reduce(DataFrame.unionByName, parts)

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import ann
 
@@ -52,6 +53,12 @@ def test_blocks_lose_nothing(spark, monkeypatch):
     whole = sorted(map(tuple, ann.nearest_report(df).collect()))
     monkeypatch.setattr(ann, "BLOCK", 7)
     assert sorted(map(tuple, ann.nearest_report(df).collect())) == whole
+    monkeypatch.setattr(ann, "SCANNED", 0)
+    monkeypatch.setattr(ann, "BLOCK", 1 << 20)
+    in_cells = sorted(map(tuple, ann.nearest_report(df).collect()))
+    monkeypatch.setattr(ann, "BLOCK", 7)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
+    assert sorted(map(tuple, ann.nearest_report(df).collect())) == in_cells
 
 
 def test_few_and_none(spark):
@@ -94,3 +101,28 @@ def test_queries_with_few_candidates_are_compared_with_all(spark, monkeypatch):
         s = x[q] @ x.T
         s[q] = -np.inf
         assert {r.vec_id for r in got if r.query_id == q} == set(np.argsort(-s)[:20])
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    """All inner products are equal: every cell holds the same scores, and the smallest ids must win."""
+    rng = np.random.default_rng(5)
+    n, width = 3300, 16
+    rest = rng.choice([-1.0, 1.0], (n, width - 1)) * 2.0
+    rest = np.unique(rest, axis=0)
+    rows = [(i + 1, [1.0, *r.tolist()]) for i, r in enumerate(rest)] + [(100_000, [4.0] + [0.0] * (width - 1))]
+    made = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 100_000, tables=2, probes=32)
+    got = [(r["rank"], r.vec_id, r.score) for r in made.orderBy("rank").collect()]
+    assert got == [(i, i, 4.0) for i in range(1, 21)]
+
+
+def test_best_pairs_are_the_plain_rule():
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(-2, 3, (40, 6)).astype(float), rng.integers(-2, 3, (500, 6)).astype(float)
+    first = rng.permutation(500)
+    for most in (1, 5, 21, 600):
+        got = {}
+        for i, j, z in ann.best_pairs(x, y, first, most):
+            for a, b, c in zip(i, j, z):
+                got.setdefault(a, []).append((-c, first[b]))
+        for a in range(40):
+            assert got[a] == sorted((-float(x[a] @ y[b]), first[b]) for b in range(500))[:most]

@@ -2,12 +2,11 @@
 
 A line's tokens lead down the tree: first their number, then the leading tokens,
 where a token with a digit counts as the variable field ``<*>``. The leaf keeps
-templates of the remaining tokens:
-
-* Lines of at least ``GENERAL`` tokens enter their leaf under two templates, each
-  with one half of the remaining tokens as a run of variable fields. Two such
-  lines match if they agree on one half, so on at least half of their tokens.
-* Shorter lines enter under the one template of all their masked tokens.
+templates in which a run of further tokens is variable: half of what a line has
+beyond ``FIXED`` tokens, once at its end and once right behind the leading tokens.
+So two lines match if they agree on their first or last tokens, on ``FIXED`` and
+half of the rest at least; lines of up to ``FIXED`` + 1 tokens match as a whole.
+A line without a token has no template.
 
 A template that occurs in more than one document recurs. Its lines are dropped
 from every document but the one with the smallest id, so one copy of each
@@ -23,10 +22,8 @@ from pyspark.sql import functions as F
 from barloom.llm.common import cut_lineage, text_or_empty
 
 LEADING = 2
-#: Lines of fewer tokens are never dropped.
-SHORTEST = 3
-#: Lines of so many tokens may differ in one half of what follows the leading tokens.
-GENERAL = 10
+#: Tokens of a line that no template leaves variable.
+FIXED = 8
 VARIABLE = "<*>"
 BLANKS = r"[ \t\r\x0B\f]+"
 
@@ -42,18 +39,19 @@ def _key(*parts: Column) -> Column:
 
 def _template_keys(tokens: Column) -> Column:
     n = F.size(tokens)
-    half = F.floor((n - LEADING) / 2).cast("int")
-    lead = F.slice(tokens, 1, LEADING)
-    first = _key(n, lead, F.lit("first"), F.slice(tokens, F.lit(LEADING + 1), half))
-    second = _key(n, lead, F.lit("second"), F.slice(tokens, F.lit(LEADING + 1) + half, n - LEADING - half))
-    return F.when(n >= GENERAL, F.array(first, second)).when(n >= SHORTEST, F.array(_key(n, F.lit("all"), tokens)))
+    free = F.greatest(F.lit(0), F.floor((n - FIXED) / 2)).cast("int")
+    lead, fixed = F.slice(tokens, 1, LEADING), F.greatest(F.lit(0), n - LEADING - free)
+    first = _key(n, lead, F.lit("first"), F.slice(tokens, F.lit(LEADING + 1), fixed))
+    last = _key(n, lead, F.lit("last"), F.slice(tokens, F.lit(LEADING + 1) + free, fixed))
+    return F.when(free > 0, F.array(first, last)).otherwise(F.array(first))
 
 
 def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lines to drop: (id, h, dropped), with h the text's hash and dropped an array of line numbers from 0."""
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("t"))
-    lines = base.select("id", F.xxhash64("t").alias("h"), F.posexplode(F.split("t", "\n")).alias("pos", "line"))
-    tokens = lines.select("id", "h", "pos", _masked(F.col("line")).alias("tokens")).where(F.size("tokens") >= SHORTEST)
+    # Hashed before lines are told apart, else every line would carry its text and hash it again.
+    lines = base.withColumn("h", F.xxhash64("t")).select("id", "h", F.posexplode(F.split("t", "\n")).alias("pos", "line"))
+    tokens = lines.select("id", "h", "pos", _masked(F.col("line")).alias("tokens")).where(F.size("tokens") > 0)
     keys = cut_lineage(tokens.select("id", "h", "pos", F.explode(_template_keys(F.col("tokens"))).alias("k")).select("id", "h", "pos", "k.k1", "k.k2"))
     # Written first, so that the join reads two plain shuffles and Spark can split a hot template's lines.
     recurring = cut_lineage(keys.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("k1", "k2", "first"))
@@ -78,8 +76,9 @@ def drop_recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keyed = row.select("r", F.col(f"r.{id_col}").alias("id1"), F.xxhash64(text).alias("h1"))
     joined = keyed.join(recurring_lines(docs, id_col, text_col), (F.col("id1") == F.col("id")) & (F.col("h1") == F.col("h")), "left")
     lines = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("dropped"))
-    cut = F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+    kept = lambda of: F.array_except(F.sequence(F.lit(0), F.size(of) - 1), F.col("dropped"))
+    # Within the outer function the lines are a value; written out in the inner one, each line would split the text anew.
+    cut = F.transform(F.array(lines), lambda of: F.array_join(F.transform(kept(of), lambda i: F.get(of, i)), "\n"))[0]
     new_text = F.when(F.col("dropped").isNull(), F.col(f"r.{text_col}")).otherwise(cut)
     out = [new_text.alias(c) if c == text_col else F.col(f"r.`{c}`").alias(c) for c in docs.columns]
     if report:
@@ -102,15 +101,13 @@ def line_report(docs: DataFrame) -> DataFrame:
 
 def sql_for(table: str = "documents") -> str:
     blanks = "[ \\t\\r\\x0B\\f]+"
-    n, half = "len(k)", f"cast(floor((len(k) - {LEADING}) / 2) as bigint)"
+    n, free = "len(k)", f"greatest(0, cast(floor((len(k) - {FIXED}) / 2) as bigint))"
+    part = lambda name, rest, where: f"select doc_id, t, pos, {{'n': {n}, 'lead': k[1:{LEADING}], 'part': '{name}', 'rest': {rest}}} key from tokens where {where}"
     return f"""with docs as (select doc_id, coalesce(text, '') t from {table}),
 lines as (select doc_id, t, unnest(string_split(t, chr(10))) line, generate_subscripts(string_split(t, chr(10)), 1) - 1 pos from docs where doc_id is not null),
 tokens as (select doc_id, t, pos, list_transform(list_filter(string_split_regex(line, '{blanks}'), lambda x: x <> ''),
   lambda x: case when regexp_matches(x, '[0-9]') then '{VARIABLE}' else x end) k from lines),
-keys as (
-  select doc_id, t, pos, {{'n': {n}, 'lead': k[1:{LEADING}], 'part': 'first', 'rest': k[{LEADING + 1}:{LEADING} + {half}]}} key from tokens where {n} >= {GENERAL}
-  union all select doc_id, t, pos, {{'n': {n}, 'lead': k[1:{LEADING}], 'part': 'second', 'rest': k[{LEADING + 1} + {half}:]}} from tokens where {n} >= {GENERAL}
-  union all select doc_id, t, pos, {{'n': {n}, 'lead': k[1:{LEADING}], 'part': 'all', 'rest': k}} from tokens where {n} >= {SHORTEST} and {n} < {GENERAL}),
+keys as ({part("first", f"k[{LEADING + 1}:{n} - {free}]", f"{n} > 0")} union all {part("last", f"k[{LEADING + 1} + {free}:]", f"{free} > 0")}),
 recurring as (select key, min(doc_id) first from keys group by 1 having min(doc_id) < max(doc_id)),
 drops as (select distinct k.doc_id, k.t, k.pos from keys k join recurring r on k.key = r.key where k.doc_id > r.first),
 gone as (select doc_id, t, list(pos order by pos) dropped from drops group by 1, 2)

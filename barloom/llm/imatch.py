@@ -6,15 +6,20 @@ document frequency is a share of the documents, so the lexicon has at most
 ``mean distinct terms of a document / share`` terms at any size of corpus, and
 may be broadcast.
 
-A fingerprint has one hash for each lexicon subset: the document's terms in that
-subset, distinct and sorted, are hashed. Subsets are random and of several
-sizes, so that short and long documents have subsets in which only a few of
-their terms fall. The likeness of two fingerprints is the share of equal hashes
-among the subsets in which either has a term.
+A fingerprint hashes several random subsets of the lexicon: the document's terms
+in a subset, distinct and sorted, are hashed. Subsets come in levels; one of level
+L keeps a term with chance 2^-L. A document uses the two levels in which a subset
+holds about one of its terms or fewer, 16 subsets each: larger subsets change with
+nearly every edit, smaller ones are mostly empty. The likeness of two fingerprints
+is the share of equal hashes among the subsets, of levels that both use, in which
+either has a term.
+
+A document none of whose subsets holds a term is fingerprinted by its whole text.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
@@ -30,17 +35,27 @@ from pyspark.sql import functions as F
 
 #: Natural logarithms of documents / document frequency.
 IDF_BAND = (math.log(5), math.log(2000))
-#: Subsets keep a term with these chances.
-CHANCES = tuple(2.0**-level for level in range(1, 9) for _ in range(4))
+#: Subsets of a level, and levels of a document.
+SUBSETS, LEVELS = 16, 2
 EMPTY = "-" * 8
+WHOLE_TEXT = "ff"
+#: The lexicon is sent to every task; the band bounds it by mean distinct terms times e to its upper end, and this checks it.
+MOST_TERMS = 4_000_000
 TERM = re.compile(r"[^\W_]+")
+#: Scripts without spaces: their runs count by pairs of characters as well.
+UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 FLUSH = 200_000
-DOCS_PER_BUCKET = 2000
 LAST = (1 << 63) - 1
+#: Characters of a text that order rows of equal ids between buckets.
+PREFIX = 64
 
 
 def terms(text: str) -> set[str]:
-    return set(TERM.findall(text.lower()))
+    found = set(TERM.findall(text.lower()))
+    if not text.isascii() and UNSPACED.search(text):
+        for t in [t for t in found if UNSPACED.search(t)]:
+            found.update(t[i : i + 2] for i in range(len(t) - 1))
+    return found
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -67,67 +82,102 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = IDF_BAND, text_col: str
 
 
 class Fingerprinter:
-    def __init__(self, kept: set[str], chances: tuple[float, ...] = CHANCES):
-        self.kept, self.chances, self.known = kept, chances, {}
+    """Texts to fingerprints: the first level as two hexadecimal digits, then the hashes of its subsets and of the next level's."""
 
-    def subsets(self, term: str) -> tuple[int, ...]:
+    def __init__(self, kept: set[str]):
+        self.kept, self.known = kept, {}
+
+    def depths(self, term: str) -> bytes:
+        """The deepest level at which each of the subsets (even levels first) holds the term."""
         found = self.known.get(term)
         if found is None:
-            draws = np.frombuffer(hashlib.blake2b(term.encode("utf-8", "surrogatepass"), digest_size=64).digest(), "<u2") / 65536
-            found = self.known[term] = tuple(i for i, chance in enumerate(self.chances) if draws[i % 32] < chance)
+            draws = np.frombuffer(hashlib.blake2b(term.encode("utf-8", "surrogatepass"), digest_size=4 * SUBSETS).digest(), "<u2")
+            found = self.known[term] = np.floor(16 - np.log2(draws + 1.0)).astype(np.uint8).tobytes()
         return found
 
-    def __call__(self, text: str) -> tuple[str, ...]:
-        members: list[list[str]] = [[] for _ in self.chances]
-        for term in sorted(terms(text) & self.kept):
-            for i in self.subsets(term):
-                members[i].append(term)
-        return tuple(f"{xxhash.xxh32_intdigest(' '.join(m).encode('utf-8', 'surrogatepass'), i):08x}" if m else EMPTY for i, m in enumerate(members))
+    def __call__(self, text: str) -> str:
+        mine = sorted(terms(text) & self.kept)
+        if mine:
+            depth = np.frombuffer(b"".join(map(self.depths, mine)), np.uint8).reshape(len(mine), 2, SUBSETS)
+            first = len(mine).bit_length()
+            members: list[list[str]] = [[] for _ in range(LEVELS * SUBSETS)]
+            for k in range(LEVELS):
+                for term, subset in zip(*np.nonzero(depth[:, (first + k) % 2] >= first + k), strict=True):
+                    members[k * SUBSETS + subset].append(mine[term])
+            if any(members):
+                hashed = [f"{xxhash.xxh32_intdigest(' '.join(m).encode('utf-8', 'surrogatepass'), i % SUBSETS):08x}" if m else EMPTY for i, m in enumerate(members)]
+                return f"{first:02x}" + "".join(hashed)
+        return WHOLE_TEXT + hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+
 
+def _levels(fingerprint: str) -> dict[int, list[str]]:
+    first, width = int(fingerprint[:2], 16), 8 * SUBSETS
+    parts = [fingerprint[2 + k * width : 2 + (k + 1) * width] for k in range(LEVELS)]
+    return {first + k: [p[i : i + 8] for i in range(0, width, 8)] for k, p in enumerate(parts)}
 
-def likeness(a: tuple[str, ...], b: tuple[str, ...]) -> float:
+
+def likeness(a: str, b: str) -> float:
     if a == b:
         return 1.0
-    either = [x == y for x, y in zip(a, b, strict=True) if x != EMPTY or y != EMPTY]
-    return sum(either) / len(either)
+    if WHOLE_TEXT in (a[:2], b[:2]):
+        return 0.0
+    x, y = _levels(a), _levels(b)
+    either = [p == q for level in x.keys() & y.keys() for p, q in zip(x[level], y[level], strict=True) if p != EMPTY or q != EMPTY]
+    return sum(either) / len(either) if either else 0.0
+
+
+def kept_terms(docs: DataFrame, band: tuple[float, float], text_col: str = "text") -> set[str]:
+    """The lexicon, for the tasks; an error if it exceeds ``MOST_TERMS``, where the band should be narrower."""
+    found: set[str] = set()
+    for r in lexicon(docs, band, text_col).limit(MOST_TERMS + 1).toLocalIterator():
+        found.add(r.term)
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"the lexicon has more than {MOST_TERMS} terms; choose a band with a smaller upper end")
+    return found
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = IDF_BAND) -> DataFrame:
-    """``id_col`` and fingerprint (subset hashes, joined) of every row. Null text counts as empty."""
-    kept = docs.sparkSession.sparkContext.broadcast({r.term for r in lexicon(docs, band, text_col).toLocalIterator()})
+    """``id_col`` and fingerprint of every row.
+
+    Null text counts as empty; null ids stay null; repeated rows give repeated
+    results and count as documents of their own; an empty table gives an empty
+    result; other columns are ignored, whatever their names.
+    """
+    kept = docs.sparkSession.sparkContext.broadcast(kept_terms(docs, band, text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Fingerprinter(kept.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(["".join(of(t)) for t in batch.column(1).to_pylist()], pa.string())], names=["id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([of(t) for t in batch.column(1).to_pylist()], pa.string())], names=["id", "fingerprint"])
 
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return base.mapInArrow(run, "id long, fingerprint string").withColumnRenamed("id", id_col)
 
 
-def in_order(docs: DataFrame, docs_per_bucket: int = DOCS_PER_BUCKET) -> DataFrame:
+def in_order(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """Rows (bucket, tail, id, doc_id, text), partitioned by bucket and sorted in it.
 
-    Buckets are ranges of ids. The first document of each bucket is also sent, as
-    a tail, to the bucket before it (the first of all to the last), so that every
-    row finds the next document in its own partition.
+    Buckets are ranges of ids, and of the heads of texts among rows of one id; as
+    many as there are shuffle partitions, whatever the number of rows. The first
+    document of each bucket is also sent, as a tail, to the bucket before it (the
+    first of all to the last), so that every row finds the next document in its
+    own partition. Rows are read in order there, one at a time.
     """
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = base.count()
-    wanted = max(1, n // docs_per_bucket)
-    cuts = [] if wanted == 1 else base.agg(F.percentile_approx("id", [k / wanted for k in range(1, wanted)], max(10_000, 10 * wanted))).first()[0]
-    cuts = np.unique(np.array(cuts, np.int64))
-    bucket = F.pandas_udf(lambda ids: pd.Series(np.searchsorted(cuts, ids.to_numpy(), side="right")), "int")
-    # One row for each bucket.
-    firsts = {r.b: r.m for r in base.select("id").withColumn("b", bucket("id")).groupBy("b").agg(F.min("id").alias("m")).collect()}
-    filled = sorted(firsts)
-    before = {b: filled[k - 1] for k, b in enumerate(filled)}
-
-    def targets(ids: pd.Series) -> pd.Series:
-        own = np.searchsorted(cuts, ids.to_numpy(), side="right")
-        return pd.Series([[2 * b] + ([2 * before[b] + 1] if firsts[b] == i else []) for b, i in zip(own.tolist(), ids.tolist(), strict=True)])
-
-    sent = base.withColumn("t", F.explode(F.pandas_udf(targets, "array<int>")("id")))
+    head = F.substring("text", 1, PREFIX)
+    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = base.select("id", head.alias("head")).repartitionByRange(buckets, "id", "head")
+    # One row for each bucket: its first key.
+    firsts = sorted(tuple(r.m) for r in ranges.groupBy(F.spark_partition_id().alias("p")).agg(F.min(F.struct("id", "head")).alias("m")).collect())
+
+    def targets(ids: pd.Series, heads: pd.Series) -> pd.Series:
+        out = []
+        for key in zip(ids.tolist(), heads.tolist(), strict=True):
+            b = bisect.bisect_right(firsts, key) - 1
+            out.append([2 * b] + ([2 * ((b or len(firsts)) - 1) + 1] if firsts[b] == key else []))
+        return pd.Series(out)
+
+    sent = base.withColumn("t", F.explode(F.pandas_udf(targets, "array<int>")("id", head)))
     keyed = sent.select(F.shiftright("t", 1).alias("bucket"), (F.col("t") % 2).alias("tail"), "id", "doc_id", "text")
     return keyed.repartition("bucket").sortWithinPartitions("bucket", "tail", "id", "text")
 
@@ -149,7 +199,7 @@ def imatch_report(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> Data
     an empty table gives an empty result; other columns are ignored.
     """
     # A term's share of the documents is bounded from below, so the lexicon's size is bounded.
-    kept = docs.sparkSession.sparkContext.broadcast({r.term for r in lexicon(docs, band).toLocalIterator()})
+    kept = docs.sparkSession.sparkContext.broadcast(kept_terms(docs, band))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Fingerprinter(kept.value)
@@ -167,7 +217,7 @@ def imatch_report(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> Data
                     e = edited(text, t)
                     changed = mine if e == text else of(e)
                     digest = hashlib.sha256(e.encode("utf-8", "surrogatepass")).hexdigest()
-                    out.append((doc, len(text), digest, "".join(mine), "".join(changed), likeness(mine, changed), likeness(mine, print_)))
+                    out.append((doc, len(text), digest, mine, changed, likeness(mine, changed), likeness(mine, print_)))
                 doc, text, mine, closed = d, t, print_, bool(tail)
             kinds = (pa.int64(), pa.int64(), *[pa.string()] * 3, pa.float64(), pa.float64())
             names = [f.split()[0] for f in SCHEMA.split(", ")]

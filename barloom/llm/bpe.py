@@ -10,8 +10,9 @@ block. Then
 3. each block joins them to its documents by position: bucketing lets this
    happen where the documents lie, so texts are never shuffled.
 
-Decoding joins ids to the vocabulary's pieces. That table is as large as the
-vocabulary, whatever the corpus, so it is sent to every task.
+Decoding joins a document's ids to the vocabulary's table of ids and pieces. That
+table is as large as the vocabulary, whatever the corpus, so it is sent to every
+task, and the join needs no shuffle.
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +35,8 @@ from barloom.llm.common import shared_dir
 
 #: A block is closed once it has so many characters, or so many documents.
 BLOCK_CHARS, BLOCK_DOCS = 32_000_000, 50_000
+#: Encoded words that a task remembers.
+KNOWN = 1_000_000
 
 
 def blocked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -101,11 +107,13 @@ def word_table(blocks: DataFrame, vocabulary: str) -> DataFrame:
         yield from flush()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, str] = {}  # the distinct words dealt to this task
+        known: dict[str, str] = {}  # of the distinct words dealt to this task
         tokenizer = tokens.library_tokenizer(vocabulary)
         for batch in batches:
             for k in range(batch.num_rows):
                 words = listed_in(batch.column(2)[k].as_py())
+                if len(known) > KNOWN:
+                    known.clear()
                 new = [w for w in words if w not in known]
                 for at in range(0, len(new), 20_000):
                     part = new[at : at + 20_000]
@@ -124,73 +132,97 @@ def pieces(vocabulary: str) -> list[str]:
     return [made.id_to_token(i) or "" for i in range(made.get_vocab_size(with_added_tokens=True))]
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, vocabulary: str | None, schema: str, emit) -> DataFrame:
-    """Blocks joined with their word tables; ``emit(ids, words, of)`` makes a document's columns."""
+def _lists(ids: list[bytes]) -> pa.ListArray:
+    """Lists of ids from their little-endian bytes."""
+    ends = np.cumsum([0, *[len(b) // 4 for b in ids]], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+
+
+def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """``id_col`` and ids (array of int) of every row.
+
+    Null text counts as empty and has no ids; null ids stay null; repeated rows
+    give repeated results; an empty table gives an empty result; other columns
+    are ignored, whatever their names. A vocabulary whose tokens cross white
+    space is refused.
+    """
     path = vocabulary or tokens.default_vocabulary()
+    if not tokens.fits(path):
+        raise ValueError(f"tokens of {path} may cross white space or depend on case")
     blocks = blocked(docs, id_col, text_col)
 
     def assemble(mine: pa.Table, table: pa.Table) -> pa.Table:
-        of: dict[str, str] = {}
+        of: dict[str, bytes] = {}
         for words, ids in zip(table.column("words").to_pylist(), table.column("ids").to_pylist(), strict=True):
-            of.update(zip(listed_in(words), listed_in(ids), strict=True))
-        said: dict[str, str] = {}
-        rows = [emit(text, of, said, path) for chunk in mine.column("text").chunks for at in range(0, len(chunk), 256) for text in chunk[at : at + 256].to_pylist()]
-        columns = list(zip(*rows, strict=True)) or [[] for _ in schema.split(", ")]
-        kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
-        fields = [f.split(" ") for f in schema.split(", ")]
-        return pa.Table.from_arrays([mine.column("id"), *[pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)]], names=["id", *[f for f, _ in fields]])
+            of.update((w, array("I", map(int, i.split())).tobytes()) for w, i in zip(listed_in(words), listed_in(ids), strict=True))
+        made = []
+        for chunk in mine.column("text").chunks:
+            for at in range(0, len(chunk), 256):
+                made.append(_lists([b"".join(map(of.__getitem__, words_of(t))) for t in chunk[at : at + 256].to_pylist()]))
+        return pa.Table.from_arrays([mine.column("id"), pa.chunked_array(made, pa.list_(pa.int32()))], names=["id", "ids"])
 
     kind = blocks.schema["id"].dataType.simpleString()
-    joined = blocks.groupBy("block").cogroup(word_table(blocks, path).groupBy("block")).applyInArrow(assemble, f"id {kind}, {schema}")
+    joined = blocks.groupBy("block").cogroup(word_table(blocks, path).groupBy("block")).applyInArrow(assemble, f"id {kind}, ids array<int>")
     return joined.withColumnRenamed("id", id_col)
 
 
-def _ids(text: str, of: dict[str, str]) -> str:
-    return " ".join(filter(None, map(of.__getitem__, words_of(text))))
+def _slices(lists: pa.ListArray, most: int = 1_000_000) -> Iterator[pa.ListArray]:
+    """Lists of about ``most`` ids together."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(lists):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield lists[at:upto]
+        at = upto
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """``id_col`` and ids (array of int) of every row.
-
-    Null text counts as empty and has no ids; null ids stay null; repeated rows
-    give repeated results; an empty table gives an empty result; other columns
-    are ignored, whatever their names.
-    """
-
-    def emit(text: str, of: dict[str, str], said: dict[str, str], path: str) -> tuple:
-        return ([int(i) for i in _ids(text, of).split()],)
-
-    return _joined(docs, id_col, text_col, vocabulary, "ids array<int>", emit)
+def spoken(lists: pa.ListArray, table: pa.Array) -> pa.Array:
+    """The id-to-piece join: each list's ids find their pieces in ``table``, joined by one space; ids beyond it have an empty piece."""
+    lists = pc.fill_null(lists, [])
+    ids = lists.flatten()
+    inside = pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(table)))
+    pieces_of = pc.fill_null(table.take(pc.if_else(inside, ids, pa.scalar(None, ids.type))), "")
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int32)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), pieces_of), " ")
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
     """``id_col`` and text: pieces of the ids, joined by one space as the library does.
 
     Each row of ``encoded`` gives one row; null or empty ids give empty text;
-    unknown ids have an empty piece, and so leave only their space.
+    null and unknown ids have an empty piece, and so leave only their space.
     """
-    spark = encoded.sparkSession
-    table = spark.createDataFrame(list(enumerate(pieces(vocabulary or tokens.default_vocabulary()))), "i int, piece string")
-    numbered = encoded.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
-    rows = numbered.select("row", "id", F.posexplode_outer("ids").alias("at", "i"))
-    joined = rows.join(F.broadcast(table), "i", "left")  # as large as the vocabulary
-    said = F.array_sort(F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", F.coalesce("piece", F.lit("")).alias("piece")))))
-    whole = joined.groupBy("row", "id").agg(said.alias("s"))
-    return whole.select(F.col("id").alias(id_col), F.array_join(F.transform("s", lambda x: x["piece"]), " ").alias("text"))
+    table = encoded.sparkSession.sparkContext.broadcast(pieces(vocabulary or tokens.default_vocabulary()))  # as large as the vocabulary
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(table.value, pa.string())
+        for batch in batches:
+            made = [spoken(part, known) for part in _slices(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.chunked_array(made, pa.string()).combine_chunks()], names=["id", "text"])
+
+    base = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
+    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
 
 
 def round_trip_report(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """One row per document: number of ids, digest of the ids, digest of what they decode to."""
-    table = docs.sparkSession.sparkContext.broadcast(pieces(vocabulary or tokens.default_vocabulary()))
-
-    def emit(text: str, of: dict[str, str], said: dict[str, str], path: str) -> tuple:
-        words = words_of(text)
-        ids = " ".join(filter(None, map(of.__getitem__, words)))
-        piece = table.value
-        for w in words:
-            if w not in said:  # id-to-piece join, once for each of the block's words
-                said[w] = " ".join(piece[int(i)] for i in of[w].split())
-        decoded = " ".join(filter(None, map(said.__getitem__, words)))
-        return (ids.count(" ") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-
-    return _joined(docs, "doc_id", "text", vocabulary, "n_tokens long, ids_sha256 string, decoded_sha256 string", emit)
+    """One row per document: number of ids, digest of the ids, digest of what they decode to.
+
+    Rows are treated as by ``encode`` and ``decode``: every row gives one, null
+    text as empty text, an empty table an empty result.
+    """
+    table = docs.sparkSession.sparkContext.broadcast(pieces(vocabulary or tokens.default_vocabulary()))  # as large as the vocabulary
+    digests = lambda said: pa.array([hashlib.sha256(s.as_buffer()).hexdigest() for s in said], pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(table.value, pa.string())
+        numbers = pa.array(map(str, range(len(known))), pa.string())
+        for batch in batches:
+            at = 0
+            for part in _slices(batch.column(1)):
+                columns = [pc.list_value_length(part).cast(pa.int64()), digests(spoken(part, numbers)), digests(spoken(part, known))]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(part)], *columns], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                at += len(part)
+
+    encoded = encode(docs, vocabulary=vocabulary)
+    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return encoded.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", "doc_id")

@@ -41,6 +41,24 @@ def library_tokenizer(path: str):
     return made
 
 
+#: A text with all that ``chunks``, ``folded`` and ``Memo`` rely on.
+PROBE = "Héllo  WÖRLD's x\x85y\tit's a.b!! (yes), no? 1234 ÀÉ Ünï\x1cz \n end."
+
+
+@functools.cache
+def fits(path: str) -> bool:
+    """Whether the vocabulary works as this module needs: case folded, white space dropped, no token across it or between letters and marks."""
+    library = library_tokenizer(path)
+    ids = lambda t: library.encode(t, add_special_tokens=False).ids
+    apart = [x for c in chunks(folded(PROBE)) for part in _core_and_tail(c) for x in ids(part)]
+    return apart == ids(PROBE) and bool(apart)
+
+
+def _core_and_tail(chunk: str) -> tuple[str, ...]:
+    core = chunk.rstrip(TAIL)
+    return (core, chunk[len(core) :]) if core != chunk and core and core[-1] in LETTERS else (chunk,)
+
+
 def chunks(text: str) -> list[str]:
     if any(c in text for c in ODD_SPACE):
         return [c for c in SPACE.split(text) if c]
@@ -71,6 +89,7 @@ class Memo:
 
     def __init__(self, path: str, most: int = 400_000):
         self.tokenizer, self.most, self.known, self.older = library_tokenizer(path), most, {}, {}
+        self.fits = fits(path)
 
     def learn(self, parts: list[str]) -> None:
         """Make sure that all of ``parts`` are known."""
@@ -84,10 +103,10 @@ class Memo:
             if ids is not None:
                 self.known[c] = ids
                 continue
-            core = c.rstrip(TAIL)
-            if core != c and core and core[-1] in LETTERS:
-                with_tail.append((c, core, c[len(core) :]))
-                new.update(x for x in (core, c[len(core) :]) if x not in self.known)
+            parts_of = _core_and_tail(c)
+            if len(parts_of) == 2:
+                with_tail.append((c, *parts_of))
+                new.update(x for x in parts_of if x not in self.known)
             else:
                 new.add(c)
         listed = list(new)
@@ -99,6 +118,8 @@ class Memo:
             self.known[c] = self.known[core] + self.known[tail]
 
     def encode(self, text: str) -> bytes:
+        if not self.fits:  # another kind of vocabulary: whole texts go to the library
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         parts = chunks(folded(text))
         try:
             return b"".join(map(self.known.__getitem__, parts))

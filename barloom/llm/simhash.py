@@ -96,8 +96,9 @@ def _segment_links(labelled: DataFrame) -> DataFrame:
 
 def link_fingerprints(distinct: DataFrame) -> DataFrame:
     """Distinct ``fp`` to (fp, root): the components of the graph of links at three bits or fewer."""
-    # Each row becomes 65, so rows are spread before, not after.
-    distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    # Each row becomes 65, so rows are spread before, not after; by a key of its own, since Spark
+    # would leave out a second exchange by fp and merge the first, whose rows are short.
+    distinct = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("fp", F.lit(1)))
     first = components(_near_stars(distinct))
     labelled = cut_lineage(distinct.join(first, distinct["fp"] == first["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")))
     second = components(_segment_links(labelled))
@@ -125,14 +126,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def simhash_report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest id.
-
-    Columns stay. Rows with a null id are kept, since nothing tells them apart.
-    Repeated rows of the kept document stay repeated.
-    """
-    groups = near_duplicates(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    kept = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))

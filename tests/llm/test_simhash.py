@@ -78,5 +78,3 @@ def test_nulls_and_empty(spark):
     assert simhash.simhash_report(spark.createDataFrame([], schema)).count() == 0
     rows = simhash.simhash_report(spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (None, None)], schema)).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in rows) == [(0, 0), (0, 3), (3, 3), (3, 3)]
-    kept = simhash.keep_first_of_each(spark.createDataFrame([(9, "a b c d"), (3, "a b c d"), (None, "a b c d")], schema))
-    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 3]

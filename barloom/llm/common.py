@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,13 +10,16 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share.
+    """Folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    It is read from ``spark.checkpoint.dir``. Only where that setting is absent
-    (tests, a laptop) a temporary folder of this machine takes its place.
+    Only where that setting is absent and everything runs in one local process
+    (tests, a laptop) a temporary folder takes its place; a cluster without the
+    setting is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:

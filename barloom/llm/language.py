@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import cut_lineage
+
 DIMENSIONS = 1024
 SEED = 7
 #: Slot 0 is everything that isn't a letter, 1..26 are a..z, the rest are shared by other letters.
@@ -30,6 +32,8 @@ SLOTS = 64
 GRAMS = SLOTS**3
 BATCH_CHARS = 1 << 20
 UNKNOWN = "und"
+#: Profiles are sent to every task; more languages than this are an error.
+MOST_LANGUAGES = 5000
 
 
 @functools.cache
@@ -148,8 +152,12 @@ def _gram_counts(docs: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, dimensions: int = DIMENSIONS) -> Profiles:
-    """Profiles of the languages in ``lang``, from all rows of ``docs`` with a language and text."""
-    counts = _gram_counts(docs.where("lang is not null and text is not null").select("lang", "text"))
+    """Profiles of the languages in ``lang``, from all rows of ``docs`` with a language and text.
+
+    Rows without either teach nothing; repeated rows count as often as they
+    occur. A language without a trigram, and an empty table, give no profile.
+    """
+    counts = cut_lineage(_gram_counts(docs.where("lang is not null and text is not null").select("lang", "text")))
 
     def bundle_counts(group: pd.DataFrame) -> pd.DataFrame:
         v = np.zeros(dimensions)
@@ -159,6 +167,8 @@ def learn(docs: DataFrame, dimensions: int = DIMENSIONS) -> Profiles:
         return pd.DataFrame({"lang": [group["lang"].iloc[0]], "v": [v]})
 
     # One row for each language, of fixed width.
+    if counts.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     rows = sorted(counts.groupBy("lang").applyInPandas(bundle_counts, "lang string, v array<double>").collect(), key=lambda r: r.lang)
     v = np.array([r.v for r in rows], np.float32).reshape(-1, dimensions)
     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)

@@ -161,15 +161,28 @@ def _features(docs: DataFrame, id_col: str, extra: list[str]) -> DataFrame:
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS, rounds: int = ROUNDS
 ) -> CoTrained:
-    """Co-train on a sample of ``docs`` of a stated size; several labels of one document count by their mean."""
+    """Co-train on a sample of ``docs`` of a stated size; several labels of one document count by their mean.
+
+    About ``labelled_rows`` labelled and ``pool_rows`` other rows reach the
+    driver, as features of fixed width, whatever the number of rows and however
+    often an id is repeated. Labels with a null id or value don't count; null
+    text counts as empty; rows with a null id may be in the pool. Without labels
+    of both classes the model is the share of good labels, 1 if there are none.
+    """
     one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(label_col) >= 0.5).cast("double").alias("y"))
     sampled = one.orderBy(F.xxhash64("id"), "id").limit(labelled_rows)  # at most labelled_rows rows, so it may be broadcast
     n = docs.count()
-    pool_share = min(1.0, pool_rows / max(n, 1))
-    order = F.xxhash64("id")
-    in_pool = F.pmod(F.xxhash64("id", F.lit("pool")), F.lit(1 << 30)) < int(pool_share * (1 << 30))
+    share = min(1.0, pool_rows / max(n, 1))
+    below = lambda what, part: F.pmod(what, F.lit(1 << 30)) < F.lit(int(part * (1 << 30)))
+    chosen = F.when(F.col("y").isNotNull(), "labelled").when(below(F.xxhash64("id", F.lit("pool")), share), "pool")
     named = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
-    taken = named.join(F.broadcast(sampled), "id", "left").where(F.col("y").isNotNull() | in_pool).withColumn("h", order)
+    labelled = lambda rows: rows.join(F.broadcast(sampled), "id", "left").withColumn("chosen", chosen).where("chosen is not null")
+    met = {r.chosen: r["count"] for r in labelled(named.select("id")).groupBy("chosen").count().collect()}
+    taken = labelled(named).withColumn("h", F.xxhash64("id"))
+    if met.get("labelled", 0) > labelled_rows or met.get("pool", 0) > 2 * pool_rows:  # rows of repeated ids are thinned out one by one
+        part = F.when(F.col("chosen") == "pool", F.lit(min(1.0, pool_rows / max(1, met.get("pool", 0))))).otherwise(F.lit(min(1.0, labelled_rows / max(1, met.get("labelled", 0)))))
+        row = F.xxhash64(F.monotonically_increasing_id(), F.lit("row"))
+        taken = taken.withColumn("h", row).where(F.pmod("h", F.lit(1 << 30)) < part * F.lit(1 << 30))
     got = _features(taken, id_col, ["y", "h"]).toArrow()
     h = got.column("h").to_numpy()
     sort = np.argsort(h, kind="stable")
@@ -180,7 +193,7 @@ def fit(
 
 
 def score(docs: DataFrame, model: CoTrained, id_col: str = "doc_id") -> DataFrame:
-    """``id_col``, score, text_score, meta_score of every row."""
+    """``id_col``, score, text_score, meta_score of every row; null text counts as empty, null ids stay null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,7 +224,12 @@ def quality_report(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, **how) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject, columns unchanged."""
+    """The rows of ``docs`` that the classifier doesn't reject, columns unchanged, whatever their names.
+
+    Null text is scored as empty and stays null; rows with null ids are scored
+    like any other; repeated rows stay or go together; an empty table gives an
+    empty result. ``fit`` says what happens without labels.
+    """
     model = fit(docs, labels, **how)
     names = docs.columns
     place = {c: names.index(c) for c in ("text", "lang", "source")}

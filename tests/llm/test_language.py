@@ -41,3 +41,38 @@ def test_empty(spark):
     assert language.language_report(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
     only = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in language.language_report(only).collect()] == [("und", 0.0)]
+
+
+def plain_vector(text, letters):
+    """Sum of the bound vectors of a text's trigrams, letter by letter."""
+    number = lambda c: 0 if not c.isalpha() else ord(c) - 96 if "a" <= c <= "z" else 27 + ord(c) % 37
+    s = [0]
+    for c in text:
+        low = c.lower()[:1]
+        n = number(low if ord(c) < 0x3000 else c)
+        if n or s[-1]:
+            s.append(n)
+    if s[-1]:
+        s.append(0)
+    total = np.zeros(letters.shape[1])
+    for a, b, c in zip(s, s[1:], s[2:]):
+        total += np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c]
+    return total
+
+
+def test_report_against_brute_force(spark):
+    rows = [(i, t + " Straße, 42", lang) for i, t, lang, _ in corpus(90)] + [(200, "Что это? ДА", "ru"), (201, "x", "en")]
+    letters = language.letter_vectors().astype(np.int64)
+    unit = lambda v: v / max(np.linalg.norm(v), 1e-9)
+    sums = {}
+    for i, t, lang in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            sums[lang] = sums.get(lang, 0) + plain_vector(t, letters)
+    names = sorted(sums)
+    profiles = [unit(sums[n]) for n in names]
+    centre = np.mean(profiles, axis=0)
+    profiles = [unit(p - centre) for p in profiles]
+    got = {r.doc_id: r for r in language.language_report(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    for i, t, _ in rows:
+        cosines = [float(unit(unit(plain_vector(t, letters)) - centre) @ p) for p in profiles]
+        assert got[i].lang_pred == names[int(np.argmax(cosines))] and abs(got[i].score - min(1, max(0, max(cosines)))) < 1e-4

@@ -4,11 +4,11 @@
 their five-word shingles differ in about 15 of 100 bits, so here the fingerprint
 has 504 bits, cut into 18 segments of 28. Of a segment's Hamming ball only the
 likely part is enumerated: a majority that was won narrowly is the one that an
-edit turns, so the values that differ in any of the segment's three narrowest
-bits (8 of them) are entered into the segment's table. Both sides do so: two
+edit turns, so the values that differ in any of the segment's four narrowest bits
+(16 of them) are entered into the segment's table. Both sides do so: two
 fingerprints meet if all bits in which a segment differs are narrow for one of
-them. By simulation they meet in a segment with a chance of 0.15 at similarity
-0.8, 0.25 at 0.85 and 0.41 at 0.9, so in one of 18 with 0.95, 0.994 and 0.9999.
+them. By simulation they meet in a segment with a chance of 0.24 at similarity
+0.8, 0.40 at 0.85 and 0.58 at 0.9, so in one of 18 with 0.993, 0.9999 and more.
 
 What meets is verified twice: by the complete distance, then by the exact
 Jaccard similarity of both sets of shingles.
@@ -34,7 +34,7 @@ from barloom.llm.common import cut_lineage, text_or_empty
 from barloom.llm.components import components
 
 WIDTH, LEAST = 5, 0.8
-SEGMENTS, BITS, NARROW = 18, 28, 3
+SEGMENTS, BITS, NARROW = 18, 28, 4
 LANES = 8
 #: Complete distance of a candidate at most; 0.8 gives 76 with a deviation of 8, few shingles up to 95.
 MAX_BITS = 120
@@ -69,14 +69,22 @@ def margins(hashes: np.ndarray) -> np.ndarray:
     return (2 * counts - len(hashes))[: SEGMENTS * BITS]
 
 
-def entry(margin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprint as 64-bit words, values of the segments (with their numbers), and masks of each segment's narrowest bits."""
-    bits = margin > 0
-    words = np.packbits(np.concatenate([bits, np.zeros(LANES * 64 - len(bits), bool)]), bitorder="little").view(np.int64)
-    place = np.int64(1) << np.arange(BITS, dtype=np.int64)
-    values = bits.reshape(SEGMENTS, BITS) @ place + (np.arange(SEGMENTS, dtype=np.int64) << BITS)
+def entry(margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprint as 64-bit words, and the places of each segment's narrowest bits."""
+    bits = np.concatenate([margin > 0, np.zeros(LANES * 64 - len(margin), bool)])
     narrow = np.argsort(np.abs(margin).reshape(SEGMENTS, BITS), axis=1, kind="stable")[:, :NARROW]
-    return words, values, place[narrow]
+    return np.packbits(bits, bitorder="little").view(np.int64), narrow.astype(np.uint8)
+
+
+def keys(words: np.ndarray, narrow: np.ndarray) -> np.ndarray:
+    """For each fingerprint (a row) the values it is entered under, told apart by segment."""
+    n = len(words)
+    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(n, -1), axis=1, bitorder="little")[:, : SEGMENTS * BITS]
+    place = np.int64(1) << np.arange(BITS, dtype=np.int64)
+    found = [bits.reshape(n, SEGMENTS, BITS) @ place + (np.arange(SEGMENTS, dtype=np.int64) << BITS)]
+    for i in range(NARROW):
+        found += [f ^ place[narrow.reshape(n, SEGMENTS, NARROW)[:, :, i]] for f in found]
+    return np.stack(found, axis=2).reshape(n, -1)
 
 
 def _node(words: list[bytes]) -> int:
@@ -88,40 +96,72 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *rows])))
 
 
-MASKS = [f"m{i}" for i in range(NARROW)]
-
-
 def _fingerprinted(base: DataFrame) -> DataFrame:
-    """(id, node, fp, segments, m0, m1, m2)."""
+    """(id, node, fp, narrow)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [_words(t) for t in batch.column(1).to_pylist()]
             made = [entry(margins(shingles(w))) for w in texts]
-            lists = [_lists([m[0] for m in made]), _lists([m[1] for m in made]), *[_lists([m[2][:, i] for m in made]) for i in range(NARROW)]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_node(w) for w in texts], pa.int64()), *lists], names=["id", "node", "fp", "segments", *MASKS])
+            columns = [pa.array([_node(w) for w in texts], pa.int64()), _lists([m[0] for m in made]), pa.array([m[1].tobytes() for m in made], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "node", "fp", "narrow"])
+
+    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, node long, fp array<long>, narrow binary")
+
+
+#: Size of the filters that keep what surely isn't needed from being shuffled; a prime, whatever the corpus.
+FILTER = 134_217_689
+
 
-    longs = ", ".join(f"{c} array<long>" for c in ("fp", "segments", *MASKS))
-    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, node long, {longs}")
+def _filter(values: DataFrame, column: str):
+    """A bit for each value's remainder, for the tasks: 16 MB. What passes it is checked by a join."""
+    place = F.pmod(column, F.lit(FILTER)) + 1  # Spark numbers bits from 1
+    rows = values.select(F.bitmap_bucket_number(place).alias("b"), F.bitmap_bit_position(place).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
+    found = np.zeros((FILTER // 32768 + 2, 4096), np.uint8)
+    for r in rows:
+        found[r.b] = np.frombuffer(r.bits, np.uint8)
+    return values.sparkSession.sparkContext.broadcast(found)
 
 
-def _sets(base: DataFrame) -> DataFrame:
+def _passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
+    place = values % FILTER
+    within = place % 32768
+    return (bits[place // 32768 + 1, within // 8] >> (within % 8).astype(np.uint8)) & 1 > 0
+
+
+def _entered(nodes: DataFrame, wanted=None) -> DataFrame:
+    """(key, node): each node under all its values, or those that pass a filter; without a filter key alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                words = batch.column(1).flatten().to_numpy().reshape(-1, LANES)
+                narrow = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8)
+                made = keys(words, narrow)
+                if wanted is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(made.ravel())], names=["key"])
+                    continue
+                owner = np.repeat(batch.column(0).to_numpy(), made.shape[1])
+                kept = _passes(wanted.value, made.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(made.ravel()[kept]), pa.array(owner[kept])], names=["key", "node"])
+
+    return nodes.select("node", "fp", "narrow").mapInArrow(run, "key long" if wanted is None else "key long, node long")
+
+
+def _sets(base: DataFrame, wanted) -> DataFrame:
+    """(node, s): shingles of the texts whose nodes pass the filter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [_words(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_node(w) for w in texts], pa.int64()), _lists([shingles(w).view(np.int64) for w in texts])], names=["node", "s"])
+            nodes = np.array([_node(w) for w in texts], np.int64)
+            kept = np.flatnonzero(_passes(wanted.value, nodes))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[kept]), _lists([shingles(texts[i]).view(np.int64) for i in kept.tolist()])], names=["node", "s"])
 
     return base.select("text").mapInArrow(run, "node long, s array<long>")
 
 
-def _ball(x: Column) -> Column:
-    """A segment's value with any of its narrow bits turned."""
-    found = [x["segments"]]
-    for m in MASKS:
-        found += [f.bitwiseXOR(x[m]) for f in found]
-    return F.array(*found)
-
-
 def _distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
@@ -148,14 +188,16 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
 
 def groups(nodes: DataFrame, base: DataFrame) -> DataFrame:
     """(node, root) for all ``nodes``; a root stands for its group. ``base`` holds the texts."""
-    entered = nodes.select("node", F.explode(F.flatten(F.transform(F.arrays_zip("segments", *MASKS), _ball))).alias("key"))
-    shared = entered.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select("key", "hub")
-    members = cut_lineage(entered.join(cut_lineage(shared), "key"))
-    sets = cut_lineage(_sets(base).join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    shared = cut_lineage(_entered(nodes).groupBy("key").count().where("count > 1").select("key"))
+    members = cut_lineage(_entered(nodes, _filter(shared, "key")).join(shared, "key"))
+    hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
+    met_nodes = cut_lineage(members.select("node").distinct())
+    sets = cut_lineage(_sets(base, _filter(met_nodes, "node")).join(met_nodes, "node", "left_semi").dropDuplicates(["node"]))
     labels = nodes.select("node", F.col("node").alias("root"))
 
     # Each node and the nearest of its hubs.
-    stars = _with(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), nodes, "fp").withColumn("d", _distance("fpa", "fpb"))
+    starred = members.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    stars = _with(starred, nodes, "fp").withColumn("d", _distance("fpa", "fpb"))
     nearest = stars.where(F.col("d") <= MAX_BITS).groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", "best.b")
     labels = _joined(labels, _verified(cut_lineage(nearest), sets))
 
@@ -182,8 +224,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     made = cut_lineage(_fingerprinted(base))
     first = lambda c: F.first(c).alias(c)  # noqa: E731  equal within a node
-    nodes = made.groupBy("node").agg(F.min("id").alias("first"), *[first(c) for c in ("fp", "segments", *MASKS)])
-    # Each row becomes 144, so rows are spread before; by a key of its own, see simhash.link_fingerprints.
+    nodes = made.groupBy("node").agg(F.min("id").alias("first"), first("fp"), first("narrow"))
+    # Each row becomes 288, so rows are spread before; by a key of its own, see simhash.link_fingerprints.
     nodes = cut_lineage(nodes.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("node", F.lit(1))))
     named = nodes.select("node", "first").join(groups(nodes, base), "node")
     # The smallest id of a group has the smallest of its node.

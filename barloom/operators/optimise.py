@@ -93,8 +93,8 @@ def walk_forward_summary(by_fold: DataFrame) -> DataFrame:
     return agg.withColumn("degradation_ratio", ratio).withColumn("robust", (ratio > 0.5) & (F.col("mean_test") > 0))
 
 
-def overfit(bars: DataFrame, fast: int = 10, slow: int = 30, share: float = 0.7) -> DataFrame:
-    """(symbol, overfit_score) of a moving-average cross between the first ``share`` of the bars and the rest."""
+def overfit(bars: DataFrame, fast: int = 10, slow: int = 30, share: float = 0.7, report: bool = False) -> DataFrame:
+    """(symbol, overfit_score) of a moving-average cross between the first ``share`` of the bars and the rest; with ``report`` also warnings and recommendations."""
     keys = ("symbol", "part")
     rank = F.percent_rank().over(W.partitionBy("symbol").orderBy("bar_ts"))
     parts = bars.withColumn("part", F.when(rank <= share, "train").otherwise("test"))
@@ -106,4 +106,9 @@ def overfit(bars: DataFrame, fast: int = 10, slow: int = 30, share: float = 0.7)
     pick = lambda part: [F.max(F.when(F.col("part") == part, F.coalesce(n, F.lit(0.0)))).alias(f"{part}_{n}") for n in names]
     both = got.groupBy("symbol").agg(*pick("train"), *pick("test"))
     side = lambda part: {n: F.col(f"{part}_{n}") for n in names}
-    return both.select("symbol", metrics.overfit_score(side("train"), side("test"), F.lit(2)).alias("overfit_score"))
+    sides = side("train"), side("test"), F.lit(2)
+    made = both.withColumn("overfit_score", metrics.overfit_score(*sides))
+    if not report:
+        return made.select("symbol", "overfit_score")
+    warned = made.withColumn("warnings", metrics.overfit_warnings(*sides))
+    return warned.select("symbol", "overfit_score", "warnings", metrics.overfit_advice(F.col("warnings"), F.col("train_sharpe_ratio")).alias("recommendations"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.operators.metrics import LIMITS, TITLES
 
+# Limits of the bands.
 BANDS = {
     "sharpe": ((2.0, "excellent"), (1.0, "good"), (0.0, "fair")),
     "win_rate": ((0.6, "high"), (0.4, "medium")),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -33,21 +35,29 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))
 
 
-def bigrams(text: Column) -> Column:
-    low = F.lower(text)
-    return F.when(F.length(low) < 2, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(2)))
-    )
+def bigram_similarity(a: Column, b: Column) -> Column:
+    """Cosine of two texts' character-bigram counts in lower case; 0 if one has fewer than two characters.
+
+    Both texts lie in one row, so they are counted there, by batches, and nothing is shuffled.
+    """
+
+    @F.pandas_udf("double")
+    def made(x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(s: str | None, t: str | None) -> float:
+            if not s or not t or len(s) < 2 or len(t) < 2:
+                return 0.0
+            p, q = Counter(zip(s, s[1:])), Counter(zip(t, t[1:]))
+            dot = sum(n * q[g] for g, n in p.items() if g in q)
+            return dot / (math.sqrt(sum(n * n for n in p.values())) * math.sqrt(sum(n * n for n in q.values())))
+
+        return pd.Series([one(s, t) for s, t in zip(x, y, strict=True)], dtype="float64")
+
+    return made(F.lower(a), F.lower(b))
 
 
 def bigram_cosine(pairs: DataFrame, keys: list[str], a: str, b: str, out: str = "similarity") -> DataFrame:
-    """(keys, out): cosine of the two texts' character-bigram counts; keys must tell rows apart."""
-    long = pairs.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col(a).alias("t")), F.struct(F.lit(1).alias("side"), F.col(b).alias("t")))).alias("s"))
-    grams = long.select(*keys, "s.side", F.explode_outer(bigrams(F.col("s.t"))).alias("g"))
-    counts = grams.groupBy(*keys, "g").agg(F.sum(F.when(F.col("side") == 0, 1).otherwise(0)).alias("x"), F.sum(F.when(F.col("side") == 1, 1).otherwise(0)).alias("y"))
-    counts = counts.withColumns({c: F.when(F.col("g").isNull(), 0).otherwise(F.col(c)) for c in "xy"})
-    sums = counts.groupBy(*keys).agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("y") * F.col("y")).alias("yy"))
-    return sums.select(*keys, F.when((F.col("xx") == 0) | (F.col("yy") == 0), F.lit(0.0)).otherwise(F.col("xy") / (F.sqrt("xx") * F.sqrt("yy"))).alias(out))
+    """(keys, out): bigram similarity of two columns."""
+    return pairs.select(*keys, bigram_similarity(F.col(a), F.col(b)).alias(out))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -120,8 +130,6 @@ def semantic_split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Groups shorter than ``least`` join the one before; longer than ``most`` are cut again.
     """
-    from collections import Counter
-
     def like(a: str, b: str) -> float:
         x, y = (Counter(s[i : i + 2] for i in range(len(s) - 1)) for s in (a.lower(), b.lower()))
         norm = (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
@@ -151,13 +159,70 @@ def semantic_split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return base.mapInPandas(run, f"id {docs.schema[id_col].dataType.simpleString()}, pos int, chunk string").withColumnRenamed("id", id_col)
 
 
+# Clause headings at a line's start, in any case.
+HEADING = r"(?imd)(?=^(?:第[一二三四五六七八九十百千零\d]+[條章節款項]|Article\s+\d+|Section\s+\d+|\d+\.\s+))"
+#: Clauses of more characters are cut again, to pieces of this size and overlap.
+LONG_CLAUSE, CLAUSE_SIZE, CLAUSE_OVERLAP = 1000, 500, 50
+
+
+def clauses(text: Column) -> Column:
+    """Parts of a text before clause headings; by blank lines if that gives one part only."""
+    stripped = lambda parts: F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    by_heading = stripped(F.split(text, HEADING))
+    return F.when(F.size(by_heading) > 1, by_heading).otherwise(stripped(F.split(text, r"\n\s*\n")))
+
+
+def _pieces(docs: DataFrame, id_col: str, column: Column, cut) -> DataFrame:
+    """(id, pos, chunk) of ``cut(value)``, a list for each row's value of ``column``."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(i, n, p) for i, v in zip(frame["id"], frame["v"], strict=True) for n, p in enumerate(cut(v))]
+            yield pd.DataFrame(rows, columns=["id", "pos", "chunk"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), column.alias("v")).mapInPandas(run, f"id {kind}, pos int, chunk string").withColumnRenamed("id", id_col)
+
+
 def clause_split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, pos, chunk) cut before clause headings (第…条, Article n, Section n, "n. " at a line's start), else at blank lines."""
-    heading = r"(?m)(?=^\s*(?:第[一二三四五六七八九十百千零\d]+[条章节]|Article\s+\d+|Section\s+\d+|\d+\.\s))"
-    by_heading = F.split(text_col, heading)
-    parts = F.when(F.size(by_heading) > 1, by_heading).otherwise(F.split(text_col, r"\n\s*\n"))
-    stripped = F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
-    return docs.select(id_col, F.posexplode(F.filter(stripped, lambda p: p != "")).alias("pos", "chunk"))
+    """(id, pos, chunk) cut before clause headings, else at blank lines; long clauses are cut again by ``recursive_pieces``.
+
+    Null and blank texts have no chunk.
+    """
+    again = lambda p: recursive_pieces(p, CLAUSE_SIZE, CLAUSE_OVERLAP) if len(p) > LONG_CLAUSE else [p]
+    return _pieces(docs, id_col, clauses(F.coalesce(text_col, F.lit(""))), lambda parts: [x for p in parts for x in again(p)])
+
+
+def split_documents(docs: DataFrame, strategy: str = "recursive", id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """(id, pos, chunk, start_idx, end_idx, chunk_id) by a named strategy: recursive, semantic or financial; others raise.
+
+    Each chunk is looked for behind the end of the one before; a chunk that isn't
+    found as it is starts there. Numbers in chunk ids run within a document, so
+    documents stay independent of each other.
+    """
+    made = {"recursive": recursive_split, "semantic": semantic_split, "financial": clause_split}
+    if strategy not in made:
+        raise ValueError(f"unknown splitting strategy {strategy!r}; choose from {list(made)}")
+    chunks = made[strategy](docs, id_col, text_col, **how)
+    grouped = chunks.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "chunk"))).alias("c"))
+    whole = grouped.join(docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("t")), id_col)
+    found = "array<struct<pos:int,chunk:string,start_idx:int,end_idx:int>>"
+
+    @F.pandas_udf(found)
+    def placed(texts: pd.Series, lists: pd.Series) -> pd.Series:
+        out = []
+        for text, items in zip(texts, lists, strict=True):
+            at, mine = 0, []
+            for x in items:
+                here = text.find(x["chunk"], at)
+                start = at if here < 0 else here
+                mine.append({"pos": x["pos"], "chunk": x["chunk"], "start_idx": start, "end_idx": start + len(x["chunk"])})
+                at = at if here < 0 else start + len(x["chunk"])
+            out.append(mine)
+        return pd.Series(out)
+
+    each = whole.select(id_col, F.explode(placed("t", "c")).alias("x")).select(id_col, "x.*")
+    return chunk_ids(each, id_col, "chunk", "pos")
 
 
 def markdown_sections(docs: DataFrame, id_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -202,14 +267,22 @@ def confidence(distances: Column, answer: Column) -> Column:
 
 
 def bleu1(pairs: DataFrame, keys: list[str], ref: str, hyp: str) -> DataFrame:
-    """(keys, bleu1): clipped word precision times min(1, length ratio), words by white space."""
+    """(keys, bleu1): clipped word precision times min(1, length ratio), words by white space; counted within each row."""
     words = lambda c: F.filter(F.split(F.col(c), r"\s+"), lambda w: w != "")
-    base = pairs.select(*keys, words(ref).alias("r"), words(hyp).alias("h"))
-    long = base.select(*keys, F.size("r").alias("nr"), F.size("h").alias("nh"), F.explode_outer(F.concat(F.transform("r", lambda w: F.struct(w.alias("w"), F.lit(0).alias("s"))), F.transform("h", lambda w: F.struct(w.alias("w"), F.lit(1).alias("s"))))).alias("x"))
-    per = long.groupBy(*keys, "nr", "nh", "x.w").agg(F.sum(F.when(F.col("x.s") == 0, 1).otherwise(0)).alias("cr"), F.sum(F.when(F.col("x.s") == 1, 1).otherwise(0)).alias("ch"))
-    sums = per.groupBy(*keys, "nr", "nh").agg(F.sum(F.least("cr", "ch")).alias("m"))
-    ratio = F.least(F.lit(1.0), F.col("nh") / F.greatest("nr", F.lit(1)))
-    return sums.select(*keys, F.when(F.col("nh") == 0, F.lit(0.0)).otherwise(F.try_divide("m", "nh") * ratio).alias("bleu1"))
+
+    @F.pandas_udf("double")
+    def made(r: pd.Series, h: pd.Series) -> pd.Series:
+        def one(x, y) -> float:
+            x, y = ([] if w is None else list(w) for w in (x, y))
+            if not y:
+                return 0.0
+            have = Counter(x)
+            met = sum(min(n, have[w]) for w, n in Counter(y).items() if w in have)
+            return met / len(y) * min(1.0, len(y) / max(len(x), 1))
+
+        return pd.Series([one(x, y) for x, y in zip(r, h, strict=True)], dtype="float64")
+
+    return pairs.select(*keys, made(words(ref), words(hyp)).alias("bleu1"))
 
 
 def lcs_length(a: list[str], b: list[str]) -> int:
@@ -275,8 +348,31 @@ def preview(text: Column, n: int = 100) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
 
 
-def context(hits: DataFrame, query: str, rank: str, content: str = "content", source: str = "source") -> DataFrame:
-    """(query, context): numbered hits of each query in rank order, a blank line between them."""
-    made = hits.groupBy(query).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(source).cast("string").alias("s"), F.col(content).alias("c")))).alias("h"))
-    each = F.transform("h", lambda x: F.concat(F.lit("["), x["r"].cast("string"), F.lit("] ("), x["s"], F.lit(")\n"), x["c"]))
-    return made.select(query, F.array_join(each, "\n\n").alias("context"))
+# Labels of sources.
+SOURCE, PAGE, TITLE, CONTENT, SOURCES = "来源: ", "页码: ", "标题: ", "内容: ", "来源列表:"
+
+
+def _labels(source: str, page: str | None, title: str | None) -> list[Column]:
+    """Source, page and title with their labels; null where a hit has none."""
+    known = lambda c: F.lit(None).cast("string") if c is None else F.nullif(F.col(c).cast("string"), F.lit(""))
+    return [F.concat(F.lit(SOURCE), F.coalesce(F.col(source).cast("string"), F.lit(""))), F.concat(F.lit(PAGE), known(page)), F.concat(F.lit(TITLE), known(title))]
+
+
+def _in_order(hits: DataFrame, query: str, rank: str, part: Column, separator: str, out: str) -> DataFrame:
+    made = hits.groupBy(query).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), part.alias("s")))).alias("h"))
+    return made.select(query, F.array_join(F.transform("h", lambda x: x["s"]), separator).alias(out))
+
+
+def context(hits: DataFrame, query: str, rank: str, content: str = "content", source: str = "source", page: str | None = None, title: str | None = None) -> DataFrame:
+    """(query, context): numbered hits of each query in rank order with source and, where known, page and title; a blank line between them."""
+    label = F.concat_ws(", ", *_labels(source, page, title))
+    part = F.concat(F.lit("["), F.col(rank).cast("string"), F.lit("] ("), label, F.lit(")\n"), F.coalesce(content, F.lit("")))
+    return _in_order(hits, query, rank, part, "\n\n", "context")
+
+
+def source_list(hits: DataFrame, query: str, rank: str, content: str = "content", source: str = "source", page: str | None = None, title: str | None = None) -> DataFrame:
+    """(query, sources): the hits of each query in rank order, with source, page and title where known, and the head of the content."""
+    lines = [F.concat(F.lit("  "), x) for x in (*_labels(source, page, title), F.concat(F.lit(CONTENT), preview(F.coalesce(content, F.lit("")))))]
+    part = F.concat_ws("\n", F.concat(F.lit("\n["), F.col(rank).cast("string"), F.lit("]")), *lines)
+    made = _in_order(hits, query, rank, part, "\n", "sources")
+    return made.withColumn("sources", F.concat(F.lit(SOURCES + "\n" + "=" * 50 + "\n"), F.col("sources")))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-HOURLY = """bars as (select event_type symbol, date_trunc('hour', ts)::timestamp bar_ts, arg_min(value, ts) "open", max(value) high, min(value) low,
-  arg_max(value, ts) "close", count(*) volume from events group by 1, 2)"""
+from barloom.operators.optimise import random_combinations
+
+HOURLY = """bars as (select event_type symbol, date_trunc('hour', ts)::timestamp bar_ts, arg_min(value, {'t': ts, 'e': event_id}) "open", max(value) high, min(value) low,
+  arg_max(value, {'t': ts, 'e': event_id}) "close", count(*) volume from events group by 1, 2)"""
 ORDERS = """bars as (select o_orderpriority symbol, date_trunc('day', o_orderdate)::timestamp bar_ts,
   arg_min(o_totalprice, {'d': o_orderdate, 'k': o_orderkey}) "open", max(o_totalprice) high, min(o_totalprice) low,
   arg_max(o_totalprice, {'d': o_orderdate, 'k': o_orderkey}) "close", count(*) volume from orders group by 1, 2)"""
@@ -18,6 +20,10 @@ def full(n: int, made: str, of: str = "close") -> str:
     return f'case when count("{of}") over {r(n)} = {n} then {made} end'
 
 
+#: Bars of means over 24 hours.
+TREND = HOURLY.replace("bars as", "raw as", 1) + ", bars as (select symbol, bar_ts, " + ", ".join(f'avg("{c}") over {r(24)} "{c}"' for c in ("open", "high", "low", "close")) + ", volume from raw)"
+
+
 def lag(x: str, keys: str = "symbol") -> str:
     return f"lag({x}) over (partition by {keys} order by bar_ts)"
 
@@ -104,8 +110,8 @@ PATTERNS = {
 }
 PATTERNS = {k: f"coalesce({v}, false)" for k, v in PATTERNS.items()}
 
-#: Signals of an RSI strategy on daily order bars, for trades, equity and metrics.
-SIGNALLED = [*RSI14, "sig as (select *, " + signal("rsi < 30", "rsi > 70") + " signal from rsis)"]
+#: Signals of an RSI strategy on smoothed hourly bars, for trades, equity and metrics.
+SIGNALLED = [*RSI14, "sig as (select *, " + signal("rsi < 45", "rsi > 60") + " signal from rsis)"]
 
 
 def positions(source: str = "sig", keys: str = "symbol", name: str = "pos") -> list[str]:
@@ -129,7 +135,7 @@ def equity(keys: str = "symbol", source: str = "pos", name: str = "eq", commissi
     ]
 
 
-def backtest(keys: str = "symbol", source: str = "sig", prefix: str = "") -> list[str]:
+def backtest(keys: str = "symbol", source: str = "sig", prefix: str = "", commission: float = 0.001) -> list[str]:
     """CTE ``{prefix}bt`` with the metrics of a backtest by ``keys``."""
     p = prefix
     w = f"(partition by {keys} order by bar_ts rows between unbounded preceding and current row)"
@@ -138,7 +144,7 @@ def backtest(keys: str = "symbol", source: str = "sig", prefix: str = "") -> lis
     years = "greatest(n / 252.0::double, 0.01::double)"
     return [
         *positions(source, keys, f"{p}pos"),
-        *equity(keys, f"{p}pos", f"{p}eq"),
+        *equity(keys, f"{p}pos", f"{p}eq", commission),
         f"{p}curve as (select {keys}, count(*) n, arg_min(le, bar_ts) v0, arg_max(le, bar_ts) v1, avg(rr) m, stddev_samp(rr) sd, min(dd) mdd from {p}eq group by {keys})",
         f"{p}tr as (select {keys}, count(*) nt, avg(case when {pct} > 0 then 1.0::double else 0.0::double end) wr, sum(case when {pct} > 0 then {pct} else 0 end) won, "
         f"sum(case when {pct} < 0 then {pct} else 0 end) lost from {p}pos where ext group by {keys})",
@@ -198,6 +204,146 @@ w as (select item_id, doc_id, sum(qn * ln((n - df + 0.5::double) / (df + 0.5::do
 top as (select *, row_number() over (partition by item_id order by round(score, 9) desc, doc_id) rank from w)"""
 
 
+JACCARD = "case when len({a}) = 0 or len({b}) = 0 then 0.0::double else len(list_intersect({a}, {b}))::double / len(list_distinct(list_concat({a}, {b}))) end"
+#: Cosine of bigram counts for each turn of ``pairs``.
+SIMILAR = f"""g as (select conv_id, turn, side, case when length(t) < 2 then null else substring(t, i::int, 2) end g from
+  (select conv_id, turn, 0 side, lower(question) t, unnest(range(1, greatest(length(question), 2))) i from pairs union all select conv_id, turn, 1, lower(answer), unnest(range(1, greatest(length(answer), 2))) from pairs)),
+c as (select conv_id, turn, g, count(*) filter (side = 0) x, count(*) filter (side = 1) y from g where g is not null group by 1, 2, 3),
+likes as (select p.conv_id, p.turn, case when coalesce(sum(x * x), 0) = 0 or coalesce(sum(y * y), 0) = 0 then 0.0::double else sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) end s from pairs p left join c on p.conv_id = c.conv_id and p.turn = c.turn group by 1, 2)"""
+#: The five best documents of each benchmark item with their contents, and whether they are relevant.
+HITS = f"""{BM25}, hits as (select item_id, rank, text content from top join documents using (doc_id) where rank <= 5),
+marked as (select h.*, {JACCARD.format(a="a", b="b")} > 0.1::double relevant from (select h.*, {MIXED.format(t="h.content")} a, {MIXED.format(t="i.text")} b from hits h join benchmark i using (item_id)) h)"""
+
+
+def screens() -> dict[str, str]:
+    """Screens by name: conditions as (label, CTEs, source, test), judged on the last bar of the last ``days``."""
+    mid, dev = full(20, SMA20), full(20, SD20)
+    wilder = [NUMBERED, MOVES, *ema("eg", "moves", "g", 1 / 14, "ag"), *ema("el", "moves", "l", 1 / 14, "al"), f"w as (select n.*, case when i > 14 and n > 14 then {rsi('ag', 'al')} end rsi from numbered n left join eg using (symbol, i) left join el using (symbol, i))", f"wp as (select *, {lag('rsi')} prev_rsi from w)"]
+    macd = [*MACD_CTES, "mg as (select symbol, bar_ts, i, case when n >= 26 then macd end macd, case when n >= 26 then macd_signal end macd_signal from lines)", f"mp as (select *, {lag('macd')} prev_macd, {lag('macd_signal')} prev_macd_signal from mg)"]
+    sma = [f"sm as (select *, {mid} m from bars)", f"sp as (select *, {C} c, {lag(C)} prev_c, {lag('m')} prev_m from sm)"]
+    emas = [NUMBERED, *ema("ee", "numbered", C, span(20), "v"), "eo as (select n.*, case when n >= 20 then v end m from numbered n join ee using (symbol, i))"]
+    boll = [f"bo as (select *, {mid} - 2.0 * {dev} lower from bars)"]
+    kdj = [
+        NUMBERED,
+        f"rsv as (select *, {full(9, f'case when max(high) over {r(9)} = min(low) over {r(9)} then 50.0::double else ({C} - min(low) over {r(9)}) / nullif(max(high) over {r(9)} - min(low) over {r(9)}, 0) * 100.0 end', 'high')} rsv from numbered)",
+        *ema("kk", "rsv", "rsv", 1 / 3, "k"),
+        *ema("dd", "kk", "k", 1 / 3, "d"),
+        "kj as (select n.symbol, n.bar_ts, kk.k, dd.d from numbered n left join kk using (symbol, i) left join dd using (symbol, i))",
+        f"kp as (select *, {lag('k')} prev_k, {lag('d')} prev_d from kj)",
+    ]
+    rsi_at = lambda label, test: (label, wilder, "wp", test)
+    price = lambda v: (f"PRICE above {v:g}", [], "bars", f"{C} > {v}")
+
+    def screen(*conditions: tuple, days: int = 365, more: dict[str, tuple[list[str], str, str]] | None = None) -> str:
+        ctes = list(dict.fromkeys(x for _, made, _, _ in conditions for x in made))
+        raw = HOURLY.replace("bars as", "raw as", 1).replace("event_type symbol", "event_type || '-' || user_id % 8 symbol", 1)
+        cut = f"bars as (select * from raw qualify row_number() over (partition by symbol order by bar_ts desc) <= {days})"
+        last = [f"c{i} as (select symbol, coalesce({test}, false) ok{', ' + (more or {}).get(label, ([], '', ''))[1] if label in (more or {}) else ''} from {source} qualify row_number() over (partition by symbol order by bar_ts desc) = 1)" for i, (label, _, source, test) in enumerate(conditions)]
+        sizes = 'z as (select symbol, count(*) nb, arg_max("close", bar_ts) lc from bars group by 1)'
+        said = " || '; ' || ".join(f"'{label}: ' || case when c{i}.ok then 'yes' else 'no' end" for i, (label, *_) in enumerate(conditions))
+        joins = " ".join(f"join c{i} on c{i}.symbol = z.symbol" for i in range(len(conditions)))
+        extra = ", round(z.lc, 4) \"close\", " + ", ".join(f"round({name}, 4) {name}" for _, _, name in more.values()) if more else ""
+        matched = " and ".join(["nb >= 5", *[f"c{i}.ok" for i in range(len(conditions))]])
+        return f"with recursive {', '.join([raw, cut, *ctes, *last, sizes])} select z.symbol, {matched} matched, case when nb >= 5 then {said} else 'Insufficient data.' end explanation{extra} from z {joins}"
+
+    above = ("SMA above", sma, "sp", "c > m")
+    return {
+        "screen_flagship": screen(above, rsi_at("RSI below 70", "rsi < 70"), more={"SMA above": ([], "m sma", "sma"), "RSI below 70": ([], "rsi", "rsi")}),
+        "screen_rsi": screen(rsi_at("RSI below 50", "rsi < 50")),
+        "screen_rsi_level": screen(rsi_at("RSI crossover", "rsi > 50 and prev_rsi <= 50"), rsi_at("RSI above 50", "rsi > 50")),
+        "screen_macd": screen(("MACD above", macd, "mp", "macd > macd_signal")),
+        "screen_macd_crosses": screen(("MACD crossover", macd, "mp", up("macd", "macd_signal")), ("EMA above", emas, "eo", f"{C} > m")),
+        "screen_ma_boll_and": screen(("MA below", sma, "sp", "c < m"), ("BOLL below", boll, "bo", f"{C} < lower")),
+        "screen_ma_crossunder": screen(("SMA crossunder", sma, "sp", down("c", "m"))),
+        "screen_kdj": screen(("KDJ above 50", kdj, "kp", "k > 50")),
+        "screen_kdj_crosses": screen(("KDJ crossunder", kdj, "kp", down("k", "d"))),
+        "screen_price": screen(price(20)),
+        "screen_unknown": screen(("NOSUCH above 1", [], "bars", "false"), price(0)),
+        "screen_few_bars": screen(price(0), days=4),
+        "screen_phrase": screen(rsi_at("RSI below 60", "rsi < 60"), price(5), days=60),
+    }
+
+
+def diagnoses_sql(bt: str) -> str:
+    """The second rating scale over metrics in percent."""
+    from barloom.operators.metrics import ADVICE, RECOVERY_ADVICE, SOLID, STRONG, WEAK
+
+    scale = {
+        "sharpe_ratio": "case when sharpe_ratio > 1.5 then 'good' when sharpe_ratio > 0.5 then 'acceptable' when sharpe_ratio >= 0 then 'poor' else 'critical' end",
+        "annual_return": "case when annual_return > 20 then 'good' when annual_return > 5 then 'acceptable' when annual_return > 0 then 'poor' else 'critical' end",
+        "max_drawdown": "case when abs(max_drawdown) < 10 then 'good' when abs(max_drawdown) < 20 then 'acceptable' when abs(max_drawdown) < 30 then 'poor' else 'critical' end",
+        "win_rate": "case when win_rate > 50 then 'good' when win_rate > 40 then 'acceptable' else 'poor' end",
+        "total_trades": "case when total_trades >= 30 then 'acceptable' else 'poor' end",
+    }
+    tests = ("abs(max_drawdown) >= 20", "abs(max_drawdown) >= 30", "win_rate < 40", "sharpe_ratio < 0.5", "annual_return < 5", "total_trades < 30")
+    value = lambda m: "abs(max_drawdown)" if m == "max_drawdown" else f"{m}::double"
+    said = lambda table, names: "concat_ws('|', " + ", ".join(f"case when second_{m} in ({names}) then printf('{t}', {value(m)}) end" for m, t in table.items()) + ")"
+    advice = "concat_ws('|', " + ", ".join(f"case when {t} then '{a[1]}' end" for t, a in zip(tests, ADVICE, strict=True)) + f", case when max_drawdown_bars > 180 then printf('{RECOVERY_ADVICE}', max_drawdown_bars) end)"
+    score = "round(greatest(0.0, least(30.0::double, sharpe_ratio / 2 * 30)) + greatest(0.0, least(25.0::double, annual_return / 30 * 25)) + greatest(0.0, least(25.0::double, (1 - abs(max_drawdown) / 50) * 25)) + greatest(0.0, least(20.0::double, win_rate / 100 * 20)), 1)"
+    pct = "pct as (select symbol, sharpe_ratio, annual_return * 100.0::double annual_return, max_drawdown * 100.0::double max_drawdown, win_rate * 100.0::double win_rate, total_trades, max_drawdown_bars from bt)"
+    named = "sec as (select *, " + ", ".join(f"{v} second_{m}" for m, v in scale.items()) + " from pct)"
+    return f"with recursive {bt}, {pct}, {named} select symbol, {', '.join(f'second_{m}' for m in scale)}, {score} score, {said(STRONG, chr(39) + 'good' + chr(39))} strengths, {said(WEAK, chr(39) + 'poor' + chr(39) + ', ' + chr(39) + 'critical' + chr(39))} weaknesses, case when {advice} = '' then '{SOLID}' else {advice} end suggestions from sec"
+
+
+def engine_sql() -> str:
+    w = "(partition by symbol order by bar_ts rows between unbounded preceding and current row)"
+    base = ", ".join([TREND, *SIGNALLED, *backtest(commission=0.0003)])
+    return f"""with recursive {base}, lagged as (select *, exp({lag('le')}) bef from eq), opened as (select *, last_value(case when entry then coalesce(bef, 100000.0::double) end ignore nulls) over {w} op from lagged),
+pl as (select symbol, exp(le) - op pnl, (exp(le) - op) / 100000.0::double rr from opened where ext),
+t as (select symbol, count(*) total_trades, count(*) filter (pnl > 0) won_trades, count(*) filter (pnl < 0) lost_trades, avg(pnl) filter (pnl > 0) gain, abs(avg(pnl) filter (pnl < 0)) loss, avg(rr) mr, stddev_samp(rr) sr, stddev_samp(rr) filter (rr < 0) dn from pl group by 1),
+b as (select symbol, count(*) n_bars from bars group by 1),
+u as (select b.symbol, n_bars, coalesce(t.total_trades, 0) total_trades, coalesce(won_trades, 0) won_trades, coalesce(lost_trades, 0) lost_trades, max_drawdown_bars, total_return, annual_return, sharpe_ratio, max_drawdown,
+  coalesce(won_trades / t.total_trades::double, 0) win_rate, coalesce(case when coalesce(loss, 0) > 0 then coalesce(gain, 0) / loss when gain > 0 then 'inf'::double else 0 end, 0) profit_factor,
+  coalesce(case when (case when lost_trades = 0 then 0.0001::double else coalesce(dn, 0) end) > 0 then mr / (case when lost_trades = 0 then 0.0001::double else dn end) else 0 end, 0) sortino_ratio, coalesce(sr, 0) volatility,
+  case when max_drawdown > 0 and coalesce(t.total_trades, 0) > 0 then annual_return / max_drawdown else 0 end calmar_ratio from b join bt using (symbol) left join t using (symbol))
+select symbol, n_bars, """ + ", ".join(f"case when n_bars >= 50 then {c} else 0 end::bigint {c}" for c in ("total_trades", "won_trades", "lost_trades", "max_drawdown_bars")) + ", " + ", ".join(f"{six(f'case when n_bars >= 50 then {c} else 0 end')} {c}" for c in ("total_return", "annual_return", "sharpe_ratio", "max_drawdown", "win_rate", "profit_factor", "sortino_ratio", "volatility", "calmar_ratio")) + " from u"
+
+
+def evaluation_sql() -> dict[str, str]:
+    per = "per as (select item_id, count(*) filter (relevant) h, min(rank) filter (relevant) f from marked group by 1)"
+    sources = "case when length(content) > 100 then substring(content, 1, 100) || '...' else content end"
+    return {
+        "relevant_hits": f"with {HITS} select item_id query_id, rank::int rank, relevant from marked",
+        "retrieval_evaluation": f"with {HITS}, {per}, e as (select item_id, coalesce(h, 0) h, f from benchmark left join per using (item_id)) select round(avg(h / 5.0::double), 4) precision_at_k, round(avg(h::double), 4) recall_at_k, round(avg(coalesce(1.0::double / f, 0)), 4) mrr, count(*) num_queries from e",
+        "answer_evaluation": f"with {PAIRS}, {SIMILAR}, t as (select conv_id, turn, {MIXED.format(t='answer')} a, {MIXED.format(t='(question || chr(32) || substring(answer, 1, (length(answer) // 2)::int))')} b from pairs), j as (select conv_id, turn, {JACCARD.format(a='a', b='b')} f from t) select conv_id, turn, {six('f')} faithfulness, {six('s')} relevancy, {six('0.5::double * f + 0.5::double * s')} overall from j join likes using (conv_id, turn)",
+        "full_evaluation": f"""with {HITS}, {per}, ctx as (select item_id, string_agg(content, ' ' order by rank) ctx, max(content) filter (rank = 1) answer from hits group by 1),
+x as (select item_id, coalesce(h, 0) h, f, {MIXED.format(t='answer')} a, {MIXED.format(t='ctx')} b, string_split(i.text, ' ')[1:2] kw, answer from benchmark i join ctx using (item_id) left join per using (item_id)),
+y as (select *, {JACCARD.format(a='a', b='b')} fa, len(list_filter(kw, lambda w: contains(answer, lower(w)))) / len(kw)::double re from x)
+select count(*) total_cases, round(avg(h / 5.0::double), 4) precision_at_k, round(avg(h::double), 4) recall_at_k, round(avg(coalesce(1.0::double / f, 0)), 4) mrr, round(avg(fa), 4) faithfulness, round(avg(re), 4) relevancy, round((avg(fa) + avg(re)) / 2, 4) overall from y""",
+        "context": f"with {BM25} select item_id query_id, md5(string_agg('[' || rank || '] (来源: doc' || rank || ', 页码: ' || rank || ')' || chr(10) || text, chr(10) || chr(10) order by rank)) digest from top join documents using (doc_id) where rank <= 5 group by 1",
+        "source_list": f"with {HITS} select item_id query_id, md5('来源列表:' || chr(10) || repeat('=', 50) || chr(10) || string_agg(chr(10) || '[' || rank || ']' || chr(10) || '  来源: corpus' || chr(10) || '  标题: corpus' || chr(10) || '  内容: ' || {sources}, chr(10) order by rank)) digest from hits group by 1",
+        "rerank_topk": f"""with {BM25}, c as (select item_id q, doc_id, round(round(score, 9), 6) / 100 score, rank pos, regexp_extract_all(lower(b.text), '([a-z0-9]+)', 1) qk, regexp_extract_all(lower(d.text), '([a-z0-9]+)', 1) k from top join documents d using (doc_id) join benchmark b using (item_id) where rank <= 10),
+z as (select *, len(k) len, count(*) over (partition by q) n, avg(len(k)) over (partition by q) mean from c),
+rtf as (select q, doc_id, len, n, mean, token, count(*) tf from (select q, doc_id, len, n, mean, unnest(k) token from z) group by all),
+rdf as (select *, count(*) over (partition by q, token) df from rtf), rq as (select q, doc_id, token, count(*) qn from (select q, doc_id, unnest(qk) token from z) group by all),
+bm as (select q, doc_id, sum(qn * ln((n - df + 0.5::double) / (df + 0.5::double) + 1.0) * tf * 2.5::double / (tf + 1.5::double * (0.25::double + 0.75::double * len / mean))) bm from rdf join rq using (q, doc_id, token) group by 1, 2),
+f as (select z.q, z.doc_id, pos, round(0.7::double * coalesce(bm, 0) + 0.3::double / (1 + exp(-score)), 9) score from z left join bm using (q, doc_id))
+select q query_id, (row_number() over (partition by q order by score desc, pos))::int rank, doc_id, {six('score')} score from f qualify row_number() over (partition by q order by score desc, pos) <= 5""",
+        "hybrid_topk": f"""with {VECTORS}, h as (select query_id, vec_id, 1 - score d, max(1 - score) over (partition by query_id) far from t where rank <= 30),
+m as (select query_id, vec_id doc_id, d, case when far > 0 then 1 - d / nullif(far, 0) else 1.0 end v, list_distinct({TOKENS.replace('text', 'qd.text')}) qk, {TOKENS.replace('text', 'hd.text')} k, substring(hd.text, 1, 100) head from h join documents hd on hd.doc_id = vec_id join documents qd on qd.doc_id = query_id),
+o as (select *, round(0.7::double * v + (1 - 0.7::double) * case when len(qk) = 0 then 0.0 else len(list_intersect(qk, k))::double / len(qk) end, 9) score from m qualify row_number() over (partition by query_id, head order by d, doc_id) = 1),
+p as (select *, row_number() over (partition by query_id order by score desc, doc_id) rank from o) select query_id, rank::int rank, doc_id, {six('score')} score from p where rank <= 10""",
+        "mmr_topk": f"""with recursive {VECTORS}, pool as (select query_id, vec_id, score rel, e from t join v using (vec_id) where rank <= 20),
+sims as (select a.query_id, a.vec_id x, b.vec_id y, list_sum(list_transform(list_zip(a.e, b.e), lambda z: z[1] * z[2])) / (sqrt(list_sum(list_transform(a.e, lambda z: z * z))) * sqrt(list_sum(list_transform(b.e, lambda z: z * z)))) sim from pool a join pool b on a.query_id = b.query_id),
+steps as (select query_id, 0 step, []::bigint[] chosen, null::bigint pick from (select distinct query_id from pool) union all
+  select query_id, step + 1, list_append(chosen, best), best from (
+    select query_id, step, chosen, arg_max(vec_id, {{'g': gain, 'i': -vec_id}}) best from (
+      select s.query_id, s.step, s.chosen, p.vec_id, case when s.step = 0 then p.rel else 0.5::double * p.rel - 0.5::double * max(m.sim) end gain
+      from steps s join pool p on p.query_id = s.query_id and not list_contains(s.chosen, p.vec_id) left join sims m on m.query_id = s.query_id and m.x = p.vec_id and list_contains(s.chosen, m.y)
+      where s.step < 5 group by s.query_id, s.step, s.chosen, p.vec_id, p.rel) group by query_id, step, chosen))
+select s.query_id, step::int rank, pick vec_id, {six('1 - rel')} distance from steps s join pool p on p.query_id = s.query_id and p.vec_id = s.pick where step > 0""",
+        "chunk_clauses": r"""with d as (select conv_id, string_agg(case when turn % 3 = 0 then '第' || (turn + 1) || '條 ' else 'ARTICLE ' || (turn + 1) || chr(10) end || substring(text, 1, 300), chr(10) order by turn) text from conversations group by 1),
+s as (select conv_id, string_split(regexp_replace(text, '(^|\n)(第[一二三四五六七八九十百千零\d]+[條章節款項]|Article\s+\d+|Section\s+\d+|\d+\.\s+)', '\1' || chr(1) || '\2', 'gi'), chr(1)) parts from d),
+u as (select conv_id, unnest(parts) raw, generate_subscripts(parts, 1) i from s),
+o as (select *, sum(length(raw)) over (partition by conv_id order by i) - length(raw) off, regexp_replace(raw, '^\s+|\s+$', '', 'g') piece from u)
+select conv_id, (row_number() over (partition by conv_id order by i) - 1)::int pos, md5(piece) digest, (off + length(raw) - length(regexp_replace(raw, '^\s+', '')))::int start_idx, (off + length(raw) - length(regexp_replace(raw, '^\s+', '')) + length(piece))::int end_idx from o where piece <> ''""",
+        "labels_matched": """with n as (select doc_id, ['bullish', 'bearish', 'neutral'] names from documents),
+t as (select doc_id, names[(doc_id % 2 + 1)::int] wanted, case when doc_id % 11 = 0 then 'no view' else 'It looks ' || names[(doc_id % 3 + 1)::int] || case when doc_id % 5 = 0 then ', not bullish' else '' end end said from n),
+l as (select *, case when contains(said, 'bullish') then 'bullish' when contains(said, 'bearish') then 'bearish' when contains(said, 'neutral') then 'neutral' end label from t)
+select doc_id, label, coalesce(contains('sentiment: ' || wanted, label), false) correct from l""",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     mid, dev = full(20, SMA20), full(20, SD20)
     boll = f"b as (select *, {mid} mid, {dev} sd from bars)"
@@ -232,18 +378,21 @@ def oracle_sql() -> dict[str, str]:
     macdp = [*MACD_CTES, f"mp as (select *, {lag('macd')} prev_macd, {lag('macd_signal')} prev_macd_signal from lines)"]
     dual = f"dt as (select *, {full(5, f'greatest(max(high) over {r(4)} - min({C}) over {r(4)}, max({C}) over {r(4)} - min(low) over {r(4)})')} reach from bars)"
     sig = lambda ctes, source, buy, sell: shown({"signal": f"({signal(buy, sell)})::int"}, *ctes, source=source)
-    bt = ", ".join([ORDERS, *SIGNALLED, *backtest()])
-    grid = [(f, s) for f in (5, 10) for s in (20, 30)]
-    grid_ctes = [x for i, (f, s) in enumerate(grid) for x in cross_signals(f, s, "symbol", "bars", f"g{i}")]
-    grid_union = "gs as (" + " union all ".join(f"select symbol, bar_ts, {C}, {i} param_id, signal from g{i}" for i in range(len(grid))) + ")"
-    grid_sql = ", ".join([ORDERS, *grid_ctes, grid_union, *backtest("symbol, param_id", "gs")])
-    fold_sql = ", ".join([ORDERS, FOLDS, *cross_signals(10, 30, "symbol, fold, part", "parts", "fs"), *backtest("symbol, fold, part", "fs")])
+    bt = ", ".join([TREND, *SIGNALLED, *backtest()])
+    def searched(pairs: list[tuple[int, int]]) -> str:
+        ctes = [x for i, (f, s) in enumerate(pairs) for x in cross_signals(f, s, "symbol", "bars", f"g{i}")]
+        union = "gs as (" + " union all ".join(f"select symbol, bar_ts, {C}, {i} param_id, signal from g{i}" for i in range(len(pairs))) + ")"
+        return ", ".join([TREND, *ctes, union, *backtest("symbol, param_id", "gs")])
+
+    grid_sql = searched([(f, s) for f in (5, 10) for s in (20, 30)])
+    random_sql = searched([(p["fast"], p["slow"]) for p in random_combinations({"fast": [3, 15], "slow": [20, 30, 40]}, 4)])
+    fold_sql = ", ".join([TREND, FOLDS, *cross_signals(10, 30, "symbol, fold, part", "parts", "fs"), *backtest("symbol, fold, part", "fs")])
     folded = "folded as (select symbol, fold, max(case when part = 'train' then total_return end) tr, max(case when part = 'test' then total_return end) te from bt group by 1, 2)"
     over_sql = ", ".join(
         [
-            ORDERS,
-            "parts as (select symbol, bar_ts, \"close\", case when percent_rank() over (partition by symbol order by bar_ts) <= 0.7::double then 'train' else 'test' end part from bars)",
-            *cross_signals(10, 30, "symbol, part", "parts", "fs"),
+            TREND,
+            "parts as (select symbol, bar_ts, \"close\", case when percent_rank() over (partition by symbol order by bar_ts) <= 0.5::double then 'train' else 'test' end part from bars)",
+            *cross_signals(5, 20, "symbol, part", "parts", "fs"),
             *backtest("symbol, part", "fs"),
             "pv as (select symbol, " + ", ".join(f"max(case when part = '{p}' then coalesce({m}, 0) end) {p}_{m}" for p in ("train", "test") for m in ("total_return", "sharpe_ratio", "max_drawdown", "win_rate", "profit_factor")) + " from bt group by 1)",
         ]
@@ -305,17 +454,26 @@ a as (select *, pow(gr, 1.0 / greatest(n / {DAYS_A}.0::double, 0.01::double)) -
 select symbol, n n_returns, {six('gr - 1.0')} total_return, {six('ann')} annual_return, {six(f'sd * sqrt({DAYS_A}.0::double)')} volatility, {six(f'ex / nullif(exsd, 0) * sqrt({DAYS_A}.0::double)')} sharpe_ratio,
   {six(f'(ann - 0.03::double) / (dsd * sqrt({DAYS_A}.0::double))')} sortino_ratio, {six('ann / abs(mdd)')} calmar_ratio, {six('mdd')} max_drawdown, {six('wr')} win_rate, {six('mg / abs(ml)')} profit_factor from a""",
         "grid_search": f"with recursive {grid_sql} select symbol, param_id, {six('coalesce(total_return, 0)')} score from bt",
+        "random_search": f"with recursive {random_sql} select symbol, param_id, {six('coalesce(total_return, 0)')} score from bt",
+        "overfit_report": f"""with recursive {over_sql}, wn as (select symbol, train_sharpe_ratio > 3 a, (train_total_return > 0 and test_total_return < 0) or (train_sharpe_ratio > 1 and test_sharpe_ratio < 0) b,
+  train_max_drawdown > 0 and test_max_drawdown > train_max_drawdown * 1.8::double c, train_win_rate > 0.6::double and test_win_rate < 0.4::double d, train_profit_factor > 2 and test_profit_factor < 1 f from pv),
+rc as (select symbol, concat_ws(',', case when a then 'sharpe' end, case when b then 'sharpe_cliff' end, case when c then 'drawdown' end, case when d then 'win_rate' end, case when f then 'profit_factor' end) warnings,
+  concat_ws('|', case when a then '降低对Sharpe比率的期望，真实市场中2.0以上已属优秀' end, case when b then '使用前向验证 (Walk-Forward) 重新评估策略稳健性|减少策略参数数量，使用更简单的逻辑' end,
+  case when c then '增加风险管理规则，如动态止损|在更多历史数据上测试策略，覆盖不同市场环境' end, case when a then '检查是否使用了未来数据（look-ahead bias）|考虑交易成本和滑点的影响' end, case when d then '避免过度优化入场条件|增加样本外验证数据量' end) r from wn)
+select symbol, warnings, case when r = '' then '策略表现稳健，建议继续监控实盘表现' else r end recommendations from rc""",
+        "diagnoses": diagnoses_sql(bt),
+        "engine_metrics": engine_sql(),
+        "side_by_side": f"with recursive {bt}, f as (select min(symbol) s1 from bt), g as (select min(symbol) s2 from bt, f where symbol > s1) select m.metric, {six('max(case when symbol = s1 then v end)')} \"first\", {six('max(case when symbol = s2 then v end)')} \"second\" from (select symbol, unnest(['sharpe_ratio', 'annual_return', 'max_drawdown', 'win_rate']) metric, unnest([sharpe_ratio, annual_return, max_drawdown, win_rate]) v from bt) m, f, g group by 1",
+        **screens(),
+        **evaluation_sql(),
         "grid_search_best": f"with recursive {grid_sql} select symbol, arg_max(param_id, {{'s': coalesce(total_return, 0), 'p': -param_id}}) param_id, {six('max(coalesce(total_return, 0))')} score from bt group by 1",
         "walk_forward_folds": f"with recursive {fold_sql}, {folded} select symbol, fold::int fold, {six('tr')} train_return, {six('te')} test_return from folded",
         "walk_forward_summary": f"with recursive {fold_sql}, {folded}, sm as (select symbol, count(*) n_folds, avg(tr) a, avg(te) b from folded group by 1) select symbol, n_folds, {six('a')} mean_train, {six('b')} mean_test, {six('case when a <> 0 then b / nullif(a, 0) when b = 0 then 0.0 else 1.0 end')} degradation_ratio, (case when a <> 0 then b / nullif(a, 0) when b = 0 then 0.0 else 1.0 end) > 0.5 and b > 0 robust from sm",
         "overfit_score": f"with recursive {over_sql} select symbol, round({over}, 6) overfit_score from pv",
         "document_frequency": f"select token, count(*) df from (select unnest(list_distinct({TOKENS})) token from documents) group by 1",
-        "bm25_topk": f"with {BM25} select item_id, rank::int rank, doc_id, {six('score')} score from top where rank <= 10",
+        "bm25_topk": f"with {BM25} select item_id, rank::int rank, doc_id, {six('round(score, 9)')} score from top where rank <= 10",
         "jaccard_overlap": f"with {PAIRS}, k as (select conv_id, turn, {MIXED.format(t='question')} a, {MIXED.format(t='answer')} b from pairs) select conv_id, turn, {six('case when len(a) = 0 or len(b) = 0 then 0.0 else len(list_intersect(a, b))::double / len(list_distinct(list_concat(a, b))) end')} overlap from k",
-        "bigram_cosine": f"""with {PAIRS}, g as (select conv_id, turn, side, case when length(t) < 2 then null else substring(t, i::int, 2) end g from
-  (select conv_id, turn, 0 side, lower(question) t, unnest(range(1, greatest(length(question), 2))) i from pairs union all select conv_id, turn, 1, lower(answer), unnest(range(1, greatest(length(answer), 2))) from pairs)),
-c as (select conv_id, turn, g, count(*) filter (side = 0) x, count(*) filter (side = 1) y from g where g is not null group by 1, 2, 3)
-select p.conv_id, p.turn, {six('case when coalesce(sum(x * x), 0) = 0 or coalesce(sum(y * y), 0) = 0 then 0.0 else sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) end')} similarity from pairs p left join c on p.conv_id = c.conv_id and p.turn = c.turn group by 1, 2""",
+        "bigram_cosine": f"with {PAIRS}, {SIMILAR} select conv_id, turn, {six('s')} similarity from likes",
         "cosine_topk": f"with {VECTORS} select query_id, rank::int rank, vec_id, {six('score')} score from t where rank <= 10",
         "ir_metrics": f"""with {VECTORS}, l as (select query_id, rank, (a.label = b.label) rel from t join embeddings a on a.vec_id = query_id join embeddings b on b.vec_id = t.vec_id where rank <= 10),
 e as (select q.vec_id query_id, (select count(*) from embeddings o where o.label = q.label) - 1 ne from embeddings q where q.vec_id % 50 = 0),
@@ -329,7 +487,6 @@ select w.conv_id, w.turn, {six('case when len(hw) = 0 then 0.0 else m / len(hw):
         "chatml": "select conv_id, count(*) n_messages, string_agg(role || ':' || md5(text), ',' order by turn) digest from conversations group by 1",
         "alpaca": f"with {PAIRS} select conv_id, turn, md5('Answer the question.' || '|' || question || '|' || answer) digest from pairs",
         "train_test_split": "select doc_id, case when ('0x' || substring(md5(doc_id::varchar), 1, 8))::bigint / 4294967296.0::double < 0.1::double then 'test' else 'train' end part from documents",
-        "label_accuracy": "select quality, count(*) n, round(avg(case when (n_chars >= 500)::int = quality then 1.0::double else 0.0::double end), 6) accuracy from labels l join documents d on l.doc_id = d.doc_id group by 1",
         "citations": """with a as (select conv_id, turn, 'see [' || (turn + 1) || '] and [' || conv_id % 5 || '] then [' || (turn + 1) || ']' t from conversations)
 select conv_id, turn, case when turn + 1 = conv_id % 5 then (turn + 1)::varchar else (turn + 1) || ',' || conv_id % 5 end cites, (turn + 1 between 1 and 4) and (conv_id % 5 between 1 and 4) valid from a""",
         "sentences": "select doc_id, len(list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?。！？；\\n])\\s*', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> ''))::int n_sentences from documents",

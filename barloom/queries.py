@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators import backtest, indicators as ind, metrics, optimise, patterns, retrieval, signals, text
+from barloom.operators import backtest, evaluation, indicators as ind, metrics, optimise, patterns, retrieval, signals, text
 from barloom.plans import screen
 from barloom.sources import bars
 
+C = screen.Condition
 Query = Callable[[SparkSession, str], DataFrame]
 GRID = optimise.grid(fast=[5, 10], slow=[20, 30])
+RANDOM = optimise.random_combinations({"fast": [3, 15], "slow": [20, 30, 40]}, 4)
 
 
 def _six(name: str, df: DataFrame) -> Column:
@@ -29,7 +31,12 @@ def over_hours(build: Callable[[DataFrame], DataFrame], *columns: str) -> Query:
 
 
 def rsi_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.rsi_extreme(bars.daily_orders(spark, sf_dir))
+    """A strategy that trades often: smoothed hourly bars, limits near the middle."""
+    return signals.rsi_extreme(trend(spark, sf_dir), oversold=45.0, overbought=60.0)
+
+
+def trend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.smoothed(bars.hourly(spark, sf_dir))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,16 +59,87 @@ BY = ("symbol",)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Symbols judged by closing above their 20-bar mean and RSI below 70."""
+    """Symbols judged by closing above their 20-bar mean and RSI below 70, with the latest values."""
     plan = screen.Screen((screen.Condition("SMA", "above", params={"period": 20}), screen.Condition("RSI", "below", 70.0)), days=365)
-    return screen.run(plan, bars.hourly(spark, sf_dir))
+    found = screen.run(plan, bars.hourly_by_group(spark, sf_dir))
+    values = [F.col("indicators")[k].alias(n) for k, n in (("close", "close"), ("sma_20.sma", "sma"), ("rsi_14.rsi", "rsi"))]
+    return found.select("symbol", "matched", "explanation", *values)
+
+
+def _screened(*conditions: screen.Condition, days: int = 365) -> Query:
+    return lambda spark, sf_dir: screen.run(screen.Screen(conditions, days), bars.hourly_by_group(spark, sf_dir)).select("symbol", "matched", "explanation")
+
+
+def diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = metrics.diagnosed(metrics.in_percent(_metrics(spark, sf_dir)))
+    listed = [F.array_join(c, "|").alias(c) for c in ("strengths", "weaknesses", "suggestions")]
+    return made.select("symbol", *[f"second_{m}" for m in metrics.SECOND], "score", *listed)
+
+
+def engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = metrics.engine_metrics(rsi_signals(spark, sf_dir))
+    whole = ("n_bars", "total_trades", "won_trades", "lost_trades", "max_drawdown_bars")
+    return show(made, *whole, "total_return", "annual_return", "sharpe_ratio", "max_drawdown", "win_rate", "profit_factor", "sortino_ratio", "volatility", "calmar_ratio", keys=BY)
+
+
+def overfit_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = optimise.overfit(trend(spark, sf_dir), 5, 20, 0.5, report=True)
+    return made.select("symbol", F.array_join("warnings", ",").alias("warnings"), F.array_join("recommendations", "|").alias("recommendations"))
+
+
+def side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = [r.symbol for r in bars.symbols(bars.hourly(spark, sf_dir)).orderBy("symbol").limit(2).collect()]  # two names
+    made = metrics.side_by_side(_metrics(spark, sf_dir), names)
+    return show(made.toDF("metric", "first", "second"), "first", "second", keys=("metric",))
+
 
+def _bm25_hits(spark: SparkSession, sf_dir: str, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(hits with content, expected): each benchmark item looks for documents and expects its own text."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    hits = bm25_topk(spark, sf_dir).where(F.col("rank") <= k).join(documents(spark, sf_dir).select("doc_id", F.col("text").alias("content")), "doc_id")
+    return hits.select(F.col("item_id").alias("query_id"), "rank", "content"), items.select(F.col("item_id").alias("query_id"), F.col("text").alias("content"))
 
-def _screened(plan: screen.Screen) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return screen.run(plan, bars.hourly(spark, sf_dir)).select("symbol", "matched", "explanation")
 
-    return run
+def retrieval_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.evaluate_retrieval(*_bm25_hits(spark, sf_dir))
+
+
+def relevant_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.mark_relevant(*_bm25_hits(spark, sf_dir)).select("query_id", "rank", "relevant")
+
+
+def answer_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers held against their questions and, as context, question and answer's first half."""
+    cases = turns(spark, sf_dir).withColumn("context", F.concat("question", F.lit(" "), F.expr("substring(answer, 1, length(answer) div 2)")))
+    return show(evaluation.evaluate_answers(cases), "faithfulness", "relevancy", "overall", keys=("conv_id", "turn"))
+
+
+def full_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as questions; the best hit stands for the answer, and the item's first two words are expected in it."""
+    hits, expected = _bm25_hits(spark, sf_dir)
+    answers = hits.where("rank = 1").select("query_id", F.col("content").alias("answer"))
+    cases = expected.select("query_id", F.col("content").alias("question")).join(answers, "query_id").withColumn("keywords", F.slice(F.split("question", " "), 1, 2))
+    return evaluation.run_evaluation(cases, hits, expected)[1]
+
+
+def clause_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents with an article for each turn, so that headings occur; clauses below the limit of a second cut."""
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    part = F.concat(F.when(F.col("turn") % 3 == 0, F.concat(F.lit("第"), (F.col("turn") + 1).cast("string"), F.lit("條 "))).otherwise(F.concat(F.lit("ARTICLE "), (F.col("turn") + 1).cast("string"), F.lit("\n"))), F.substring("text", 1, 300))
+    docs = t.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))), lambda x: x["p"]), "\n").alias("text"))
+    made = text.split_documents(docs, "financial", "conv_id")
+    return made.select("conv_id", "pos", F.md5("chunk").alias("digest"), "start_idx", "end_idx")
+
+
+def labels_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Made predictions and expectations, by document number, through the label rules."""
+    d = documents(spark, sf_dir).select("doc_id")
+    names = F.array(*map(F.lit, ("bullish", "bearish", "neutral")))
+    pick = lambda n: F.get(names, n.cast("int"))
+    said = F.concat(F.lit("It looks "), F.initcap(pick(F.col("doc_id") % 3)), F.when(F.col("doc_id") % 5 == 0, F.lit(", not Bullish")).otherwise(F.lit("")))
+    said = F.when(F.col("doc_id") % 11 == 0, F.lit("no view")).otherwise(said)
+    made = d.select("doc_id", text.label_found(said).alias("label"), text.label_correct(said, F.concat(F.lit("Sentiment: "), pick(F.col("doc_id") % 2))).alias("correct"))
+    return made
 
 
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,9 +148,8 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = retrieval.bm25(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    exact = scored.withColumnRenamed("score", "exact").withColumn("score", F.round("exact", 9))  # sums differ in their last digits
-    return retrieval.top(exact, "item_id", 10, "doc_id").select("item_id", "rank", "doc_id", F.round("exact", 6).alias("score"))
+    found = retrieval.bm25_top(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select("item_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
 def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +165,7 @@ def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     asked = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     hits = bm25_topk(spark, sf_dir).select(F.col("item_id").alias("query_id"), "doc_id", (F.col("score") / 100).alias("score"), F.col("rank").alias("pos"))
-    return retrieval.rerank(hits.join(docs, "doc_id").join(asked, "query_id"))
+    return show(retrieval.reranker("bm25")(hits.join(docs, "doc_id").join(asked, "query_id")), "score", keys=("query_id", "rank", "doc_id"))
 
 
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,13 +173,14 @@ def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     docs = documents(spark, sf_dir).select("doc_id", "text")
     hits = retrieval.vector_top(v, v.where("vec_id % 50 = 0"), k=30).select("query_id", F.col("vec_id").alias("doc_id"), (1 - F.col("score")).alias("distance"))
-    return retrieval.hybrid(hits, docs, docs.withColumnRenamed("doc_id", "query_id"))
+    return show(retrieval.hybrid(hits, docs, docs.withColumnRenamed("doc_id", "query_id")), "score", keys=("query_id", "rank", "doc_id"))
 
 
 def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     pool = retrieval.vector_top(v, v.where("vec_id % 50 = 0"), k=20)
-    return retrieval.mmr(pool.join(v.select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vec_id").withColumnRenamed("score", "relevance"))
+    made = retrieval.mmr(pool.join(v.select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "vec_id").withColumnRenamed("score", "relevance"))
+    return show(made, "distance", keys=("query_id", "rank", "vec_id"))
 
 
 def hard_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,18 +237,26 @@ def queries() -> dict[str, Query]:
             metrics.return_metrics(ind.returns(bars.daily_orders(s, d))),
             "n_returns", "total_return", "annual_return", "volatility", "sharpe_ratio", "sortino_ratio", "calmar_ratio", "max_drawdown", "win_rate", "profit_factor", keys=BY,
         ),
-        "grid_search": lambda s, d: show(optimise.grid_search(bars.daily_orders(s, d), GRID), "score", keys=("symbol", "param_id")),
-        "grid_search_best": lambda s, d: show(optimise.best_of(optimise.grid_search(bars.daily_orders(s, d), GRID)), "score", keys=("symbol", "param_id")),
-        "random_search": lambda s, d: optimise.grid_search(bars.daily_orders(s, d), optimise.random_combinations({"fast": [3, 15], "slow": [20, 30, 40]}, 4)),
-        "walk_forward_folds": lambda s, d: show(optimise.walk_forward(bars.daily_orders(s, d)), "train_return", "test_return", keys=("symbol", "fold")),
-        "walk_forward_summary": lambda s, d: show(optimise.walk_forward_summary(optimise.walk_forward(bars.daily_orders(s, d))), "n_folds", "mean_train", "mean_test", "degradation_ratio", "robust", keys=BY),
-        "overfit_score": lambda s, d: show(optimise.overfit(bars.daily_orders(s, d)), "overfit_score", keys=BY),
+        "grid_search": lambda s, d: show(optimise.grid_search(trend(s, d), GRID), "score", keys=("symbol", "param_id")),
+        "grid_search_best": lambda s, d: show(optimise.best_of(optimise.grid_search(trend(s, d), GRID)), "score", keys=("symbol", "param_id")),
+        "random_search": lambda s, d: show(optimise.grid_search(trend(s, d), RANDOM), "score", keys=("symbol", "param_id")),
+        "overfit_report": overfit_report,
+        "walk_forward_folds": lambda s, d: show(optimise.walk_forward(trend(s, d)), "train_return", "test_return", keys=("symbol", "fold")),
+        "walk_forward_summary": lambda s, d: show(optimise.walk_forward_summary(optimise.walk_forward(trend(s, d))), "n_folds", "mean_train", "mean_test", "degradation_ratio", "robust", keys=BY),
+        "overfit_score": lambda s, d: show(optimise.overfit(trend(s, d), 5, 20, 0.5), "overfit_score", keys=BY),
         "screen_flagship": flagship,
-        "screen_rsi": _screened(screen.Screen((screen.Condition("RSI", "below", 45.0),), 365)),
-        "screen_macd": _screened(screen.Screen((screen.Condition("MACD", "above"),), 365)),
-        "screen_ma_boll_and": _screened(screen.Screen((screen.Condition("MA", "below", params={"period": 20}), screen.Condition("BOLL", "below")), 365)),
-        "screen_price": _screened(screen.Screen((screen.Condition("PRICE", "above", 20.0),), 365)),
-        "screen_phrase": _screened(screen.parse("RSI below 60 and price above 5")),
+        "screen_rsi": _screened(C("RSI", "below", 50.0)),
+        "screen_rsi_level": _screened(C("RSI", "crossover"), C("RSI", "above", 50.0)),
+        "screen_macd": _screened(C("MACD", "above")),
+        "screen_macd_crosses": _screened(C("MACD", "crossover"), C("EMA", "above")),
+        "screen_ma_boll_and": _screened(C("MA", "below", params={"period": 20}), C("BOLL", "below")),
+        "screen_ma_crossunder": _screened(C("SMA", "crossunder", params={"period": 20})),
+        "screen_kdj": _screened(C("KDJ", "above", 50.0)),
+        "screen_kdj_crosses": _screened(C("KDJ", "crossunder")),
+        "screen_price": _screened(C("PRICE", "above", 20.0)),
+        "screen_unknown": _screened(C("NOSUCH", "above", 1.0), C("PRICE", "above", 0.0)),
+        "screen_few_bars": _screened(C("PRICE", "above", 0.0), days=4),
+        "screen_phrase": _screened(*screen.parse("RSI below 60 and price above 5").conditions, days=60),
         "document_frequency": lambda s, d: retrieval.document_frequency(documents(s, d)),
         "bm25_topk": bm25_topk,
         "rerank_topk": rerank_topk,
@@ -193,9 +279,17 @@ def queries() -> dict[str, Query]:
             "conv_id", "turn", F.md5(F.concat_ws("|", "r.instruction", "r.input", "r.output")).alias("digest")
         ),
         "train_test_split": lambda s, d: text.train_test(documents(s, d), "doc_id").select("doc_id", "part"),
-        "label_accuracy": lambda s, d: s.read.parquet(f"{d}/labels.parquet").join(documents(s, d), "doc_id").groupBy("quality").agg(
-            F.count(F.lit(1)).alias("n"), F.round(F.avg(((F.col("n_chars") >= 500).cast("int") == F.col("quality")).cast("double")), 6).alias("accuracy")
-        ),
+        "labels_matched": labels_matched,
+        "diagnoses": diagnoses,
+        "engine_metrics": engine,
+        "side_by_side": side_by_side,
+        "relevant_hits": relevant_hits,
+        "retrieval_evaluation": retrieval_evaluation,
+        "answer_evaluation": answer_evaluation,
+        "full_evaluation": full_evaluation,
+        "chunk_clauses": clause_chunks,
+        "context": lambda s, d: text.context(_bm25_hits(s, d)[0].withColumn("source", F.concat(F.lit("doc"), F.col("rank").cast("string"))), "query_id", "rank", page="rank").select("query_id", F.md5("context").alias("digest")),
+        "source_list": lambda s, d: text.source_list(_bm25_hits(s, d)[0].withColumn("source", F.lit("corpus")), "query_id", "rank", title="source").select("query_id", F.md5("sources").alias("digest")),
         "citations": cited,
     }
     for name, build in signals.TEMPLATES.items():

@@ -17,7 +17,21 @@ RENAMES = {
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly bars of each event type."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return resample(events.select(F.col("event_type").alias("symbol"), "ts", F.col("ts").alias("at"), "value"), "hour")
+    at = F.struct("ts", "event_id")
+    return resample(events.select(F.col("event_type").alias("symbol"), "ts", at.alias("at"), "value"), "hour")
+
+
+def hourly_by_group(spark: SparkSession, sf_dir: str, groups: int = 8) -> DataFrame:
+    """Hourly bars of each event type within groups of users: more symbols, as a screen has."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    symbol = F.concat(F.col("event_type"), F.lit("-"), F.pmod("user_id", F.lit(groups)).cast("string"))
+    return resample(events.select(symbol.alias("symbol"), "ts", F.struct("ts", "event_id").alias("at"), "value"), "hour")
+
+
+def smoothed(bars: DataFrame, n: int = 24) -> DataFrame:
+    """Bars whose prices are means of their last ``n``, for strategies that follow a trend."""
+    over = W.partitionBy("symbol").orderBy("bar_ts").rowsBetween(-(n - 1), 0)
+    return bars.withColumns({c: F.avg(c).over(over) for c in ("open", "high", "low", "close")})
 
 
 def by_user(spark: SparkSession, sf_dir: str) -> DataFrame:

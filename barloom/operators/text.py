@@ -113,16 +113,9 @@ def recursive_pieces(text: str, size: int = 500, overlap: int = 50, separators:
     return [p for p in out if p]
 
 
-def recursive_split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 500, overlap: int = 50) -> DataFrame:
+def recursive_split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 500, overlap: int = 50, separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
     """(id, pos, chunk) by ``recursive_pieces``."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(i, n, p) for i, t in zip(frame[id_col], frame["t"], strict=True) for n, p in enumerate(recursive_pieces(t, size, overlap))]
-            yield pd.DataFrame(rows, columns=["id", "pos", "chunk"])
-
-    base = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("t"))
-    return base.mapInPandas(run, f"id {docs.schema[id_col].dataType.simpleString()}, pos int, chunk string").withColumnRenamed("id", id_col)
+    return _pieces(docs, id_col, F.coalesce(text_col, F.lit("")), lambda t: recursive_pieces(t, size, overlap, separators))
 
 
 def semantic_split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, least: int = 50, most: int = 1000) -> DataFrame:
@@ -150,13 +143,7 @@ def semantic_split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 joined.append(text)
         return [p for t in joined for p in (recursive_pieces(t, most, 0) if len(t) > most else [t])]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(i, n, p) for i, s in zip(frame[id_col], frame["s"], strict=True) for n, p in enumerate(pieces(list(s)))]
-            yield pd.DataFrame(rows, columns=["id", "pos", "chunk"])
-
-    base = docs.select(id_col, sentences(F.coalesce(text_col, F.lit(""))).alias("s"))
-    return base.mapInPandas(run, f"id {docs.schema[id_col].dataType.simpleString()}, pos int, chunk string").withColumnRenamed("id", id_col)
+    return _pieces(docs, id_col, sentences(F.coalesce(text_col, F.lit(""))), lambda parts: pieces(list(parts)))
 
 
 # Clause headings at a line's start, in any case.

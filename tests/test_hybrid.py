@@ -33,4 +33,4 @@ def test_hybrid_query_against_brute_force(spark, tmp_path):
                 scored.append((0.7 * (1 - d[j] / d[hits[-1]]) + 0.3 * len(tokens[q] & tokens[j]) / len(tokens[q]), j))
         scored.sort(key=lambda p: (-p[0], p[1]))
         assert [f[0] for f in found] == [j for _, j in scored[:10]]
-        assert [f[1] for f in found] == pytest.approx([s for s, _ in scored[:10]])
+        assert [f[1] for f in found] == pytest.approx([s for s, _ in scored[:10]], abs=6e-7)  # the query shows six places

@@ -37,8 +37,8 @@ def test_cutting(spark):
     assert [(r.source, r.pos, r.title) for r in text.markdown_sections(docs).orderBy("source", "pos").collect()] == [("d", 0, "One"), ("d", 1, "Two"), ("e", 0, "e")]
     docs = spark.createDataFrame([("d", "a\n\nb\n\n \n\nc"), ("e", "x")], "source string, text string")
     assert [r.title for r in text.paragraphs(docs).orderBy("source", "pos").collect()] == ["d_para_0", "d_para_1", "d_para_2", "e"]
-    law = spark.createDataFrame([(1, "第一条 甲\n第二条 乙"), (2, "a\n\nb")], "doc_id int, text string")
-    assert [r.chunk for r in text.clause_split(law).orderBy("doc_id", "pos").collect()] == ["第一条 甲", "第二条 乙", "a", "b"]
+    law = spark.createDataFrame([(1, "第一條 甲\n第二條 乙"), (2, "a\n\nb")], "doc_id int, text string")
+    assert [r.chunk for r in text.clause_split(law).orderBy("doc_id", "pos").collect()] == ["第一條 甲", "第二條 乙", "a", "b"]
     ids = text.chunk_ids(text.recursive_split(spark.createDataFrame([(1, "hello")], "doc_id int, text string")), "doc_id", "chunk", "pos").first()
     assert ids.chunk_id == "1::chunk_0_5d41402a"
     groups = text.semantic_split(spark.createDataFrame([(1, "abc abc abc. abc abc abc! zzz yyy xxx. " * 3)], "doc_id int, text string"), least=5).count()
@@ -92,5 +92,5 @@ def test_formats(spark):
     parts = text.train_test(spark.range(2000), "id").groupBy("part").count().collect()
     assert {r.part: r["count"] for r in parts}["test"] == pytest.approx(200, abs=50)
     hits = spark.createDataFrame([(1, 2, "b", "src"), (1, 1, "a", "src")], "q long, rank int, content string, source string")
-    assert text.context(hits, "q", "rank").first().context == "[1] (src)\na\n\n[2] (src)\nb"
+    assert text.context(hits, "q", "rank").first().context == "[1] (来源: src)\na\n\n[2] (来源: src)\nb"
     assert one(spark, text.preview(F.lit("x" * 101))) == "x" * 100 + "..."

@@ -87,3 +87,12 @@ def test_single_and_empty(spark):
     (row,) = imatch.imatch_report(spark.createDataFrame([(4, "abcd")], schema)).collect()
     assert row.near_next == 1.0 and row.edited_sha256 == hashlib.sha256(b"abab").hexdigest()
     assert imatch.imatch_report(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_very_long_texts(spark):
+    long = " ".join(f"t{i}" for i in range(200_000))
+    rows = [(1, long), (2, long + " more"), (3, "short"), (4, long)]
+    got = {r.doc_id: r for r in imatch.imatch_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].fingerprint == got[4].fingerprint and got[1].n_chars == len(long) and got[3].near_next == 0.0
+    half = len(long) // 2
+    assert got[1].edited_sha256 == hashlib.sha256((long[: len(long) - half] + (long + " more")[:half]).encode()).hexdigest()

@@ -78,3 +78,12 @@ def test_nulls_and_empty(spark):
     assert simhash.simhash_report(spark.createDataFrame([], schema)).count() == 0
     rows = simhash.simhash_report(spark.createDataFrame([(None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (None, None)], schema)).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in rows) == [(0, 0), (0, 3), (3, 3), (3, 3)]
+
+
+def test_very_long_text(spark):
+    """Longer than one block of shingles; one word more or less changes few bits."""
+    rng = np.random.default_rng(9)
+    text = " ".join(f"w{i}" for i in rng.integers(0, 50_000, 200_000))
+    rows = simhash.simhash_report(spark.createDataFrame([(1, text), (2, text + " end")], "doc_id long, text string")).collect()
+    assert {r.component_id for r in rows} == {1}
+    assert simhash.fingerprint(text) == plain_fingerprint(text)

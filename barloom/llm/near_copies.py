@@ -150,13 +150,17 @@ def _entered(nodes: DataFrame, wanted=None) -> DataFrame:
 
 
 def _sets(base: DataFrame, wanted) -> DataFrame:
-    """(node, s): shingles of the texts whose nodes pass the filter."""
+    """(node, s): shingles of the texts whose nodes pass the filter, once for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             texts = [_words(t) for t in batch.column(0).to_pylist()]
             nodes = np.array([_node(w) for w in texts], np.int64)
-            kept = np.flatnonzero(_passes(wanted.value, nodes))
+            firsts = np.sort(np.unique(nodes, return_index=True)[1])
+            kept = firsts[_passes(wanted.value, nodes[firsts])]
+            kept = kept[[n not in seen for n in nodes[kept].tolist()]] if len(kept) else kept
+            seen.update(nodes[kept].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(nodes[kept]), _lists([shingles(texts[i]).view(np.int64) for i in kept.tolist()])], names=["node", "s"])
 
     return base.select("text").mapInArrow(run, "node long, s array<long>")
@@ -173,10 +177,12 @@ def _with(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     return pairs
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def _verified(close: DataFrame, base: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles are similar enough; sets are made of the texts of these pairs alone."""
+    met = cut_lineage(close.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = cut_lineage(_sets(base, _filter(met, "node")).join(met, "node", "left_semi").dropDuplicates(["node"]))
     both = F.size(F.array_intersect("sa", "sb"))
-    return _with(pairs, sets, "s").where(both >= LEAST * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    return _with(close, sets, "s").where(both >= LEAST * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -191,15 +197,13 @@ def groups(nodes: DataFrame, base: DataFrame) -> DataFrame:
     shared = cut_lineage(_entered(nodes).groupBy("key").count().where("count > 1").select("key"))
     members = cut_lineage(_entered(nodes, _filter(shared, "key")).join(shared, "key"))
     hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
-    met_nodes = cut_lineage(members.select("node").distinct())
-    sets = cut_lineage(_sets(base, _filter(met_nodes, "node")).join(met_nodes, "node", "left_semi").dropDuplicates(["node"]))
     labels = nodes.select("node", F.col("node").alias("root"))
 
     # Each node and the nearest of its hubs.
     starred = members.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     stars = _with(starred, nodes, "fp").withColumn("d", _distance("fpa", "fpb"))
     nearest = stars.where(F.col("d") <= MAX_BITS).groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", "best.b")
-    labels = _joined(labels, _verified(cut_lineage(nearest), sets))
+    labels = _joined(labels, _verified(cut_lineage(nearest), base))
 
     # Nodes that share a value and are still apart.
     named = members.select("key", "node").join(labels, "node")
@@ -209,7 +213,7 @@ def groups(nodes: DataFrame, base: DataFrame) -> DataFrame:
     met = left.join(right, (F.col("keya") == F.col("keyb")) & (F.col("roota") < F.col("rootb")) & (F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= MAX_FIRST))
     pairs = met.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
     close = cut_lineage(_with(pairs, nodes, "fp").where(_distance("fpa", "fpb") <= MAX_BITS).select("a", "b"))
-    return _joined(labels, _verified(close, sets))
+    return _joined(labels, _verified(close, base)) if close.take(1) else labels
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

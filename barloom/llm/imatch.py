@@ -33,6 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import cut_lineage
+
 #: Natural logarithms of documents / document frequency.
 IDF_BAND = (math.log(5), math.log(2000))
 #: Subsets of a level, and levels of a document.
@@ -128,12 +130,10 @@ def likeness(a: str, b: str) -> float:
 
 def kept_terms(docs: DataFrame, band: tuple[float, float], text_col: str = "text") -> set[str]:
     """The lexicon, for the tasks; an error if it exceeds ``MOST_TERMS``, where the band should be narrower."""
-    found: set[str] = set()
-    for r in lexicon(docs, band, text_col).limit(MOST_TERMS + 1).toLocalIterator():
-        found.add(r.term)
-    if len(found) > MOST_TERMS:
-        raise ValueError(f"the lexicon has more than {MOST_TERMS} terms; choose a band with a smaller upper end")
-    return found
+    terms_kept = cut_lineage(lexicon(docs, band, text_col))
+    if (n := terms_kept.count()) > MOST_TERMS:
+        raise ValueError(f"the lexicon has {n} terms, more than {MOST_TERMS}; choose a band with a smaller upper end")
+    return {r.term for r in terms_kept.toLocalIterator()}
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", band: tuple[float, float] = IDF_BAND) -> DataFrame:

@@ -3,7 +3,7 @@
 Documents are tokenised once. An overlong document is first cut into full
 windows, each a sequence of its own; what remains of it, and every shorter
 document, is packed. Remainders are dealt to groups of bounded size by a hash of
-the document, and each group packs longest first: a segment tree indexed by
+the row, and each group packs longest first: a segment tree indexed by
 remaining capacity finds the tightest open window that still fits.
 
 Groups hold some thousands of documents, so the one half-empty window at a
@@ -125,8 +125,9 @@ def pack(
     groups = max(1, -(-docs.count() // docs_per_group))
     made = pieces(docs, id_col, text_col, vocabulary or tokens.default_vocabulary(), window, end_id)
     # A document has one remainder, so groups have about docs_per_group of them. Full windows
-    # need no packing but take their sequence ids from the same groups.
-    dealt = made.withColumn("grp", F.pmod(F.xxhash64("doc_id", "ids_crc32", "start"), F.lit(groups)))
+    # need no packing but take their sequence ids from the same groups. The row's number spreads
+    # rows that are alike in all else.
+    dealt = made.withColumn("grp", F.pmod(F.xxhash64("doc_id", "ids_crc32", "start", F.monotonically_increasing_id()), F.lit(groups)))
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])

@@ -81,6 +81,17 @@ def test_large_ids_beside_a_null(spark):
     assert sorted((r.doc_id for r in rows), key=str) == sorted(ids, key=str)
 
 
+def test_rows_alike_are_spread(spark):
+    """A third of the rows have no id and the same text; they don't meet in one group."""
+    docs = spark.range(3000).selectExpr("if(id % 3 = 0, null, id) doc_id", "if(id % 3 = 0, 'same text', concat('text ', id)) text").repartition(4)
+    rows = packing.pack(docs, docs_per_group=100).collect()
+    groups = {}
+    for r in rows:
+        if r.doc_id is None:
+            groups[r.sequence_id >> 32] = groups.get(r.sequence_id >> 32, 0) + 1
+    assert len(rows) == 3000 and sum(groups.values()) == 1000 and len(groups) > 20 and max(groups.values()) < 100
+
+
 def test_registered_query_keeps_every_id_once(spark):
     """Over the whole smallest table: pieces cover each document, offsets have no gaps, and little is padded."""
     from barloom.llm import queries

@@ -2,22 +2,23 @@
 
 ``simhash`` links 64-bit fingerprints at three bits. Two texts that share 0.8 of
 their five-word shingles differ in about 15 of 100 bits, so here the fingerprint
-has 504 bits, cut into 18 segments of 28. Of a segment's Hamming ball only the
+has 480 bits, cut into 15 segments of 32. Of a segment's Hamming ball only the
 likely part is enumerated: a majority that was won narrowly is the one that an
-edit turns, so the values that differ in any of the segment's four narrowest bits
-(16 of them) are entered into the segment's table. Both sides do so: two
+edit turns, so the values that differ in any of the segment's five narrowest bits
+(32 of them) are entered into the segment's table. Both sides do so: two
 fingerprints meet if all bits in which a segment differs are narrow for one of
 them. By simulation they meet in a segment with a chance of 0.24 at similarity
-0.8, 0.40 at 0.85 and 0.58 at 0.9, so in one of 18 with 0.993, 0.9999 and more.
+0.8, 0.38 at 0.85 and 0.60 at 0.9, so in one of 15 with 0.984, 0.999 and more.
 
 What meets is verified twice: by the complete distance, then by the exact
 Jaccard similarity of both sets of shingles.
 
-Texts of equal words are one node. Every node is first compared with the nearest
-of the nodes that stand for the values it was entered under, and what is linked
-is joined. Pairs are listed only where nodes that are still apart share a value,
-so the pairs of a dense group are never listed, and no group is collected: all
-steps are joins and sums, which Spark can split.
+Texts of equal words are one node. In some rounds, each value has one of its nodes
+as a hub, another in each round; every node is compared with the nearest of its
+hubs, and what is linked is joined. Pairs are listed only where nodes that are
+still apart after that share a value, so the pairs of a dense group are not
+listed, and no group is collected: all steps are joins and sums, which Spark can
+split.
 """
 
 from __future__ import annotations
@@ -34,9 +35,11 @@ from barloom.llm.common import cut_lineage, text_or_empty
 from barloom.llm.components import components
 
 WIDTH, LEAST = 5, 0.8
-SEGMENTS, BITS, NARROW = 18, 28, 4
+SEGMENTS, BITS, NARROW = 15, 32, 5
+#: Rounds with hubs before pairs are listed.
+ROUNDS = 4
 LANES = 8
-#: Complete distance of a candidate at most; 0.8 gives 76 with a deviation of 8, few shingles up to 95.
+#: Complete distance of a candidate at most; 0.8 gives 73 with a deviation of 8, few shingles up to 95.
 MAX_BITS = 120
 #: The same for the first 64 bits alone, which travel with a pair.
 MAX_FIRST = 24
@@ -196,19 +199,25 @@ def groups(nodes: DataFrame, base: DataFrame) -> DataFrame:
     """(node, root) for all ``nodes``; a root stands for its group. ``base`` holds the texts."""
     shared = cut_lineage(_entered(nodes).groupBy("key").count().where("count > 1").select("key"))
     members = cut_lineage(_entered(nodes, _filter(shared, "key")).join(shared, "key"))
-    hubs = members.groupBy("key").agg(F.min("node").alias("hub"))
     labels = nodes.select("node", F.col("node").alias("root"))
 
-    # Each node and the nearest of its hubs.
-    starred = members.join(hubs, "key").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    stars = _with(starred, nodes, "fp").withColumn("d", _distance("fpa", "fpb"))
-    nearest = stars.where(F.col("d") <= MAX_BITS).groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", "best.b")
-    labels = _joined(labels, _verified(cut_lineage(nearest), base))
-
-    # Nodes that share a value and are still apart.
-    named = members.select("key", "node").join(labels, "node")
-    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    apart = cut_lineage(named.join(mixed, "key", "left_semi").join(nodes.select("node", F.col("fp")[0].alias("w")), "node"))
+    def still_apart() -> DataFrame:
+        """The entries under values whose nodes have several roots, with their roots."""
+        named = members.select("key", "node").join(labels, "node")
+        mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+        return cut_lineage(named.join(mixed, "key", "left_semi"))
+
+    for n in range(ROUNDS):
+        members = still_apart()
+        hubs = members.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(n))).alias("hub"))
+        starred = members.join(hubs, "key").where("root <> hub.root").select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+        stars = _with(starred, nodes, "fp").withColumn("d", _distance("fpa", "fpb"))
+        nearest = cut_lineage(stars.where(F.col("d") <= MAX_BITS).groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", "best.b"))
+        if not nearest.take(1):
+            break
+        labels = _joined(labels, _verified(nearest, base))
+
+    apart = cut_lineage(still_apart().join(nodes.select("node", F.col("fp")[0].alias("w")), "node"))
     left, right = (apart.toDF(*[f"{c}{end}" for c in apart.columns]) for end in "ab")
     met = left.join(right, (F.col("keya") == F.col("keyb")) & (F.col("roota") < F.col("rootb")) & (F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= MAX_FIRST))
     pairs = met.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
@@ -229,7 +238,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     made = cut_lineage(_fingerprinted(base))
     first = lambda c: F.first(c).alias(c)  # noqa: E731  equal within a node
     nodes = made.groupBy("node").agg(F.min("id").alias("first"), first("fp"), first("narrow"))
-    # Each row becomes 288, so rows are spread before; by a key of its own, see simhash.link_fingerprints.
+    # Each row becomes 480, so rows are spread before; by a key of its own, see simhash.link_fingerprints.
     nodes = cut_lineage(nodes.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("node", F.lit(1))))
     named = nodes.select("node", "first").join(groups(nodes, base), "node")
     # The smallest id of a group has the smallest of its node.

@@ -40,9 +40,9 @@ def test_stage_keeps_one_of_every_pair_of_near_copies(spark, tmp_path):
 
 
 def test_keys_of_close_fingerprints_meet():
-    """By the documented chance: at least 0.97 of pairs at similarity 0.8, nearly all at 0.9."""
+    """By the documented chance: at least 0.95 of pairs at similarity 0.8, nearly all at 0.9."""
     rng = np.random.default_rng(2)
-    for n, k, least in ((200, 22, 0.97), (200, 10, 0.995), (1000, 111, 0.97)):
+    for n, k, least in ((200, 22, 0.95), (200, 10, 0.995), (1000, 111, 0.95)):
         met = 0
         for _ in range(150):
             s = rng.integers(0, 1 << 63, n + k, dtype=np.uint64)
@@ -57,7 +57,7 @@ def test_keys_of_close_fingerprints_meet():
 def test_margins_are_the_plain_count():
     s = np.random.default_rng(3).integers(0, 1 << 63, 300, dtype=np.uint64)
     mask = (1 << 64) - 1
-    for bit in (0, 63, 64, 200, 503):
+    for bit in (0, 63, 64, 200, 479):
         total = 0
         for h in s.tolist():
             m = (h * int(near_copies.FACTORS[0][bit // 64]) + int(near_copies.SHIFTS[0][bit // 64])) & mask

@@ -37,7 +37,7 @@ from barloom.llm.components import components
 WIDTH, LEAST = 5, 0.8
 SEGMENTS, BITS, NARROW = 15, 32, 5
 #: Rounds with hubs before pairs are listed.
-ROUNDS = 4
+ROUNDS = 2
 LANES = 8
 #: Complete distance of a candidate at most; 0.8 gives 73 with a deviation of 8, few shingles up to 95.
 MAX_BITS = 120
@@ -208,7 +208,7 @@ def groups(nodes: DataFrame, base: DataFrame) -> DataFrame:
         return cut_lineage(named.join(mixed, "key", "left_semi"))
 
     for n in range(ROUNDS):
-        members = still_apart()
+        members = still_apart() if n else members.withColumn("root", F.col("node"))
         hubs = members.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(n))).alias("hub"))
         starred = members.join(hubs, "key").where("root <> hub.root").select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
         stars = _with(starred, nodes, "fp").withColumn("d", _distance("fpa", "fpb"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import ann, bpe, imatch, language, line_templates, packing, pii, quality, repetition, secrets, simhash
+from barloom.llm import ann, bpe, imatch, language, line_templates, packing, pii, quality, repetition, secrets, simhash, spelling
 from barloom.llm.common import table
 
 
@@ -50,6 +50,10 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_report(table(spark, sf_dir, "documents"))
+
+
 def op13_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.runs_report(table(spark, sf_dir, "documents"))
 
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_imatch": op8_imatch,
         "op9_pii": op9_pii,
         "op10_simhash": op10_simhash,
+        "op11_spelling": op11_spelling,
         "op13_repetition": op13_repetition,
     }
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import ann, bpe, imatch, language, line_templates, packing, pii, quality, repetition, secrets, simhash, spelling
+from barloom.llm import ann, bpe, imatch, language, line_templates, packing, pii, quality, repetition, secrets, simhash, spelling, toxicity
 from barloom.llm.common import table
 
 
@@ -54,6 +54,10 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_report(table(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.runs_report(table(spark, sf_dir, "documents"))
 
@@ -71,6 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": op9_pii,
         "op10_simhash": op10_simhash,
         "op11_spelling": op11_spelling,
+        "op12_toxicity": op12_toxicity,
         "op13_repetition": op13_repetition,
     }
 

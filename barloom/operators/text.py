@@ -1,22 +1,20 @@
-"""Tokens, similarity, chunks, citations and training formats."""
+"""Tokens, similarity, citations and training formats."""
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Token and sentence patterns.
+from barloom.functions.shared import nth_digest, numbered
+
+# Token patterns.
 MIXED = r"[一-鿿]+|[a-z]+|\d+"
 SINGLE = r"[一-鿿]|[a-z]+|\d+"
 PLAIN = r"[a-z0-9]+"
-SENTENCE_END = r"(?<=[.!?。！？；\n])\s*"
-SEPARATORS = ("\n\n", "\n", "。", "，", ". ", " ", "")
 
 
 def tokens(text: Column, pattern: str = SINGLE) -> Column:
@@ -67,151 +65,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / norms)
 
 
-def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(s)), lambda s: s != "")
-
-
-def hard_cut(text: Column, size: int = 500, overlap: int = 50) -> Column:
-    """Pieces of ``size`` characters, each starting ``size - overlap`` after the one before; blank ones go."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(size - overlap))
-    return F.filter(F.transform(starts, lambda i: F.trim(F.substring(text, i + 1, F.lit(size)))), lambda s: s != "")
-
-
-def chunk_ids(chunks: DataFrame, source: str, content: str, *order: str) -> DataFrame:
-    """Adds chunk_id: source, running number of the chunk in its source and the head of the content's digest."""
-    from pyspark.sql import Window as W
-
-    number = F.row_number().over(W.partitionBy(source).orderBy(*order)) - 1
-    return chunks.withColumn("chunk_id", F.concat(F.col(source).cast("string"), F.lit("::chunk_"), number.cast("string"), F.lit("_"), F.substring(F.md5(F.col(content)), 1, 8)))
-
-
-def recursive_pieces(text: str, size: int = 500, overlap: int = 50, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Cut at the first separator that occurs, pack pieces up to ``size``, cut what is still too long by later separators."""
-    text = text.strip()
-    if len(text) <= size:
-        return [text] if text else []
-    sep = next((s for s in separators if s == "" or s in text), "")
-    if sep == "":
-        step = max(1, size - overlap)
-        return [p for p in (text[i : i + size].strip() for i in range(0, len(text), step)) if p]
-    later = separators[separators.index(sep) + 1 :]
-    out, held = [], ""
-
-    def put(chunk: str) -> None:
-        out.extend([chunk.strip()] if len(chunk) <= size else recursive_pieces(chunk, size, overlap, later))
-
-    for part in text.split(sep):
-        joined = held + sep + part if held else part
-        if len(joined) <= size:
-            held = joined
-            continue
-        if held.strip():
-            put(held)
-        held = held[-overlap:] + sep + part if held and overlap else part
-    if held.strip():
-        put(held)
-    return [p for p in out if p]
-
-
-def recursive_split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 500, overlap: int = 50, separators: tuple[str, ...] = SEPARATORS) -> DataFrame:
-    """(id, pos, chunk) by ``recursive_pieces``."""
-    return _pieces(docs, id_col, F.coalesce(text_col, F.lit("")), lambda t: recursive_pieces(t, size, overlap, separators))
-
-
-def semantic_split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, least: int = 50, most: int = 1000) -> DataFrame:
-    """(id, pos, chunk): sentences grouped while neighbours' bigram counts agree by ``threshold``.
-
-    Groups shorter than ``least`` join the one before; longer than ``most`` are cut again.
-    """
-    def like(a: str, b: str) -> float:
-        x, y = (Counter(s[i : i + 2] for i in range(len(s) - 1)) for s in (a.lower(), b.lower()))
-        norm = (sum(v * v for v in x.values()) * sum(v * v for v in y.values())) ** 0.5
-        return sum(v * y[k] for k, v in x.items()) / norm if norm else 0.0
-
-    def pieces(parts: list[str]) -> list[str]:
-        groups: list[list[str]] = []
-        for s in parts:
-            if groups and like(groups[-1][-1], s) >= threshold:
-                groups[-1].append(s)
-            else:
-                groups.append([s])
-        joined: list[str] = []
-        for text in (" ".join(g) for g in groups):
-            if joined and len(text) < least:
-                joined[-1] += " " + text
-            else:
-                joined.append(text)
-        return [p for t in joined for p in (recursive_pieces(t, most, 0) if len(t) > most else [t])]
-
-    return _pieces(docs, id_col, sentences(F.coalesce(text_col, F.lit(""))), lambda parts: pieces(list(parts)))
-
-
-# Clause headings at a line's start, in any case.
-HEADING = r"(?imd)(?=^(?:第[一二三四五六七八九十百千零\d]+[條章節款項]|Article\s+\d+|Section\s+\d+|\d+\.\s+))"
-#: Clauses of more characters are cut again, to pieces of this size and overlap.
-LONG_CLAUSE, CLAUSE_SIZE, CLAUSE_OVERLAP = 1000, 500, 50
-
-
-def clauses(text: Column) -> Column:
-    """Parts of a text before clause headings; by blank lines if that gives one part only."""
-    stripped = lambda parts: F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
-    by_heading = stripped(F.split(text, HEADING))
-    return F.when(F.size(by_heading) > 1, by_heading).otherwise(stripped(F.split(text, r"\n\s*\n")))
-
-
-def _pieces(docs: DataFrame, id_col: str, column: Column, cut) -> DataFrame:
-    """(id, pos, chunk) of ``cut(value)``, a list for each row's value of ``column``."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = [(i, n, p) for i, v in zip(frame["id"], frame["v"], strict=True) for n, p in enumerate(cut(v))]
-            yield pd.DataFrame(rows, columns=["id", "pos", "chunk"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), column.alias("v")).mapInPandas(run, f"id {kind}, pos int, chunk string").withColumnRenamed("id", id_col)
-
-
-def clause_split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, pos, chunk) cut before clause headings, else at blank lines; long clauses are cut again by ``recursive_pieces``.
-
-    Null and blank texts have no chunk.
-    """
-    again = lambda p: recursive_pieces(p, CLAUSE_SIZE, CLAUSE_OVERLAP) if len(p) > LONG_CLAUSE else [p]
-    return _pieces(docs, id_col, clauses(F.coalesce(text_col, F.lit(""))), lambda parts: [x for p in parts for x in again(p)])
-
-
-def split_documents(docs: DataFrame, strategy: str = "recursive", id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """(id, pos, chunk, start_idx, end_idx, chunk_id) by a named strategy: recursive, semantic or financial; others raise.
-
-    Each chunk is looked for behind the end of the one before; a chunk that isn't
-    found as it is starts there. Numbers in chunk ids run within a document, so
-    documents stay independent of each other.
-    """
-    made = {"recursive": recursive_split, "semantic": semantic_split, "financial": clause_split}
-    if strategy not in made:
-        raise ValueError(f"unknown splitting strategy {strategy!r}; choose from {list(made)}")
-    chunks = made[strategy](docs, id_col, text_col, **how)
-    grouped = chunks.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("pos", "chunk"))).alias("c"))
-    whole = grouped.join(docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("t")), id_col)
-    found = "array<struct<pos:int,chunk:string,start_idx:int,end_idx:int>>"
-
-    @F.pandas_udf(found)
-    def placed(texts: pd.Series, lists: pd.Series) -> pd.Series:
-        out = []
-        for text, items in zip(texts, lists, strict=True):
-            at, mine = 0, []
-            for x in items:
-                here = text.find(x["chunk"], at)
-                start = at if here < 0 else here
-                mine.append({"pos": x["pos"], "chunk": x["chunk"], "start_idx": start, "end_idx": start + len(x["chunk"])})
-                at = at if here < 0 else start + len(x["chunk"])
-            out.append(mine)
-        return pd.Series(out)
-
-    each = whole.select(id_col, F.explode(placed("t", "c")).alias("x")).select(id_col, "x.*")
-    return chunk_ids(each, id_col, "chunk", "pos")
-
-
 def markdown_sections(docs: DataFrame, id_col: str = "source", text_col: str = "text") -> DataFrame:
     """(id, pos, title, content) cut before headings of one to three marks; without a heading the title is the id."""
     parts = F.filter(F.split(text_col, r"(?m)(?=^#{1,3} )"), lambda p: F.trim(p) != "")
@@ -325,10 +178,25 @@ def chatml(turns: DataFrame, conv: str = "conv_id", order: str = "turn") -> Data
     return made.select(conv, F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
 
 
-def train_test(df: DataFrame, key: str, test_ratio: float = 0.1) -> DataFrame:
-    """Adds part (train or test): by the digest of the key, so rows stay where they are when others come or go."""
-    bucket = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
-    return df.withColumn("part", F.when(bucket < test_ratio, "test").otherwise("train"))
+def train_test(df: DataFrame, key: str, test_ratio: float = 0.1, least: int = 1) -> DataFrame:
+    """Adds part: train for exactly max(``least``, int(n (1 - ratio))) rows of n, test for the others.
+
+    Rows go by the digest of their key, so the order is random and the same at every
+    run. The digest at the cut is found by counting, not by sorting; rows that share it
+    are told apart by numbers of their own.
+    """
+    digest = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")))
+    n = df.count()
+    wanted = max(least, int(n * (1 - test_ratio)))
+    if wanted >= n:
+        return df.withColumn("part", F.lit("train"))
+    cut, smaller = nth_digest(df.select(digest.alias("digest")), wanted)
+    at_cut = df.where(digest == cut)
+    part = F.when(digest < cut, "train").otherwise("test")
+    if at_cut.count() == wanted - smaller:
+        return df.withColumn("part", F.when(digest <= cut, "train").otherwise("test"))
+    tied = numbered(at_cut, key, out="__number").withColumn("part", F.when(F.col("__number") < wanted - smaller, "train").otherwise("test")).drop("__number")
+    return df.where(digest != cut).withColumn("part", part).unionByName(tied)
 
 
 def preview(text: Column, n: int = 100) -> Column:

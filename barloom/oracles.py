@@ -336,7 +336,8 @@ select s.query_id, step::int rank, pick vec_id, {six('1 - rel')} distance from s
 s as (select conv_id, string_split(regexp_replace(text, '(^|\n)(第[一二三四五六七八九十百千零\d]+[條章節款項]|Article\s+\d+|Section\s+\d+|\d+\.\s+)', '\1' || chr(1) || '\2', 'gi'), chr(1)) parts from d),
 u as (select conv_id, unnest(parts) raw, generate_subscripts(parts, 1) i from s),
 o as (select *, sum(length(raw)) over (partition by conv_id order by i) - length(raw) off, regexp_replace(raw, '^\s+|\s+$', '', 'g') piece from u)
-select conv_id, (row_number() over (partition by conv_id order by i) - 1)::int pos, md5(piece) digest, (off + length(raw) - length(regexp_replace(raw, '^\s+', '')))::int start_idx, (off + length(raw) - length(regexp_replace(raw, '^\s+', '')) + length(piece))::int end_idx from o where piece <> ''""",
+select conv_id, (row_number() over (partition by conv_id order by i) - 1)::int pos, md5(piece) digest, (off + length(raw) - length(regexp_replace(raw, '^\s+', '')))::int start_idx, (off + length(raw) - length(regexp_replace(raw, '^\s+', '')) + length(piece))::int end_idx,
+  conv_id || '::chunk_' || (row_number() over (order by conv_id, i) - 1) || '_' || substring(md5(piece), 1, 8) chunk_id from o where piece <> ''""",
         "labels_matched": """with n as (select doc_id, ['bullish', 'bearish', 'neutral'] names from documents),
 t as (select doc_id, names[(doc_id % 2 + 1)::int] wanted, case when doc_id % 11 = 0 then 'no view' else 'It looks ' || names[(doc_id % 3 + 1)::int] || case when doc_id % 5 = 0 then ', not bullish' else '' end end said from n),
 l as (select *, case when contains(said, 'bullish') then 'bullish' when contains(said, 'bearish') then 'bearish' when contains(said, 'neutral') then 'neutral' end label from t)
@@ -344,6 +345,39 @@ select doc_id, label, coalesce(contains('sentiment: ' || wanted, label), false)
     }
 
 
+def semantic_chunks(most: int = 1000, least: int = 50) -> str:
+    """Sentences grouped by neighbours' bigrams, long groups cut by ever finer separators, short ones joined to the chunk before."""
+    strip = lambda x: rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    ctes = [
+        rf"""l as (select doc_id, text, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?。！？；\n])\s*', '\1' || chr(1), 'g'), chr(1)), lambda s: {strip('s')}), lambda s: s <> '') l from documents)""",
+        "s as (select doc_id, unnest(l) s, generate_subscripts(l, 1) i from l where len(l) > 1)",
+        "b as (select doc_id, i, substring(lower(s), unnest(range(1, length(s)))::int, 2) b from s)",
+        "c as (select doc_id, i, b, count(*) n from b group by all)",
+        "q as (select doc_id, i, sum(n * n) q from c group by all)",
+        "d as (select x.doc_id, x.i, sum(x.n * y.n) d from c x join c y on x.doc_id = y.doc_id and y.i = x.i - 1 and x.b = y.b group by all)",
+        "f as (select s.doc_id, s.i, s.s, case when coalesce(d.d::double / sqrt((q.q * p.q)::double), 0) < 0.5::double then 1 else 0 end new from s left join d using (doc_id, i) left join q using (doc_id, i) left join q p on p.doc_id = s.doc_id and p.i = s.i - 1)",
+        "g as (select *, sum(new) over (partition by doc_id order by i) g from f)",
+        "l0 as (select doc_id, [g::bigint] path, string_agg(s, ' ' order by i) t from g group by doc_id, g)",
+    ]
+    for k, sep in enumerate(("。", "，", ". ", " ")):
+        fits = f"length(r.held) + {len(sep)} + length(p.part) <= {most}"
+        cut = f"length(t) > {most} and contains(t, '{sep}')"
+        ctes += [
+            f"p{k} as (select doc_id, path, unnest(string_split(t, '{sep}')) part, generate_subscripts(string_split(t, '{sep}'), 1) j from l{k} where {cut})",
+            f"r{k} as (select doc_id, path, j, part held, null::varchar given from p{k} where j = 1 union all "
+            f"select p.doc_id, p.path, p.j, case when {fits} then r.held || '{sep}' || p.part else p.part end, case when {fits} then null else r.held end from r{k} r join p{k} p on p.doc_id = r.doc_id and p.path = r.path and p.j = r.j + 1)",
+            f"e{k} as (select doc_id, path, j, given t from r{k} where given is not null union all select doc_id, path, max(j) + 1, arg_max(held, j) from r{k} group by doc_id, path)",
+            f"l{k + 1} as (select doc_id, path, t from l{k} where not ({cut}) union all select doc_id, list_append(path, j), {strip('t')} from e{k} where {strip('t')} <> '')",
+        ]
+    ctes += [
+        f"w as (select doc_id, path, t from l4 where length(t) <= {most} union all select doc_id, list_append(path, k), {strip(f'substring(t, (k + 1)::int, {most})')} from (select doc_id, path, t, unnest(range(0, length(t), {most})) k from l4 where length(t) > {most}))",
+        f"i as (select doc_id, t, len(path) = 1 and length(t) < {least} short, row_number() over (partition by doc_id order by path) n from w where t <> '')",
+        f"j as (select doc_id, n, 0 pos, t chunk from i where n = 1 union all select i.doc_id, i.n, case when short and length(chunk) + 1 + length(t) <= {most} then pos else pos + 1 end, "
+        f"case when short and length(chunk) + 1 + length(t) <= {most} then chunk || ' ' || t else t end from j join i on i.doc_id = j.doc_id and i.n = j.n + 1)",
+    ]
+    return f"with recursive {', '.join(ctes)} select doc_id, pos, arg_max(chunk, n) chunk from j group by doc_id, pos union all select doc_id, 0, {strip('text')} from l where len(l) <= 1 and {strip('text')} <> ''"
+
+
 def oracle_sql() -> dict[str, str]:
     mid, dev = full(20, SMA20), full(20, SD20)
     boll = f"b as (select *, {mid} mid, {dev} sd from bars)"
@@ -483,12 +517,18 @@ select round(avg(h / 5.0::double), 4) precision_at_k, round(avg(coalesce(h / nul
 x as (select conv_id, turn, unnest(rw) w, 1 cr, 0 ch from w union all select conv_id, turn, unnest(hw), 0, 1 from w),
 c as (select conv_id, turn, w, sum(cr) cr, sum(ch) ch from x group by 1, 2, 3), m as (select conv_id, turn, sum(least(cr, ch)) m from c group by 1, 2)
 select w.conv_id, w.turn, {six('case when len(hw) = 0 then 0.0 else m / len(hw)::double * least(1.0, len(hw)::double / greatest(len(rw), 1)) end')} bleu1 from w left join m on w.conv_id = m.conv_id and w.turn = m.turn""",
-        "chunk_hard_cut": "select doc_id, pos::int pos, md5(chunk) digest from (select doc_id, unnest(list_filter([trim(substring(text, (i + 1)::int, 500)) for i in range(0, greatest(length(text), 1), 450)], lambda s: s <> '')) chunk, generate_subscripts(list_filter([trim(substring(text, (i + 1)::int, 500)) for i in range(0, greatest(length(text), 1), 450)], lambda s: s <> ''), 1) - 1 pos from documents)",
+        "chunk_hard_cut": "select doc_id, pos::int pos, md5(chunk) digest from (select doc_id, unnest(list_filter([regexp_replace(substring(text, (i + 1)::int, 500), '^\\s+|\\s+$', '', 'g') for i in range(0, greatest(length(text), 1), 450)], lambda s: s <> '')) chunk, generate_subscripts(list_filter([regexp_replace(substring(text, (i + 1)::int, 500), '^\\s+|\\s+$', '', 'g') for i in range(0, greatest(length(text), 1), 450)], lambda s: s <> ''), 1) - 1 pos from documents)",
         "chatml": "select conv_id, count(*) n_messages, string_agg(role || ':' || md5(text), ',' order by turn) digest from conversations group by 1",
         "alpaca": f"with {PAIRS} select conv_id, turn, md5('Answer the question.' || '|' || question || '|' || answer) digest from pairs",
-        "train_test_split": "select doc_id, case when ('0x' || substring(md5(doc_id::varchar), 1, 8))::bigint / 4294967296.0::double < 0.1::double then 'test' else 'train' end part from documents",
+        "train_test_split": "select doc_id, case when row_number() over (order by md5(doc_id::varchar)) <= greatest(1, floor(count(*) over () * (1 - 0.1::double))) then 'train' else 'test' end part from documents",
+        "chunk_semantic": semantic_chunks(),
+        "chunk_ids": r"""with p as (select doc_id, unnest(l) chunk, generate_subscripts(l, 1) i from (select doc_id, [regexp_replace(substring(text, (k + 1)::int, 1000), '^\s+|\s+$', '', 'g') for k in range(0, greatest(length(text), 1), 1000)] l from documents))
+select doc_id || '::chunk_' || (row_number() over (order by doc_id, i) - 1) || '_' || substring(md5(chunk), 1, 8) chunk_id from p where chunk <> ''""",
+        "bigram_vectors": f"""with b as (select conv_id, turn, substring(lower(text), unnest(range(1, length(text)))::int, 2) b from conversations),
+c as (select conv_id, turn, (('0x' || substring(md5(b), 1, 8))::bigint % 64)::int bucket, count(*) n from b group by all)
+select conv_id, turn, bucket, {six('n / sqrt(sum(n * n) over (partition by conv_id, turn)::double)')} weight from c""",
         "citations": """with a as (select conv_id, turn, 'see [' || (turn + 1) || '] and [' || conv_id % 5 || '] then [' || (turn + 1) || ']' t from conversations)
 select conv_id, turn, case when turn + 1 = conv_id % 5 then (turn + 1)::varchar else (turn + 1) || ',' || conv_id % 5 end cites, (turn + 1 between 1 and 4) and (conv_id % 5 between 1 and 4) valid from a""",
-        "sentences": "select doc_id, len(list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?。！？；\\n])\\s*', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> ''))::int n_sentences from documents",
+        "sentences": "select doc_id, len(list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?。！？；\\n])\\s*', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')), lambda s: s <> ''))::int n_sentences from documents",
     }
     return {k: v for k, v in found.items() if v}

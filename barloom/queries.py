@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators import backtest, evaluation, indicators as ind, metrics, optimise, patterns, retrieval, signals, text
+from barloom.operators import backtest, chunks, evaluation, indicators as ind, metrics, optimise, patterns, retrieval, signals, text
 from barloom.plans import screen
 from barloom.sources import bars
 
@@ -127,8 +127,8 @@ def clause_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     part = F.concat(F.when(F.col("turn") % 3 == 0, F.concat(F.lit("第"), (F.col("turn") + 1).cast("string"), F.lit("條 "))).otherwise(F.concat(F.lit("ARTICLE "), (F.col("turn") + 1).cast("string"), F.lit("\n"))), F.substring("text", 1, 300))
     docs = t.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))), lambda x: x["p"]), "\n").alias("text"))
-    made = text.split_documents(docs, "financial", "conv_id")
-    return made.select("conv_id", "pos", F.md5("chunk").alias("digest"), "start_idx", "end_idx")
+    made = chunks.split_documents(docs, "financial", "conv_id")
+    return made.select("conv_id", "pos", F.md5("chunk").alias("digest"), "start_idx", "end_idx", "chunk_id")
 
 
 def labels_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +184,7 @@ def mmr_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hard_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", F.posexplode(text.hard_cut(F.col("text"))).alias("pos", "chunk")).select("doc_id", "pos", F.md5("chunk").alias("digest"))
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(chunks.hard_cut(F.col("text"))).alias("pos", "chunk")).select("doc_id", "pos", F.md5("chunk").alias("digest"))
 
 
 def cited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,9 +269,11 @@ def queries() -> dict[str, Query]:
         "bleu1": lambda s, d: show(text.bleu1(turns(s, d), ["conv_id", "turn"], "question", "answer"), "bleu1", keys=("conv_id", "turn")),
         "rouge_l": lambda s, d: text.rouge_l(turns(s, d), "question", "answer").select("conv_id", "turn", "rouge_l"),
         "chunk_hard_cut": hard_cut,
-        "chunk_recursive": lambda s, d: text.chunk_ids(text.recursive_split(documents(s, d)), "doc_id", "chunk", "pos"),
-        "chunk_semantic": lambda s, d: text.semantic_split(documents(s, d)),
-        "sentences": lambda s, d: documents(s, d).select("doc_id", F.size(text.sentences(F.col("text"))).alias("n_sentences")),
+        "chunk_recursive": lambda s, d: chunks.chunk_ids(chunks.recursive_split(documents(s, d)), "doc_id", "chunk", "pos"),
+        "chunk_semantic": lambda s, d: chunks.semantic_split(documents(s, d)),
+        "chunk_ids": lambda s, d: chunks.chunk_ids(documents(s, d).select("doc_id", F.posexplode(chunks.hard_cut(F.col("text"), 1000, 0)).alias("pos", "chunk")), "doc_id", "chunk", "pos").select("chunk_id"),
+        "bigram_vectors": lambda s, d: show(chunks.bigram_vectors(s.read.parquet(f"{d}/conversations.parquet"), ["conv_id", "turn"]), "weight", keys=("conv_id", "turn", "bucket")),
+        "sentences": lambda s, d: documents(s, d).select("doc_id", F.size(chunks.sentences(F.col("text"))).alias("n_sentences")),
         "chatml": lambda s, d: text.chatml(s.read.parquet(f"{d}/conversations.parquet")).select(
             "conv_id", F.size("messages").cast("long").alias("n_messages"), F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), F.md5(m["content"]))), ",").alias("digest")
         ),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import ordered
-from barloom.operators import evaluation, metrics, retrieval, text
+from barloom.operators import chunks, evaluation, metrics, retrieval, text
 from barloom.sources import bars, samples
 
 
@@ -43,75 +43,15 @@ def test_run_evaluation(spark):
     assert (row.total_cases, row.precision_at_k, row.mrr, row.faithfulness, row.relevancy, row.overall) == (2, 0.25, 0.25, 0.4, 0.5, 0.45)
 
 
-CLAUSES = [
-    (1, "第1條 這是第一條的內容。\n第2條 這是第二條的內容。\n第3條 這是第三條的內容。"),
-    (2, "article 1 Introduction.\nARTICLE 2 Requirements.\nSection 3 End."),
-    (3, "1. First point.\n2. Second point.\n3. Third point."),
-    (4, "段落一的內容。\n\n段落二的內容。\n \n段落三的內容。"),
-    (5, "第1條 " + "內容" * 600 + "\n第2款 短內容。"),
-    (6, "   "),
-    (7, None),
-    (8, "a plain line"),
-]
-
-
-def test_clauses(spark):
-    docs = spark.createDataFrame(CLAUSES, "doc_id long, text string")
-    got = {}
-    for r in text.clause_split(docs).orderBy("doc_id", "pos").collect():
-        got.setdefault(r.doc_id, []).append(r.chunk)
-    assert [len(got.get(i, [])) for i in (1, 2, 3, 4, 6, 7, 8)] == [3, 3, 3, 3, 0, 0, 1]
-    assert got[1][1] == "第2條 這是第二條的內容。" and got[2][1] == "ARTICLE 2 Requirements." and got[4][2] == "段落三的內容。"
-    assert len(got[5]) >= 4 and all(len(c) <= 500 for c in got[5]) and got[5][-1] == "第2款 短內容。"
-
-
-@pytest.mark.parametrize("strategy", ["recursive", "semantic", "financial"])
-def test_split_documents_places_chunks(spark, strategy):
-    rows = [*CLAUSES, (9, "A " * 400), (10, "One sentence here. Another one there! " * 20), (11, "same same same " * 60)]
-    docs = spark.createDataFrame([(i, t, "s.txt", 1) for i, t in rows], "doc_id long, text string, source string, pos int")
-    texts = dict(rows)
-    got = {}
-    for r in text.split_documents(docs, strategy).orderBy("doc_id", "pos").collect():
-        got.setdefault(r.doc_id, []).append(r)
-    assert not {6, 7} & set(got) and {9, 10, 11} <= set(got)
-    for i, found in got.items():
-        at = 0
-        for n, r in enumerate(found):
-            here = texts[i].find(r.chunk, at)
-            assert r.start_idx == (at if here < 0 else here) and r.end_idx == r.start_idx + len(r.chunk) and r.pos == n
-            at = at if here < 0 else r.end_idx
-            assert r.chunk_id.startswith(f"{i}::chunk_{n}_")
-
-
 def test_unknown_names_raise(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     with pytest.raises(ValueError):
-        text.split_documents(docs, "nosuch")
+        chunks.split_documents(docs, "nosuch")
     with pytest.raises(ValueError):
         retrieval.reranker("cross_encoder")
     assert retrieval.reranker(" BM25 ") is retrieval.rerank
 
 
-def test_recursive_pieces_by_hand():
-    assert text.recursive_pieces("A" * 300, 100, 0) == ["A" * 100] * 3
-    assert text.recursive_pieces("Short text", 100, 0) == ["Short text"] and text.recursive_pieces("\n\n", 100) == []
-    assert text.recursive_pieces("Section1::Section2::Section3", 12, 0, ("::",)) == ["Section1", "Section2", "Section3"]
-    made = text.recursive_pieces("abcde" * 40, 60, 10)
-    assert all(any(a[-k:] == b[:k] for k in range(1, 61)) for a, b in zip(made, made[1:]))
-    assert text.recursive_pieces("第一段落内容很长很长很长很长很长很长\n\n第二段落内容也很长很长很长很长很长很长", 20, 0) == ["第一段落内容很长很长很长很长很长很长", "第二段落内容也很长很长很长很长很长很长"]
-    assert text.recursive_pieces("one two three four", 9, 0) == ["one two", "three", "four"]
-
-
-def test_semantic_groups_by_hand(spark):
-    alike = "The market rose today and closed higher. The market rose today and closed lower. "
-    docs = spark.createDataFrame([(1, alike + "Zebras jump quickly over very big fences near my old house. Ok."), (2, None), (3, "x" * 1200 + ".")], "doc_id long, text string")
-    got = {}
-    for r in text.semantic_split(docs).orderBy("doc_id", "pos").collect():
-        got.setdefault(r.doc_id, []).append(r.chunk)
-    assert got[1] == [alike.strip(), "Zebras jump quickly over very big fences near my old house. Ok."]
-    assert 2 not in got and [len(c) for c in got[3]] == [1000, 201]
-
-
 def test_context_and_sources(spark):
     hits = spark.createDataFrame([("q", 2, "b" * 120, "f.md", None, ""), ("q", 1, "short", "g.md", "7", "T")], "query string, rank int, content string, source string, page string, title string")
     assert text.context(hits, "query", "rank", page="page", title="title").first().context == "[1] (来源: g.md, 页码: 7, 标题: T)\nshort\n\n[2] (来源: f.md)\n" + "b" * 120

@@ -11,10 +11,10 @@ from barloom import oracles, queries
 SF_DIR = "/root/testdata/sf0.001"
 SQL = oracles.oracle_sql()
 QUERIES = queries.queries()
-KEYS = {"symbol", "bar_ts", "doc_id", "item_id", "query_id", "vec_id", "conv_id", "turn", "param_id", "fold", "rank", "pos", "pattern", "metric"}
+KEYS = {"symbol", "bucket", "bar_ts", "doc_id", "item_id", "query_id", "vec_id", "conv_id", "turn", "param_id", "fold", "rank", "pos", "pattern", "metric"}
 #: Results that are alike for every key by the query's own meaning, or have one row.
 ALIKE = {"screen_unknown", "screen_few_bars", "symbols"}
-WITHOUT_SQL = {"rouge_l", "chunk_recursive", "chunk_semantic"}
+WITHOUT_SQL = {"rouge_l", "chunk_recursive"}
 
 
 @pytest.fixture(scope="module")

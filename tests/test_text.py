@@ -25,24 +25,11 @@ def test_similarity(spark):
     assert r.c == pytest.approx(0.5**0.5) and r.z == 0
 
 
-def test_cutting(spark):
-    assert one(spark, text.sentences(F.col("t")), t="One. Two!  三。四？\n\nfive") == ["One.", "Two!", "三。", "四？", "five"]
-    assert one(spark, text.hard_cut(F.col("t"), 4, 1), t="abcdefg") == ["abcd", "defg", "g"]
-    assert one(spark, text.hard_cut(F.col("t"), 4, 1), t="") == []
-    long = "First sentence here. " * 60
-    parts = text.recursive_pieces(long, 200, 20)
-    assert all(len(p) <= 221 for p in parts) and parts[0].startswith("First") and len(parts) >= 6
-    assert text.recursive_pieces("x" * 1000, 300, 50) == ["x" * 300] * 3 + ["x" * 250] and text.recursive_pieces("  ") == []
+def test_sections_and_paragraphs(spark):
     docs = spark.createDataFrame([("d", "# One\ntext a\n## Two\ntext b"), ("e", "plain")], "source string, text string")
     assert [(r.source, r.pos, r.title) for r in text.markdown_sections(docs).orderBy("source", "pos").collect()] == [("d", 0, "One"), ("d", 1, "Two"), ("e", 0, "e")]
     docs = spark.createDataFrame([("d", "a\n\nb\n\n \n\nc"), ("e", "x")], "source string, text string")
     assert [r.title for r in text.paragraphs(docs).orderBy("source", "pos").collect()] == ["d_para_0", "d_para_1", "d_para_2", "e"]
-    law = spark.createDataFrame([(1, "第一條 甲\n第二條 乙"), (2, "a\n\nb")], "doc_id int, text string")
-    assert [r.chunk for r in text.clause_split(law).orderBy("doc_id", "pos").collect()] == ["第一條 甲", "第二條 乙", "a", "b"]
-    ids = text.chunk_ids(text.recursive_split(spark.createDataFrame([(1, "hello")], "doc_id int, text string")), "doc_id", "chunk", "pos").first()
-    assert ids.chunk_id == "1::chunk_0_5d41402a"
-    groups = text.semantic_split(spark.createDataFrame([(1, "abc abc abc. abc abc abc! zzz yyy xxx. " * 3)], "doc_id int, text string"), least=5).count()
-    assert groups == 6
 
 
 def test_citations(spark):
@@ -89,8 +76,6 @@ def test_formats(spark):
     t = spark.createDataFrame([(1, 1, "user", "q"), (1, 0, "system", "s"), (1, 2, "assistant", "a")], "conv_id long, turn long, role string, text string")
     (row,) = text.chatml(t).collect()
     assert [(m.role, m.content) for m in row.messages] == [("system", "s"), ("user", "q"), ("assistant", "a")]
-    parts = text.train_test(spark.range(2000), "id").groupBy("part").count().collect()
-    assert {r.part: r["count"] for r in parts}["test"] == pytest.approx(200, abs=50)
     hits = spark.createDataFrame([(1, 2, "b", "src"), (1, 1, "a", "src")], "q long, rank int, content string, source string")
     assert text.context(hits, "q", "rank").first().context == "[1] (来源: src)\na\n\n[2] (来源: src)\nb"
     assert one(spark, text.preview(F.lit("x" * 101))) == "x" * 100 + "..."

@@ -1,14 +1,12 @@
-"""Window frames per symbol, and the recurrences that no window function computes."""
+"""Window frames per symbol, and exponential means."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from barloom.functions.scan import AT, exponential, placed
 
 BY_SYMBOL = ("symbol",)
 
@@ -22,10 +20,6 @@ def roll(n: int, *keys: str):
     return ordered(*keys).rowsBetween(-(n - 1), 0)
 
 
-def so_far(*keys: str):
-    return ordered(*keys).rowsBetween(W.unboundedPreceding, 0)
-
-
 def full(n: int, made: Column, of: str = "close", *keys: str) -> Column:
     """``made`` where the frame holds n values, else null."""
     return F.when(F.count(of).over(roll(n, *keys)) == n, made)
@@ -52,24 +46,11 @@ def crossed_down(a: Column, b: Column, prev_a: Column, prev_b: Column) -> Column
     return F.coalesce((a < b) & (prev_a >= prev_b), F.lit(False))
 
 
-Step = tuple[str, str | Callable[[pd.DataFrame], pd.Series], float]
+def with_ema(df: DataFrame, *steps: tuple[str, str | Column, float], adjust: bool = False, keys: tuple[str, ...] = BY_SYMBOL) -> DataFrame:
+    """Add exponential means (name, column, a), e_t = (1 - a) e_(t-1) + a x_t from the first non-null x.
 
-
-def with_ema(df: DataFrame, *steps: Step, adjust: bool = False, keys: tuple[str, ...] = BY_SYMBOL) -> DataFrame:
-    """Add exponential means, e_t = (1 - a) e_(t-1) + a x_t from the first non-null x.
-
-    Each step is (name, column or function of the frame so far, a), so that later
-    steps can use earlier ones. The recurrence needs a symbol's rows in order;
-    symbols are spread over tasks, one symbol's history lies in one.
+    Made by a segmented scan (:mod:`barloom.functions.scan`), so a long history is spread over
+    tasks. Steps don't see each other's results; what needs them takes another call.
     """
-    schema = T.StructType([*df.schema.fields, *[T.StructField(name, T.DoubleType()) for name, _, _ in steps]])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("bar_ts", kind="stable", ignore_index=True)
-        for name, source, alpha in steps:
-            x = group[source] if isinstance(source, str) else source(group)
-            group[name] = x.astype("float64").ewm(alpha=alpha, adjust=adjust).mean()
-        return group
-
-    made = df.groupBy(*keys).applyInPandas(run, schema)
-    return made.withColumns({name: F.nanvl(name, F.lit(None).cast("double")) for name, _, _ in steps})
+    made = exponential(placed(df, *keys), keys, adjust, **{name: (source, alpha) for name, source, alpha in steps})
+    return made if AT in df.columns else made.drop(AT)

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import before, crossed_down, crossed_up, full, history, ordered, roll, span, with_ema
+from barloom.functions.scan import AT, placed
+from barloom.functions.windows import BY_SYMBOL, before, crossed_down, crossed_up, full, history, ordered, roll, span, with_ema
 
 
 def sma(bars: DataFrame, n: int = 20, partial: bool = False, out: str = "sma") -> DataFrame:
@@ -29,8 +30,9 @@ def ema(bars: DataFrame, n: int = 20, guarded: bool = True, adjust: bool = False
 
 
 def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, guarded: bool = True) -> DataFrame:
-    made = with_ema(bars, ("__f", "close", span(fast)), ("__s", "close", span(slow)), ("macd_signal", lambda g: g["__f"] - g["__s"], span(signal)))
-    made = made.withColumn("macd", F.col("__f") - F.col("__s")).withColumn("macd_hist", F.col("macd") - F.col("macd_signal")).drop("__f", "__s")
+    lines = with_ema(placed(bars, *BY_SYMBOL), ("__f", "close", span(fast)), ("__s", "close", span(slow))).withColumn("macd", F.col("__f") - F.col("__s")).drop("__f", "__s")
+    made = with_ema(lines, ("macd_signal", "macd", span(signal))).withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+    made = made if AT in bars.columns else made.drop(AT)
     if guarded:
         enough = history() >= slow
         made = made.withColumns({c: F.when(enough, F.col(c)) for c in ("macd", "macd_signal", "macd_hist")})
@@ -89,8 +91,8 @@ def kdj(bars: DataFrame, n: int = 9, m1: int = 3, m2: int = 3) -> DataFrame:
     """k, d, j; the raw value is 50 where the range is zero."""
     hi, lo = F.max("high").over(roll(n)), F.min("low").over(roll(n))
     raw = full(n, F.when(hi == lo, F.lit(50.0)).otherwise((F.col("close") - lo) / F.nullif(hi - lo, F.lit(0.0)) * 100.0), "high")
-    made = with_ema(bars.withColumn("__rsv", raw), ("k", "__rsv", 1.0 / m1), ("d", "k", 1.0 / m2))
-    return made.withColumn("j", 3.0 * F.col("k") - 2.0 * F.col("d")).drop("__rsv")
+    made = with_ema(with_ema(placed(bars.withColumn("__rsv", raw), *BY_SYMBOL), ("k", "__rsv", 1.0 / m1)), ("d", "k", 1.0 / m2))
+    return made.withColumn("j", 3.0 * F.col("k") - 2.0 * F.col("d")).drop("__rsv", *([] if AT in bars.columns else [AT]))
 
 
 def stochastic(bars: DataFrame, n: int = 14, d: int = 3) -> DataFrame:

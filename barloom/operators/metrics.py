@@ -8,8 +8,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.windows import before, so_far
-from barloom.operators.backtest import COMMISSION, drawdown, drawdown_runs, equity, trades
+from barloom.functions.scan import Running, placed, running
+from barloom.operators.backtest import COMMISSION, drawdown_runs, trades, valued
 
 # Day counts and the risk-free rate.
 DAYS_A, DAYS_B, RISK_FREE = 244, 252, 0.03
@@ -20,13 +20,11 @@ def return_metrics(returns: DataFrame, keys: tuple[str, ...] = ("symbol",), ret:
 
     Needs columns ``bar_ts`` and the return. Fewer than two returns give zeros.
     """
-    from pyspark.sql import Window as W
-
     r = F.col(ret)
-    grown = W.partitionBy(*keys).orderBy("bar_ts").rowsBetween(W.unboundedPreceding, 0)
     # A loss of everything has no logarithm: what follows it is worth nothing.
-    got = returns.where(r.isNotNull()).withColumn("__v", F.sum(F.ln(1.0 + r)).over(grown)).withColumn("__gone", F.max(r <= -1.0).over(grown))
-    got = got.withColumn("__dd", F.when(F.col("__gone"), F.lit(-1.0)).otherwise(F.exp(F.col("__v") - F.max("__v").over(grown)) - 1.0))
+    got = running(placed(returns.where(r.isNotNull()), *keys), keys, __v=Running("sum", F.ln(1.0 + r)), __gone=Running("max", r <= -1.0))
+    got = running(got, keys, __top=Running("max", "__v"))
+    got = got.withColumn("__dd", F.when(F.col("__gone"), F.lit(-1.0)).otherwise(F.exp(F.col("__v") - F.col("__top")) - 1.0))
     daily = r - RISK_FREE / DAYS_A
     agg = got.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
@@ -63,10 +61,14 @@ def backtest_metrics(signalled: DataFrame, keys: tuple[str, ...] = ("symbol",),
 
     max_drawdown is positive; profit_factor is null without a losing trade.
     """
-    valued = drawdown(equity(signalled, 100_000.0, commission, *keys), *keys)
+    return valued_metrics(valued(signalled, 100_000.0, commission, *keys), keys, commission)
+
+
+def valued_metrics(held: DataFrame, keys: tuple[str, ...] = ("symbol",), commission: float = COMMISSION) -> DataFrame:
+    """:func:`backtest_metrics` of bars with their values."""
     daily = math.pow(1 + RISK_FREE, 1 / DAYS_B) - 1
-    simple = F.exp(F.col("log_equity") - before("log_equity", 1, *keys)) - 1.0
-    curve = valued.withColumn("__r", simple).groupBy(*keys).agg(
+    simple = F.exp(F.col("log_equity") - F.col("prev_equity")) - 1.0
+    curve = held.withColumn("__r", simple).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.min_by("log_equity", "bar_ts").alias("v0"),
         F.max_by("log_equity", "bar_ts").alias("v1"),
@@ -74,13 +76,13 @@ def backtest_metrics(signalled: DataFrame, keys: tuple[str, ...] = ("symbol",),
         F.stddev_samp("__r").alias("sd"),
         F.min("drawdown").alias("mdd"),
     )
-    closed = trades(signalled, commission, *keys).groupBy(*keys).agg(
+    closed = trades(held, commission, *keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_trades"),
         F.avg(F.when(F.col("return_pct") > 0, 1.0).otherwise(0.0)).alias("win_rate"),
         F.sum(F.when(F.col("return_pct") > 0, F.col("return_pct")).otherwise(0.0)).alias("won"),
         F.sum(F.when(F.col("return_pct") < 0, F.col("return_pct")).otherwise(0.0)).alias("lost"),
     )
-    both = curve.join(closed, list(keys), "left").join(drawdown_runs(valued, *keys), list(keys), "left")
+    both = curve.join(closed, list(keys), "left").join(drawdown_runs(held, *keys), list(keys), "left")
     years = F.greatest(F.col("n") / float(DAYS_B), F.lit(0.01))
     return both.select(
         *keys,
@@ -237,12 +239,11 @@ def engine_metrics(signalled: DataFrame, cash: float = 100_000.0, commission: fl
     A trade's profit follows from the cash before and after it. Symbols of fewer
     than ``LEAST_BARS`` bars, or without a trade, have zeros.
     """
-    valued = equity(signalled, cash, commission, "symbol")
-    held = valued.withColumn("__before", F.exp(before("log_equity", 1, "symbol")))
-    opened = F.last(F.when(F.col("entry"), F.coalesce("__before", F.lit(float(cash)))), ignorenulls=True).over(so_far("symbol"))
-    closed = held.withColumn("__open", opened).where("exit").withColumn("pnl", F.exp("log_equity") - F.col("__open"))
+    held = valued(signalled, cash, commission, "symbol")
+    opened = Running("last", F.when(F.col("entry"), F.coalesce(F.exp("prev_equity"), F.lit(float(cash)))))
+    closed = running(held, ("symbol",), __open=opened).where("exit").withColumn("pnl", F.exp("log_equity") - F.col("__open"))
     per_trade = trade_metrics(closed, cash)
-    curve = backtest_metrics(signalled, ("symbol",), commission).select("symbol", "total_return", "annual_return", "sharpe_ratio", "max_drawdown", "max_drawdown_bars")
+    curve = valued_metrics(held, ("symbol",), commission).select("symbol", "total_return", "annual_return", "sharpe_ratio", "max_drawdown", "max_drawdown_bars")
     bars = signalled.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_bars"))
     joined = bars.join(curve, "symbol").join(per_trade, "symbol", "left")
     calmar = F.when((F.col("max_drawdown") > 0) & (F.coalesce("total_trades", F.lit(0)) > 0), F.col("annual_return") / F.col("max_drawdown")).otherwise(F.lit(0.0))

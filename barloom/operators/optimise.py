@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from barloom.functions.scan import AT, placed
 from barloom.functions.windows import before, crossed_down, crossed_up, full, history, ordered, roll
 from barloom.operators import metrics
 from barloom.operators.backtest import COMMISSION
@@ -24,14 +25,14 @@ def sma_cross_signals(bars: DataFrame, combinations: list[dict]) -> DataFrame:
     Each distinct period is averaged once; combinations only multiply the rows after that.
     """
     periods = sorted({p[k] for p in combinations for k in ("fast", "slow")})
-    made = bars.withColumns({f"__m{n}": full(n, F.avg("close").over(roll(n))) for n in periods})
+    made = placed(bars, "symbol").withColumns({f"__m{n}": full(n, F.avg("close").over(roll(n))) for n in periods})
     made = made.withColumns({f"__p{n}": before(f"__m{n}") for n in periods})
     each = []
     for i, p in enumerate(combinations):
         sides = [F.col(f"__{c}{p[k]}") for c in "mp" for k in ("fast", "slow")]
         signal = F.when(crossed_down(*sides), -1).when(crossed_up(*sides), 1).otherwise(0)
         each.append(F.struct(F.lit(i).alias("param_id"), F.lit(p["fast"]).alias("fast"), F.lit(p["slow"]).alias("slow"), signal.alias("signal")))
-    return made.withColumn("__e", F.explode(F.array(*each))).select("symbol", "bar_ts", "close", "__e.*")
+    return made.withColumn("__e", F.explode(F.array(*each))).select("symbol", "bar_ts", "close", AT, "__e.*")
 
 
 def grid_search(bars: DataFrame, combinations: list[dict], metric: str = "total_return", commission: float = COMMISSION) -> DataFrame:
@@ -76,7 +77,7 @@ def folds(bars: DataFrame, splits: int = 5, train_ratio: float = 0.7) -> DataFra
 def walk_forward(bars: DataFrame, fast: int = 10, slow: int = 30, splits: int = 5, train_ratio: float = 0.7) -> DataFrame:
     """(symbol, fold, train_return, test_return) of a moving-average cross run afresh on each part."""
     keys = ("symbol", "fold", "part")
-    parts = folds(bars, splits, train_ratio)
+    parts = folds(placed(bars, "symbol"), splits, train_ratio)
     mean = lambda n: full(n, F.avg("close").over(roll(n, *keys)), "close", *keys)
     made = parts.withColumn("__f", mean(fast)).withColumn("__s", mean(slow))
     sides = F.col("__f"), F.col("__s"), before("__f", 1, *keys), before("__s", 1, *keys)
@@ -97,7 +98,7 @@ def overfit(bars: DataFrame, fast: int = 10, slow: int = 30, share: float = 0.7,
     """(symbol, overfit_score) of a moving-average cross between the first ``share`` of the bars and the rest; with ``report`` also warnings and recommendations."""
     keys = ("symbol", "part")
     rank = F.percent_rank().over(W.partitionBy("symbol").orderBy("bar_ts"))
-    parts = bars.withColumn("part", F.when(rank <= share, "train").otherwise("test"))
+    parts = placed(bars, "symbol").withColumn("part", F.when(rank <= share, "train").otherwise("test"))
     mean = lambda n: full(n, F.avg("close").over(roll(n, *keys)), "close", *keys)
     made = parts.withColumn("__f", mean(fast)).withColumn("__s", mean(slow))
     sides = F.col("__f"), F.col("__s"), before("__f", 1, *keys), before("__s", 1, *keys)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,9 +12,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from barloom.operators import inverted
+from barloom.operators.inverted import B, K1
 from barloom.operators.text import SINGLE, tokens
 
-K1, B = 1.5, 0.75
 QUERY_BLOCK, VECTOR_BLOCK = 1000, 20_000
 
 
@@ -47,78 +47,9 @@ def bm25(docs: DataFrame, queries: DataFrame, id_col: str = "doc_id", query_col:
     return scored.where("score > 0").select(F.col("q").alias(query_col), F.col("id").alias(id_col), "score")
 
 
-#: Query terms that are sent to every task at once; more are searched block by block.
-TERMS_AT_ONCE = 500_000
-
-
 def bm25_top(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", query_col: str = "item_id", text_col: str = "text", pattern: str = SINGLE) -> DataFrame:
-    """(query_col, rank, id_col, score): the k best documents by ``bm25`` for each query, scores at nine places, ties to the smaller id.
-
-    Documents are read twice and never shuffled: one pass counts documents with
-    each query term, the next scores each batch of documents against the queries
-    that share a term with them, and passes on the k best of the batch alone.
-    Queries are sent to the tasks in blocks of bounded size.
-    """
-    spark = docs.sparkSession
-    asked = _terms(queries, query_col, text_col, pattern).where(F.size("k") > 0)
-    blocks = -(-(asked.agg(F.sum(F.size("k"))).first()[0] or 0) // TERMS_AT_ONCE)
-    kinds = {c: d.schema[c].dataType.simpleString() for c, d in ((query_col, queries), (id_col, docs))}
-    out = f"q {kinds[query_col]}, id {kinds[id_col]}, score double"
-    found = spark.createDataFrame([], out)
-    read = _terms(docs, id_col, text_col, pattern)
-    for block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).collect()  # about TERMS_AT_ONCE terms
-        ids, per_term = [r.id for r in rows], {}
-        for at, r in enumerate(rows):
-            for token, n in Counter(r.k).items():
-                per_term.setdefault(token, []).append((at, n))
-        terms = {t: (np.array([a for a, _ in p]), np.array([n for _, n in p], np.float64)) for t, p in per_term.items()}
-        known = spark.sparkContext.broadcast(frozenset(terms))
-
-        def count(batches: Iterator[pa.RecordBatch], known=known) -> Iterator[pa.RecordBatch]:
-            df, n, length = Counter(), 0, 0
-            for batch in batches:
-                for k_ in batch.column(1).to_pylist():
-                    n, length = n + 1, length + len(k_)
-                    df.update(known.value.intersection(k_))
-            listed = list(df.items())
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in listed] + [None], pa.string()), pa.array([c for _, c in listed] + [n], pa.int64()), pa.array([0] * len(listed) + [length], pa.int64())], names=["token", "n", "len"])
-
-        sums = {r.token: (r.n, r.len) for r in read.mapInArrow(count, "token string, n long, len long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("len").alias("len")).collect()}
-        n, length = sums.pop(None, (0, 0))
-        if not n:
-            return found.select(F.col("q").alias(query_col), F.lit(0).alias("rank"), F.col("id").alias(id_col), "score")
-        idf = {t: float(np.log((n - c + 0.5) / (c + 0.5) + 1.0)) for t, (c, _) in sums.items()}
-        sent, mean = spark.sparkContext.broadcast((terms, idf, ids)), (length / n) or 1.0
-
-        def score(batches: Iterator[pa.RecordBatch], sent=sent, mean=mean) -> Iterator[pa.RecordBatch]:
-            terms, idf, ids = sent.value
-            for whole in batches:
-                for at in range(0, whole.num_rows, 1000):
-                    batch = whole.slice(at, 1000)
-                    s = np.zeros((len(ids), batch.num_rows))
-                    for j, k_ in enumerate(batch.column(1).to_pylist()):
-                        norm = K1 * (1 - B + B * len(k_) / mean)
-                        for t, tf in Counter(k_).items():
-                            if t in terms:
-                                mine, qn = terms[t]
-                                s[mine, j] += idf[t] * tf * (K1 + 1) / (tf + norm) * qn
-                    s = np.round(s, 9)
-                    names = np.array(batch.column(0).to_pylist(), object)
-                    q, d, v = [], [], []
-                    least = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])]
-                    for i in np.flatnonzero(s.max(axis=1) > 0):
-                        near = np.flatnonzero((s[i] >= least[i]) & (s[i] > 0))
-                        best = sorted(near, key=lambda j: (-s[i, j], names[j]))[:k]
-                        q += [ids[i]] * len(best)
-                        d += [names[j] for j in best]
-                        v += [float(s[i, j]) for j in best]
-                    yield pa.RecordBatch.from_arrays([pa.array(q, Q), pa.array(d, D), pa.array(v, pa.float64())], names=["q", "id", "score"])
-
-        Q, D = (to_arrow_type(f.dataType) for f in found.schema.fields[:2])
-        found = found.unionByName(read.mapInArrow(score, out))
-    best = top(found, "q", k, "id")
-    return best.select(F.col("q").alias(query_col), "rank", F.col("id").alias(id_col), "score")
+    """(query_col, rank, id_col, score): the k best documents by ``bm25`` for each query, by an inverted index that later searches find again."""
+    return inverted.search(inverted.index_of(docs, id_col, text_col, pattern), queries, k, query_col, text_col)
 
 
 def top(scored: DataFrame, query_col: str, k: int, *ties: str) -> DataFrame:

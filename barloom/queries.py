@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.shared import cut_lineage
 from barloom.operators import backtest, chunks, evaluation, indicators as ind, metrics, optimise, patterns, retrieval, signals, text
 from barloom.plans import screen
 from barloom.sources import bars
@@ -97,7 +98,7 @@ def _bm25_hits(spark: SparkSession, sf_dir: str, k: int = 5) -> tuple[DataFrame,
     """(hits with content, expected): each benchmark item looks for documents and expects its own text."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     hits = bm25_topk(spark, sf_dir).where(F.col("rank") <= k).join(documents(spark, sf_dir).select("doc_id", F.col("text").alias("content")), "doc_id")
-    return hits.select(F.col("item_id").alias("query_id"), "rank", "content"), items.select(F.col("item_id").alias("query_id"), F.col("text").alias("content"))
+    return cut_lineage(hits.select(F.col("item_id").alias("query_id"), "rank", "content")), items.select(F.col("item_id").alias("query_id"), F.col("text").alias("content"))
 
 
 def retrieval_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,13 @@
 """Evaluation, clauses, placed chunks, sources, diagnoses and samples against values worked out by hand."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import ordered
-from barloom.operators import chunks, evaluation, metrics, retrieval, text
+from barloom.operators import chunks, evaluation, inverted, metrics, retrieval, text
 from barloom.sources import bars, samples
 
 
@@ -121,7 +122,7 @@ def test_samples(spark):
     assert samples.symbols_of("nowhere") == samples.SYMBOLS["A股"] and set(made.columns) == set(bars.COLUMNS)
 
 
-def test_bm25_top_is_bm25(spark, monkeypatch):
+def test_bm25_top_is_bm25(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(["the cat sat", "the dog", "", None, "cat cat dog the 猫", "the the the", "birds"] * 3)], "doc_id long, text string").repartition(3)
     asked = spark.createDataFrame([(1, "the cat"), (2, "dog dog 猫"), (3, "nothing here"), (4, None)], "item_id long, text string")
     whole = {(r.item_id, r.doc_id): round(r.score, 9) for r in retrieval.bm25(docs, asked).collect()}
@@ -130,6 +131,29 @@ def test_bm25_top_is_bm25(spark, monkeypatch):
         best = sorted((-s, d) for (i, d), s in whole.items() if i == q)[:4]
         expect += [(q, n + 1, d, -s) for n, (s, d) in enumerate(best)]
     assert sorted(map(tuple, retrieval.bm25_top(docs, asked, 4).collect())) == expect
-    monkeypatch.setattr(retrieval, "TERMS_AT_ONCE", 3)
-    assert sorted(map(tuple, retrieval.bm25_top(docs, asked, 4).collect())) == expect
+    index = inverted.index_of(docs)
+    assert sorted(map(tuple, inverted.search(index, asked, 4, at_once=0).collect())) == expect
     assert retrieval.bm25_top(docs.limit(0), asked).count() == 0 and retrieval.bm25_top(docs, asked.limit(0)).count() == 0
+
+
+def test_skipping_blocks_loses_nothing(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(inverted, "BLOCK_DOCS", 5)
+    monkeypatch.setattr(inverted, "BUCKET_TOKENS", 1000)
+    monkeypatch.setattr(inverted, "FIRST_POSTINGS", 20)
+    rng = random.Random(2)
+    words = [f"w{'abcdefghij'[k % 10]}{'xyz'[k % 3]}" * (1 + k // 30) for k in range(90)]
+    rows = [(i, " ".join(rng.choice(words[: rng.choice((3, 90))]) for _ in range(rng.randrange(0, 40)))) for i in range(400)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    asked = spark.createDataFrame([(k, " ".join(rng.choice(words) for _ in range(6))) for k in range(15)], "item_id long, text string")
+    index = inverted.index_of(docs)
+    assert index.buckets > 1 and inverted.index_of(spark.read.parquet(str(tmp_path / "d"))) == index  # found again
+    skipped = sorted(map(tuple, inverted.search(index, asked, 5, at_once=0).collect()))
+    best = {}
+    for r in retrieval.bm25(docs, asked).collect():
+        best.setdefault(r.item_id, []).append((-round(r.score, 9), r.doc_id))
+    expect = sorted((q, n + 1, d, -s) for q, found in best.items() for n, (s, d) in enumerate(sorted(found)[:5]))
+    assert [r[:3] for r in skipped] == [r[:3] for r in expect] and skipped == sorted(map(tuple, inverted.search(index, asked, 5).collect()))
+    docs.limit(10).union(docs).write.parquet(str(tmp_path / "e"))
+    assert inverted.index_of(spark.read.parquet(str(tmp_path / "e"))).n == 410
+    assert inverted.index_of(docs.where("doc_id < 50")).n == 50  # a part of the files isn't the files

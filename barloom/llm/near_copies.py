@@ -2,23 +2,25 @@
 
 ``simhash`` links 64-bit fingerprints at three bits. Two texts that share 0.8 of
 their five-word shingles differ in about 15 of 100 bits, so here the fingerprint
-has 480 bits, cut into 15 segments of 32. Of a segment's Hamming ball only the
-likely part is enumerated: a majority that was won narrowly is the one that an
-edit turns, so the values that differ in any of the segment's five narrowest bits
-(32 of them) are entered into the segment's table. Both sides do so: two
-fingerprints meet if all bits in which a segment differs are narrow for one of
-them. By simulation they meet in a segment with a chance of 0.24 at similarity
-0.8, 0.38 at 0.85 and 0.60 at 0.9, so in one of 15 with 0.984, 0.999 and more.
+has 480 bits, cut into segments. A text is entered into each segment's table under
+its own value, and looks up the likely part of the Hamming ball around it: a
+majority that was won narrowly is the one that an edit turns, so the ball has the
+values that differ in any of the segment's narrowest bits. Two fingerprints meet if
+all bits in which some segment differs are narrow for one of them. How wide segments
+are follows from the number of texts, so that few meet by chance (:data:`WIDTHS`).
+By simulation two texts at exactly 0.8 meet with a chance of 0.99 at 24 bits and
+five narrow ones, 0.97 at 28 and six, 0.96 at 32 and seven; at 0.85 and more with
+0.99 at all of them.
 
 What meets is verified twice: by the complete distance, then by the exact
 Jaccard similarity of both sets of shingles.
 
-Texts of equal words are one node. In some rounds, each value has one of its nodes
-as a hub, another in each round; every node is compared with the nearest of its
-hubs, and what is linked is joined. Pairs are listed only where nodes that are
-still apart after that share a value, so the pairs of a dense group are not
-listed, and no group is collected: all steps are joins and sums, which Spark can
-split.
+Texts of equal words are one node. In some rounds, each value has one of its own
+nodes as a hub, another in each round; every node of the value is compared with the
+nearest of its hubs, and what is linked is joined. So a dense group becomes one root
+before anything is paired. Then the nodes of each value, looked up or own, are dealt
+into blocks of bounded size, and distances between nodes of different roots are
+taken block by block; only pairs that are near enough leave a block.
 """
 
 from __future__ import annotations
@@ -35,14 +37,16 @@ from barloom.llm.common import cut_lineage, text_or_empty
 from barloom.llm.components import components
 
 WIDTH, LEAST = 5, 0.8
-SEGMENTS, BITS, NARROW = 15, 32, 5
+#: Bits of the fingerprint; bits of a segment and narrow ones among them, up to so many texts.
+TOTAL = 480
+WIDTHS = ((1 << 17, 24, 5), (1 << 20, 28, 6), (1 << 40, 32, 7))
 #: Rounds with hubs before pairs are listed.
 ROUNDS = 2
 LANES = 8
-#: Complete distance of a candidate at most; 0.8 gives 73 with a deviation of 8, few shingles up to 95.
-MAX_BITS = 120
-#: The same for the first 64 bits alone, which travel with a pair.
-MAX_FIRST = 24
+#: Complete distance of a candidate at most; 0.8 gives 73 with a deviation of 8 (10 for texts of few shingles).
+MAX_BITS = 105
+#: Nodes of a value that are compared in one block, and rows that small blocks are put together to.
+BLOCK, TOGETHER = 512, 256
 SEED = 42
 CHUNK = 4096
 _rng = np.random.default_rng(SEED)
@@ -69,25 +73,32 @@ def margins(hashes: np.ndarray) -> np.ndarray:
         bits = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little")
         for k in range(0, len(bits), 255):  # so many ones fit into a byte
             counts += bits[k : k + 255].sum(axis=0, dtype=np.uint8)
-    return (2 * counts - len(hashes))[: SEGMENTS * BITS]
+    return (2 * counts - len(hashes))[:TOTAL]
 
 
-def entry(margin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def width_for(n: int) -> tuple[int, int]:
+    """Bits of a segment and narrow ones among them for so many texts."""
+    return next((bits, narrow) for most, bits, narrow in WIDTHS if n <= most)
+
+
+def entry(margin: np.ndarray, width: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprint as 64-bit words, and the places of each segment's narrowest bits."""
-    bits = np.concatenate([margin > 0, np.zeros(LANES * 64 - len(margin), bool)])
-    narrow = np.argsort(np.abs(margin).reshape(SEGMENTS, BITS), axis=1, kind="stable")[:, :NARROW]
-    return np.packbits(bits, bitorder="little").view(np.int64), narrow.astype(np.uint8)
+    bits, narrow = width
+    set_bits = np.concatenate([margin > 0, np.zeros(LANES * 64 - len(margin), bool)])
+    places = np.argsort(np.abs(margin[: TOTAL // bits * bits]).reshape(-1, bits), axis=1, kind="stable")[:, :narrow]
+    return np.packbits(set_bits, bitorder="little").view(np.int64), places.astype(np.uint8)
 
 
-def keys(words: np.ndarray, narrow: np.ndarray) -> np.ndarray:
-    """For each fingerprint (a row) the values it is entered under, told apart by segment."""
-    n = len(words)
-    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(n, -1), axis=1, bitorder="little")[:, : SEGMENTS * BITS]
-    place = np.int64(1) << np.arange(BITS, dtype=np.int64)
-    found = [bits.reshape(n, SEGMENTS, BITS) @ place + (np.arange(SEGMENTS, dtype=np.int64) << BITS)]
-    for i in range(NARROW):
-        found += [f ^ place[narrow.reshape(n, SEGMENTS, NARROW)[:, :, i]] for f in found]
-    return np.stack(found, axis=2).reshape(n, -1)
+def keys(words: np.ndarray, places: np.ndarray, width: tuple[int, int], ball: bool = True) -> np.ndarray:
+    """For each fingerprint (a row) its segments' values, told apart by segment: (rows, segments, values), its own first, then those of the ball."""
+    (bits, narrow), n = width, len(words)
+    segments = TOTAL // bits
+    each = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(n, -1), axis=1, bitorder="little")[:, : segments * bits]
+    place = np.int64(1) << np.arange(bits, dtype=np.int64)
+    found = [each.reshape(n, segments, bits) @ place + (np.arange(segments, dtype=np.int64) << bits)]
+    for i in range(narrow if ball else 0):
+        found += [f ^ place[places.reshape(n, segments, narrow)[:, :, i]] for f in found]
+    return np.stack(found, axis=2)
 
 
 def _node(words: list[bytes]) -> int:
@@ -99,57 +110,60 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *rows])))
 
 
-def _fingerprinted(base: DataFrame) -> DataFrame:
-    """(id, node, fp, narrow)."""
+def _fingerprinted(base: DataFrame, width: tuple[int, int]) -> DataFrame:
+    """(id, node, fp, places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [_words(t) for t in batch.column(1).to_pylist()]
-            made = [entry(margins(shingles(w))) for w in texts]
+            made = [entry(margins(shingles(w)), width) for w in texts]
             columns = [pa.array([_node(w) for w in texts], pa.int64()), _lists([m[0] for m in made]), pa.array([m[1].tobytes() for m in made], pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "node", "fp", "narrow"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "node", "fp", "places"])
 
-    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, node long, fp array<long>, narrow binary")
+    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, node long, fp array<long>, places binary")
 
 
-#: Size of the filters that keep what surely isn't needed from being shuffled; a prime, whatever the corpus.
-FILTER = 134_217_689
+#: Sizes of the filters that keep what surely isn't needed from being shuffled; primes, whatever the corpus.
+FILTERS = (134_217_689, 134_217_593)
 
 
 def _filter(values: DataFrame, column: str):
-    """A bit for each value's remainder, for the tasks: 16 MB. What passes it is checked by a join."""
-    place = F.pmod(column, F.lit(FILTER)) + 1  # Spark numbers bits from 1
-    rows = values.select(F.bitmap_bucket_number(place).alias("b"), F.bitmap_bit_position(place).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
-    found = np.zeros((FILTER // 32768 + 2, 4096), np.uint8)
+    """Bits for each value's remainders by two primes, for the tasks: 32 MB. What passes is checked by a join."""
+    each = values.select(F.explode(F.array(*[F.struct(F.lit(i).alias("f"), (F.pmod(column, F.lit(p)) + 1).alias("place")) for i, p in enumerate(FILTERS)])).alias("x")).select("x.*")
+    rows = each.select("f", F.bitmap_bucket_number("place").alias("b"), F.bitmap_bit_position("place").alias("p")).groupBy("f", "b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
+    found = np.zeros((2, max(FILTERS) // 32768 + 2, 4096), np.uint8)
     for r in rows:
-        found[r.b] = np.frombuffer(r.bits, np.uint8)
+        found[r.f, r.b] = np.frombuffer(r.bits, np.uint8)
     return values.sparkSession.sparkContext.broadcast(found)
 
 
 def _passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
-    place = values % FILTER
-    within = place % 32768
-    return (bits[place // 32768 + 1, within // 8] >> (within % 8).astype(np.uint8)) & 1 > 0
+    ok = np.ones(len(values), bool)
+    for f, p in enumerate(FILTERS):
+        place = values[ok] % p
+        within = place % 32768
+        ok[ok] = (bits[f, place // 32768 + 1, within // 8] >> (within % 8).astype(np.uint8)) & 1 > 0
+    return ok
 
 
-def _entered(nodes: DataFrame, wanted=None) -> DataFrame:
-    """(key, node): each node under all its values, or those that pass a filter; without a filter key alone."""
+def _entered(nodes: DataFrame, width: tuple[int, int], wanted=None) -> DataFrame:
+    """(key, node, own): each node under its own values and, with a filter, under those of its balls that pass it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
+            for at in range(0, whole.num_rows, 1024):
+                batch = whole.slice(at, 1024)
                 words = batch.column(1).flatten().to_numpy().reshape(-1, LANES)
-                narrow = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8)
-                made = keys(words, narrow)
-                if wanted is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(made.ravel())], names=["key"])
-                    continue
-                owner = np.repeat(batch.column(0).to_numpy(), made.shape[1])
-                kept = _passes(wanted.value, made.ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(made.ravel()[kept]), pa.array(owner[kept])], names=["key", "node"])
+                places = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8)
+                made = keys(words, places, width, ball=wanted is not None)
+                kept = np.zeros(made.shape, bool)
+                kept[:, :, 0] = True
+                if wanted is not None:
+                    kept[:, :, 1:] = _passes(wanted.value, made[:, :, 1:].ravel()).reshape(made[:, :, 1:].shape)
+                row, _, ball = np.nonzero(kept)
+                yield pa.RecordBatch.from_arrays([pa.array(made[kept]), pa.array(batch.column(0).to_numpy()[row]), pa.array(ball == 0)], names=["key", "node", "own"])
 
-    return nodes.select("node", "fp", "narrow").mapInArrow(run, "key long" if wanted is None else "key long, node long")
+    return nodes.select("node", "fp", "places").mapInArrow(run, "key long, node long, own boolean")
 
 
 def _sets(base: DataFrame, wanted) -> DataFrame:
@@ -195,20 +209,81 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(labels.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
 
-def groups(nodes: DataFrame, base: DataFrame) -> DataFrame:
+def _shared(entries: DataFrame) -> DataFrame:
+    """The entries under values that an own one and another share."""
+    values = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("any")).where("n > 1 and any").select("key")
+    return cut_lineage(entries.join(values, "key", "left_semi"))
+
+
+def _apart(entries: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, own, root, n) of the entries under values whose nodes have several roots; n is how many they are."""
+    named = entries.join(labels, "node")
+    mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("own").alias("any"), F.count(F.lit(1)).alias("n")).where("low < high and any").select("key", "n")
+    return named.join(mixed, "key").select("key", "node", "own", "root", "n")
+
+
+def _near_pairs(apart: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): nodes of different roots that meet under a value, at most MAX_BITS apart; a pair may come several times."""
+    blocks = F.ceil(F.col("n") / (BLOCK // 2)).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    with_blocks = apart.withColumn("blocks", F.when(F.col("n") <= BLOCK, 1).otherwise(blocks)).withColumn("mine", mine)
+    cell = lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j"), F.when(j == F.col("mine"), 0).when(j > F.col("mine"), 1).otherwise(2).cast("tinyint").alias("side"))
+    dealt = with_blocks.withColumn("c", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), cell))).select("key", "c.*", "node", "own", "root").join(nodes.select("node", "fp"), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def near(table: pa.Table) -> pa.RecordBatch:
+            cells = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+            same = np.concatenate([[0], np.cumsum((cells[1:] != cells[:-1]).any(axis=1))])
+            node, own, root, side = (table.column(c).to_numpy() for c in ("node", "own", "root", "side"))
+            fp = table.column("fp").combine_chunks().flatten().to_numpy().reshape(-1, LANES).view(np.uint64)
+            a, b = [], []
+            for at in range(0, len(node), 128):
+                rows = slice(at, at + 128)
+                ok = (same[rows, None] == same[None, at:]) & (root[rows, None] != root[None, at:]) & (own[rows, None] | own[None, at:]) & ((side[rows, None] != side[None, at:]) | (side[rows, None] == 0))
+                i, j = np.nonzero(ok)
+                i, j = i[i < j] + at, j[i < j] + at
+                for k in range(0, len(i), 1 << 16):
+                    x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                    close = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1) <= MAX_BITS
+                    a.append(node[x[close]])
+                    b.append(node[y[close]])
+            pairs = np.concatenate([np.empty((2, 0), np.int64), *(np.stack(p) for p in zip(a, b))], axis=1)
+            pairs = np.unique(np.sort(pairs, axis=0), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+        def whole_cells(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch | pa.Table]:
+            """Results, then what is left; cells are bounded, and small ones are put together."""
+            cells = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
+            ends = np.concatenate([np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1, [len(cells)] if last else np.empty(0, np.int64)]).astype(int).tolist()
+            at = 0
+            for k, end in enumerate(ends):
+                if k + 1 == len(ends) or ends[k + 1] - at > TOGETHER:
+                    yield near(table.slice(at, end - at))
+                    at = end
+            yield table.slice(at)
+
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            *made, rest = whole_cells(table if rest is None else pa.concat_tables([rest, table]), False)
+            yield from made
+        if rest is not None and len(rest):
+            *made, _ = whole_cells(rest, True)
+            yield from made
+
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def groups(nodes: DataFrame, base: DataFrame, width: tuple[int, int]) -> DataFrame:
     """(node, root) for all ``nodes``; a root stands for its group. ``base`` holds the texts."""
-    shared = cut_lineage(_entered(nodes).groupBy("key").count().where("count > 1").select("key"))
-    members = cut_lineage(_entered(nodes, _filter(shared, "key")).join(shared, "key"))
+    own = _entered(nodes, width)
+    wanted = _filter(own, "key")
     labels = nodes.select("node", F.col("node").alias("root"))
 
-    def still_apart() -> DataFrame:
-        """The entries under values whose nodes have several roots, with their roots."""
-        named = members.select("key", "node").join(labels, "node")
-        mixed = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-        return cut_lineage(named.join(mixed, "key", "left_semi"))
-
+    alike = _shared(own)
     for n in range(ROUNDS):
-        members = still_apart() if n else members.withColumn("root", F.col("node"))
+        members = cut_lineage(_apart(alike, labels))
         hubs = members.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(n))).alias("hub"))
         starred = members.join(hubs, "key").where("root <> hub.root").select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
         stars = _with(starred, nodes, "fp").withColumn("d", _distance("fpa", "fpb"))
@@ -217,11 +292,8 @@ def groups(nodes: DataFrame, base: DataFrame) -> DataFrame:
             break
         labels = _joined(labels, _verified(nearest, base))
 
-    apart = cut_lineage(still_apart().join(nodes.select("node", F.col("fp")[0].alias("w")), "node"))
-    left, right = (apart.toDF(*[f"{c}{end}" for c in apart.columns]) for end in "ab")
-    met = left.join(right, (F.col("keya") == F.col("keyb")) & (F.col("roota") < F.col("rootb")) & (F.bit_count(F.col("wa").bitwiseXOR(F.col("wb"))) <= MAX_FIRST))
-    pairs = met.select(F.col("nodea").alias("a"), F.col("nodeb").alias("b")).distinct()
-    close = cut_lineage(_with(pairs, nodes, "fp").where(_distance("fpa", "fpb") <= MAX_BITS).select("a", "b"))
+    looked = _shared(_entered(nodes, width, wanted))
+    close = cut_lineage(_near_pairs(cut_lineage(_apart(looked, labels)), nodes).distinct())
     return _joined(labels, _verified(close, base)) if close.take(1) else labels
 
 
@@ -235,12 +307,13 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     columns are ignored, whatever their names.
     """
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    made = cut_lineage(_fingerprinted(base))
+    width = width_for(base.count())
+    made = cut_lineage(_fingerprinted(base, width))
     first = lambda c: F.first(c).alias(c)  # noqa: E731  equal within a node
-    nodes = made.groupBy("node").agg(F.min("id").alias("first"), first("fp"), first("narrow"))
-    # Each row becomes 480, so rows are spread before; by a key of its own, see simhash.link_fingerprints.
+    nodes = made.groupBy("node").agg(F.min("id").alias("first"), first("fp"), first("places"))
+    # Each row becomes some hundred, so rows are spread before; by a key of its own, see simhash.link_fingerprints.
     nodes = cut_lineage(nodes.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("node", F.lit(1))))
-    named = nodes.select("node", "first").join(groups(nodes, base), "node")
+    named = nodes.select("node", "first").join(groups(nodes, base, width), "node")
     # The smallest id of a group has the smallest of its node.
     kept = named.groupBy("root").agg(F.min("first").alias(id_col)).select(id_col).distinct()
     return docs.join(kept, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from barloom.llm import near_copies
@@ -39,19 +40,37 @@ def test_stage_keeps_one_of_every_pair_of_near_copies(spark, tmp_path):
     assert len(expect) < len(ids) - 100
 
 
-def test_keys_of_close_fingerprints_meet():
-    """By the documented chance: at least 0.95 of pairs at similarity 0.8, nearly all at 0.9."""
+@pytest.mark.parametrize("n_texts,least", [(1000, 0.97), (1 << 20, 0.93), (1 << 30, 0.9)])
+def test_keys_of_close_fingerprints_meet(n_texts, least):
+    """By the documented chances for each width: own values of one among the ball of the other."""
     rng = np.random.default_rng(2)
-    for n, k, least in ((200, 22, 0.95), (200, 10, 0.995), (1000, 111, 0.95)):
+    width = near_copies.width_for(n_texts)
+    for n, k, wanted in ((200, 22, least), (200, 10, 0.99), (1000, 111, least)):
         met = 0
         for _ in range(150):
             s = rng.integers(0, 1 << 63, n + k, dtype=np.uint64)
-            a, b = (near_copies.entry(near_copies.margins(part)) for part in (s[:n], s[k:]))
-            words, narrow = np.stack([a[0], b[0]]), np.stack([a[1], b[1]])
-            x, y = near_copies.keys(words, narrow)
-            met += bool(set(x.tolist()) & set(y.tolist()))
+            a, b = (near_copies.entry(near_copies.margins(part), width) for part in (s[:n], s[k:]))
+            x, y = near_copies.keys(np.stack([a[0], b[0]]), np.stack([a[1], b[1]]), width)
+            met += bool(set(x[:, 0].tolist()) & set(y.ravel().tolist()) or set(y[:, 0].tolist()) & set(x.ravel().tolist()))
             assert np.bitwise_count((a[0] ^ b[0]).view(np.uint64)).sum() <= near_copies.MAX_BITS
-        assert met / 150 >= least
+        assert met / 150 >= wanted
+
+
+def test_blocks_hold_every_pair_of_a_value(spark, monkeypatch):
+    """Pairs of different roots with an own entry, whatever the size of the blocks."""
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 1 << 62, (40, 8)) & 3
+    nodes = spark.createDataFrame([(i, prints[i].tolist()) for i in range(40)], "node long, fp array<long>")
+    rows = sorted({(int(k), int(n)) for k, n in zip(rng.choice([1, 1, 1, 2, 3, 4], 90), rng.integers(0, 40, 90))})
+    entries = [(k, n, bool((k + n) % 3), n % 5, sum(x == k for x, _ in rows)) for k, n in rows]
+    apart = spark.createDataFrame(entries, "key long, node long, own boolean, root long, n long").repartition(3)
+    bits = lambda a, b: sum(int(x ^ y).bit_count() for x, y in zip(prints[a].tolist(), prints[b].tolist()))
+    monkeypatch.setattr(near_copies, "MAX_BITS", 8)
+    expect = {tuple(sorted((a[1], b[1]))) for a in entries for b in entries if a[0] == b[0] and a[1] != b[1] and a[3] != b[3] and (a[2] or b[2]) and bits(a[1], b[1]) <= 8}
+    for block, together in ((512, 256), (8, 4), (2, 1)):
+        monkeypatch.setattr(near_copies, "BLOCK", block)
+        monkeypatch.setattr(near_copies, "TOGETHER", together)
+        assert {(r.a, r.b) for r in near_copies._near_pairs(apart, nodes).collect()} == expect
 
 
 def test_margins_are_the_plain_count():

@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from barloom.operators import inverted
 from barloom.operators.inverted import B, K1
 from barloom.operators.text import SINGLE, tokens
-
-QUERY_BLOCK, VECTOR_BLOCK = 1000, 20_000
+from barloom.operators.vectors import vector_top
 
 
 def _terms(df: DataFrame, id_col: str, text_col: str, pattern: str) -> DataFrame:
@@ -58,37 +53,6 @@ def top(scored: DataFrame, query_col: str, k: int, *ties: str) -> DataFrame:
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def vector_top(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, vec_id, rank, score): the k nearest by cosine for each query, other ids only, ties to the smaller id.
-
-    Exact: blocks of queries meet blocks of vectors, so no task holds more than
-    one of each, and each block pair passes on its k best.
-    """
-    base = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
-    asked = queries.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
-    nq, nv = -(-asked.count() // QUERY_BLOCK) or 1, -(-base.count() // VECTOR_BLOCK) or 1
-    deal = lambda df, mine, n_mine, other, n_other: df.withColumn(mine, F.pmod(F.xxhash64("id"), F.lit(n_mine))).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-
-    def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(q) and len(v):
-            x, y = (np.stack(d["v"].to_numpy()) for d in (q, v))
-            x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
-            ids = v["id"].to_numpy()
-            most = min(k + 1, len(ids))
-            for i, s in zip(q["id"], x @ y.T, strict=True):
-                r = np.round(s, 9)
-                near = np.flatnonzero(r >= np.partition(r, len(r) - most)[len(r) - most])  # ties of the last one included
-                order = near[np.lexsort((ids[near], -r[near]))][:most]
-                rows += [(i, ids[j], s[j]) for j in order if ids[j] != i]
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
-
-    pairs = deal(asked, "qb", nq, "vb", nv).groupBy("qb", "vb").cogroup(deal(base, "vb", nv, "qb", nq).groupBy("qb", "vb"))
-    found = pairs.applyInPandas(best, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
-
-
 def hybrid(hits: DataFrame, contents: DataFrame, queries: DataFrame, k: int = 10, alpha: float = 0.7, head: int = 100) -> DataFrame:
     """Vector hits blended with the share of query tokens that a hit's text holds.
 

@@ -89,10 +89,15 @@ def _axes(width: int) -> int:
 
 
 def _unit(x: np.ndarray, longest: np.ndarray | None) -> np.ndarray:
-    """Rows as unit vectors: with ``longest`` given, by one more component, else by division."""
+    """Rows as unit vectors: with ``longest`` given (a logarithm to base 2), by one more component, else by division.
+
+    Rows are scaled before they are squared, so that none overflows or vanishes.
+    """
     if longest is None:
+        x = x / np.abs(x).max(axis=1, keepdims=True)
         return x / np.linalg.norm(x, axis=1, keepdims=True)
-    x = x / longest[:, None]
+    whole = np.floor(longest)
+    x = np.ldexp(x, -whole.astype(int)[:, None]) / np.exp2(longest - whole)[:, None]
     return np.column_stack([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))])
 
 
@@ -109,6 +114,17 @@ def _matrix(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
 
 
+def _inner(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products row by row; where partial sums overflow both ways, the sign of the scaled product decides."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        z = (x * y).sum(axis=1)
+        odd = np.isnan(z)
+        if odd.any():
+            a, b = (np.abs(m[odd]).max(axis=1) for m in (x, y))
+            z[odd] = (x[odd] / a[:, None] * (y[odd] / b[:, None])).sum(axis=1) * a * b
+    return z
+
+
 def best_pairs(x: np.ndarray, y: np.ndarray, first: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Rows of ``x`` and ``y`` and their inner products: for each row of ``x`` its ``most`` nearest, ties to the smaller ``first``.
 
@@ -116,16 +132,20 @@ def best_pairs(x: np.ndarray, y: np.ndarray, first: np.ndarray, most: int) -> It
     the nearest in spite of its rounding is scored by itself, which gives the
     same bits wherever a pair is met.
     """
-    lengths = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1).max()
+    tall, high = np.abs(x).max(axis=1), np.abs(y).max()
+    p, q = x / tall[:, None], y / high  # neither overflows; an order isn't changed
+    lengths = np.linalg.norm(p, axis=1), np.linalg.norm(q, axis=1).max()
+    with np.errstate(over="ignore"):
+        endless = np.finfo(float).max / high / tall * (1 - 1e-9)  # from here on products are infinite, and ties
     for at in range(0, len(x), 512):
-        s = x[at : at + 512] @ y.T
+        s = p[at : at + 512] @ q.T
         if len(y) > most:
             least = np.partition(s, len(y) - most, axis=1)[:, len(y) - most] - 1e-9 * lengths[0][at : at + 512] * lengths[1]
-            i, j = np.nonzero(s >= least[:, None])
+            i, j = np.nonzero(s >= np.minimum(least, endless[at : at + 512])[:, None])
         else:
             i, j = (m.ravel() for m in np.indices(s.shape))
         i += at
-        z = np.concatenate([(x[i[k : k + 50_000]] * y[j[k : k + 50_000]]).sum(axis=1) for k in range(0, len(i), 50_000)])
+        z = np.concatenate([_inner(x[i[k : k + 50_000]], y[j[k : k + 50_000]]) for k in range(0, len(i), 50_000)])
         order = np.lexsort((first[j], -z, i))
         i, j, z = i[order], j[order], z[order]
         place = np.arange(len(i)) - np.searchsorted(i, i)
@@ -133,7 +153,7 @@ def best_pairs(x: np.ndarray, y: np.ndarray, first: np.ndarray, most: int) -> It
 
 
 def _entry_cells(entries: DataFrame, ranges: dict[int, float | None], tables: int, hashes: int) -> DataFrame:
-    """(ids, v, g, t, c): a row for each entry and table; ``ranges`` has the longest norm of each range, None where all are equal."""
+    """(ids, v, g, t, c): a row for each entry and table; ``ranges`` has the logarithm of each range's longest norm, None where all are equal."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -197,12 +217,15 @@ def nearest(
     # Of equal vectors no more than k + 1 ids can matter: k results and the query itself.
     first = valid.select("id", "v").distinct().withColumn("n", F.row_number().over(W.partitionBy("v").orderBy("id"))).where(F.col("n") <= k + 1)
     entries = cut_lineage(first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    longest = entries.agg(F.max(norm)).first()[0]
-    entries = entries.withColumn("g", F.coalesce(F.floor(F.log2(F.lit(longest) / norm)), F.lit(0)).cast("int"))
-    found_ranges = entries.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min(norm).alias("shortest"), F.max(norm).alias("longest")).collect()
+    # Logarithms of lengths; components are divided by the largest before they are squared, so that none overflows or vanishes.
+    most = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    scaled = F.aggregate(F.transform("v", lambda x: x.cast("double") / F.col("most")), F.lit(0.0), lambda a, x: a + x * x)
+    entries = entries.withColumn("most", most).withColumn("log", F.log2("most") + F.log2(scaled) / 2).drop("most")
+    longest = entries.agg(F.max("log")).first()[0]
+    entries = entries.withColumn("g", F.greatest(F.floor(F.lit(longest) - F.col("log")), F.lit(0)).cast("int"))
+    found_ranges = entries.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("log").alias("shortest"), F.max("log").alias("longest")).collect()
     scanned = [r["g"] for r in found_ranges if r["n"] <= SCANNED]
-    ranges = {r["g"]: r["longest"] if r["longest"] > 1.001 * r["shortest"] else None for r in found_ranges if r["n"] > SCANNED}
+    ranges = {r["g"]: r["longest"] if r["longest"] > r["shortest"] + 0.0015 else None for r in found_ranges if r["n"] > SCANNED}
     n = sum(r["n"] for r in found_ranges)
     asked = cut_lineage(valid.where("q").groupBy("v").agg(F.min("id").alias("qv")))
 
@@ -223,7 +246,7 @@ def nearest(
 
     def dealt(side: DataFrame, split: DataFrame, mine: str, other: str) -> DataFrame:
         """Each row in one block of its own side, for every block of the other side."""
-        named = side.join(F.broadcast(split), cell, "left")
+        named = side.join(split, cell, "left")
         own = F.pmod(F.xxhash64("v"), F.coalesce({"b": "blocks", "qb": "qblocks"}[mine], F.lit(1))).alias(mine)
         every = F.explode(F.sequence(F.lit(0), F.coalesce({"b": "blocks", "qb": "qblocks"}[other], F.lit(1)) - 1).cast("array<bigint>")).alias(other)
         return named.select(*cell, own, every, *[c for c in ("ids", "qv", "v") if c in side.columns])

@@ -126,3 +126,26 @@ def test_best_pairs_are_the_plain_rule():
                 got.setdefault(a, []).append((-c, first[b]))
         for a in range(40):
             assert got[a] == sorted((-float(x[a] @ y[b]), first[b]) for b in range(500))[:most]
+
+
+def test_vectors_of_extreme_length(spark, monkeypatch):
+    """Finite and not zero, so they take part; products that overflow are infinite."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(60, 6))
+    scale = [1e-200, 1e-160, 1.0, 1e150, 1e200, 5e-324]
+    rows = [(i, (base[i] * scale[i % 6]).tolist()) for i in range(60)] + [(100, [1e200, -1e200, 0.0, 0.0, 0.0, 0.0]), (101, [1e200, 1.1e200, 0.0, 0.0, 0.0, 0.0])]
+    rows = [(i, v) for i, v in rows if any(v)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    vectors = dict(rows)
+    for most in (2000, 0):
+        monkeypatch.setattr(ann, "SCANNED", most)
+        got = {}
+        for r in ann.nearest(table, F.col("vec_id") % 20 == 0, 5).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        for q in [i for i in vectors if i % 20 == 0]:
+            assert [x[0] for x in sorted(got[q])] == [1, 2, 3, 4, 5]
+            if most:
+                exact = ann._inner(np.array([vectors[q]] * len(rows)), np.array([v for _, v in rows]))
+                best = sorted((-s, i) for s, (i, _) in zip(exact, rows) if i != q)[:5]
+                assert [(i, s) for _, i, s in sorted(got[q])] == [(i, -s) for s, i in best]
+    assert ann._inner(np.array([[1e200, 1e200]]), np.array([[1e200, -1.1e200]]))[0] == -np.inf

@@ -10,14 +10,16 @@ block. Then
 3. each block joins them to its documents by position: bucketing lets this
    happen where the documents lie, so texts are never shuffled.
 
-Decoding joins a document's ids to the vocabulary's table of ids and pieces. That
-table is as large as the vocabulary, whatever the corpus, so it is sent to every
-task, and the join needs no shuffle.
+Decoding is a join: each id of each document is a row, which finds its piece in the
+vocabulary's table of ids and pieces. That table is as large as the vocabulary,
+whatever the corpus, so it is broadcast once its size is known to be small; rows keep
+their order then, and are put together again where they are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import uuid
 import zlib
 from array import array
@@ -27,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from barloom.llm import tokens
 from barloom.llm.common import shared_dir
@@ -62,7 +65,9 @@ def blocked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     made = base.mapInArrow(number, f"block long, id {kind}, text string")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made.write.bucketBy(buckets, "block").option("path", f"{shared_dir(spark).rstrip('/')}/{name}").option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    held = spark.table(name)
+    spark.sql(f"drop table {name}")  # the files stay, and what has been resolved reads them by path and bucket
+    return held
 
 
 def words_of(text: str) -> list[str]:
@@ -166,24 +171,57 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
     return joined.withColumnRenamed("id", id_col)
 
 
-def _slices(lists: pa.ListArray, most: int = 1_000_000) -> Iterator[pa.ListArray]:
-    """Lists of about ``most`` ids together."""
-    ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(lists):
-        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
-        yield lists[at:upto]
-        at = upto
+#: Bytes of pieces that are broadcast at most; a larger vocabulary is joined by a shuffle.
+BROADCAST_BYTES = 64 << 20
 
 
-def spoken(lists: pa.ListArray, table: pa.Array) -> pa.Array:
-    """The id-to-piece join: each list's ids find their pieces in ``table``, joined by one space; ids beyond it have an empty piece."""
-    lists = pc.fill_null(lists, [])
-    ids = lists.flatten()
-    inside = pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(table)))
-    pieces_of = pc.fill_null(table.take(pc.if_else(inside, ids, pa.scalar(None, ids.type))), "")
-    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int32)
-    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), pieces_of), " ")
+def piece_table(spark: SparkSession, vocabulary: str) -> tuple[DataFrame, int]:
+    """(token, piece) of the vocabulary, and how many bytes the pieces have."""
+    made = pieces(vocabulary)
+    rows = pa.table({"token": pa.array(range(len(made)), pa.int32()), "piece": pa.array(made, pa.string())})
+    return spark.createDataFrame(rows), sum(len(p.encode("utf-8", "surrogatepass")) + 16 for p in made)
+
+
+def with_pieces(encoded: DataFrame, ids_col: str, vocabulary: str) -> DataFrame:
+    """A row for each id of each row of ``encoded``, (id, pos, token, piece) in order; one with a null pos where there is none.
+
+    Ids that the vocabulary doesn't have, and null ones, have a null piece.
+    """
+    table, size = piece_table(encoded.sparkSession, vocabulary)
+    ids = F.posexplode_outer(F.col(ids_col).cast("array<int>")).alias("pos", "token")
+    if size <= BROADCAST_BYTES:
+        return encoded.select("id", ids).join(F.broadcast(table), "token", "left").select("id", "pos", "token", "piece")
+    each = encoded.select(F.monotonically_increasing_id().alias("row"), "id", ids).join(table, "token", "left")
+    return each.repartition("row").sortWithinPartitions("row", "pos").select("id", "pos", "token", "piece")
+
+
+def put_together(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[pa.Scalar, int, list[list[str]]]]:
+    """For each document of a stream of rows by ``with_pieces`` its id, its number of ids and, for each of ``columns``, the texts to be joined by one space."""
+    current: list | None = None
+    for batch in batches:
+        pos = pc.fill_null(batch.column("pos"), -1).to_numpy(zero_copy_only=False)
+        if not len(pos):
+            continue
+        starts = np.flatnonzero(pos <= 0)
+        edges = np.unique(np.concatenate([[0], starts, [len(pos)]]))
+        inside = np.ones(len(pos), bool)
+        inside[starts] = False
+        before = np.concatenate([[current[1] - 1 if current else -1], pos[:-1]])
+        if (pos[inside] != before[inside] + 1).any():
+            raise RuntimeError("rows of a document's ids are out of order")
+        lists = lambda c: pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pc.fill_null(batch.column(c).cast(pa.string()), ""))  # noqa: E731, B023
+        said = [pc.binary_join(lists(c), " ").to_pylist() for c in columns]
+        for k, (at, end) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+            if pos[at] <= 0:
+                if current:
+                    yield tuple(current)
+                current = [batch.column("id")[at], 0, [[] for _ in columns]]
+            if pos[at] >= 0:
+                current[1] += end - at
+                for texts, mine in zip(current[2], said):
+                    texts.append(mine[k])
+    if current:
+        yield tuple(current)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str | None = None) -> DataFrame:
@@ -192,37 +230,37 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voc
     Each row of ``encoded`` gives one row; null or empty ids give empty text;
     null and unknown ids have an empty piece, and so leave only their space.
     """
-    table = encoded.sparkSession.sparkContext.broadcast(pieces(vocabulary or tokens.default_vocabulary()))  # as large as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(table.value, pa.string())
-        for batch in batches:
-            made = [spoken(part, known) for part in _slices(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.chunked_array(made, pa.string()).combine_chunks()], names=["id", "text"])
+        for some in _batched(put_together(batches, ("piece",))):
+            yield pa.RecordBatch.from_arrays([pa.array([i.as_py() for i, *_ in some], kind), pa.array([" ".join(x[0]) for *_, x in some], pa.string())], names=["id", "text"])
+
+    base = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
+    kind = to_arrow_type(base.schema["id"].dataType)
+    joined = with_pieces(base, "ids", vocabulary or tokens.default_vocabulary())
+    return joined.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
 
-    base = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, text string").withColumnRenamed("id", id_col)
+
+def _batched(items: Iterator, most: int = 256) -> Iterator[list]:
+    while some := list(itertools.islice(items, most)):
+        yield some
 
 
 def round_trip_report(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """One row per document: number of ids, digest of the ids, digest of what they decode to.
 
-    Rows are treated as by ``encode`` and ``decode``: every row gives one, null
-    text as empty text, an empty table an empty result.
+    Ids are made by ``encode`` and decoded by the join of ``decode``. Rows are treated
+    as there: every row gives one, null text as empty text, an empty table an empty
+    result.
     """
-    table = docs.sparkSession.sparkContext.broadcast(pieces(vocabulary or tokens.default_vocabulary()))  # as large as the vocabulary
-    digests = lambda said: pa.array([hashlib.sha256(s.as_buffer()).hexdigest() for s in said], pa.string())
+    digest = lambda texts: hashlib.sha256(" ".join(texts).encode("utf-8", "surrogatepass")).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = pa.array(table.value, pa.string())
-        numbers = pa.array(map(str, range(len(known))), pa.string())
-        for batch in batches:
-            at = 0
-            for part in _slices(batch.column(1)):
-                columns = [pc.list_value_length(part).cast(pa.int64()), digests(spoken(part, numbers)), digests(spoken(part, known))]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[at : at + len(part)], *columns], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-                at += len(part)
-
-    encoded = encode(docs, vocabulary=vocabulary)
-    kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", "doc_id")
+        for some in _batched(put_together(batches, ("token", "piece"))):
+            columns = [pa.array([n for _, n, _ in some], pa.int64()), *(pa.array([digest(x[c]) for *_, x in some], pa.string()) for c in (0, 1))]
+            yield pa.RecordBatch.from_arrays([pa.array([i.as_py() for i, *_ in some], kind), *columns], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    encoded = encode(docs, vocabulary=vocabulary).withColumnRenamed("doc_id", "id")
+    kind = to_arrow_type(encoded.schema["id"].dataType)
+    joined = with_pieces(encoded, "ids", vocabulary or tokens.default_vocabulary())
+    return joined.mapInArrow(run, f"id {encoded.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", "doc_id")

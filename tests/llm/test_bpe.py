@@ -39,3 +39,30 @@ def test_encode_and_decode(spark):
 
 def test_empty(spark):
     assert bpe.round_trip_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_the_join_is_in_the_plan_and_keeps_order(spark, monkeypatch):
+    """By broadcast or, beyond its bound, by a shuffle; documents lie across batches and tasks."""
+    rows = [(i, list(range(i * 7 % 23)) * (1 + i % 3) + [None, 10**6, -1] * (i % 2)) for i in range(60)] + [(100, None), (101, []), (None, [5, 6])]
+    encoded = spark.createDataFrame(rows, "doc_id long, ids array<int>").repartition(3)
+    known = bpe.pieces(tokens.default_vocabulary())
+    expect = sorted((str(i), " ".join(known[x] if x is not None and 0 <= x < len(known) else "" for x in ids or [])) for i, ids in rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for most in (bpe.BROADCAST_BYTES, 0):
+            monkeypatch.setattr(bpe, "BROADCAST_BYTES", most)
+            made = bpe.decode(encoded)
+            plan = made._jdf.queryExecution().optimizedPlan().toString()
+            assert "Join LeftOuter" in plan and ("broadcast" in plan.lower()) == bool(most)
+            assert sorted((str(r.doc_id), r.text) for r in made.collect()) == expect
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_very_long_text_and_no_tables_left(spark):
+    text = "The quick brown fox, 1234! " * 8000
+    before = {t.name for t in spark.catalog.listTables()}
+    r = bpe.round_trip_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    ids, decoded = library(text)
+    assert (r.n_tokens, r.decoded_sha256) == (len(ids), hashlib.sha256(decoded.encode()).hexdigest())
+    assert {t.name for t in spark.catalog.listTables()} == before

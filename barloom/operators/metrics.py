@@ -228,6 +228,20 @@ def trade_metrics(closed: DataFrame, cash: float, keys: tuple[str, ...] = ("symb
     )
 
 
+def strategy_results(signalled: DataFrame, keys: tuple[str, ...] = ("symbol",), commission: float = COMMISSION, least: int = 50) -> DataFrame:
+    """A backtest's results in percent by key, as reports show them: two places, four for the Sharpe ratio.
+
+    Symbols of fewer than ``least`` bars have zeros throughout, since indicators mean nothing there.
+    """
+    bars = signalled.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_bars"))
+    made = bars.join(backtest_metrics(signalled, keys, commission), list(keys))
+    enough = F.col("n_bars") >= least
+    percent = {c: F.round(F.col(c) * 100.0, 2) + F.lit(0.0) for c in ("total_return", "annual_return", "max_drawdown", "win_rate")}
+    shown = percent | {"sharpe_ratio": F.round("sharpe_ratio", 4) + F.lit(0.0)}
+    whole = {c: F.when(enough, F.col(c)).otherwise(F.lit(0).cast("long")) for c in ("total_trades", "max_drawdown_bars")}
+    return made.select(*keys, "n_bars", *[F.when(enough, v).otherwise(F.lit(0.0)).alias(c) for c, v in shown.items()], *[v.alias(c) for c, v in whole.items()])
+
+
 #: Commission of the trade-based engine.
 LOW_COMMISSION = 0.0003
 LEAST_BARS = 50

@@ -172,6 +172,23 @@ def ratings_cte() -> str:
     return f"named as (select *, {named} from bt), rated as (select *, round({score}, 2) overall_score from named)"
 
 
+def sized(cash: float = 1000.0, stake: float = 0.95, commission: float = 0.001) -> list[str]:
+    """Whole shares over the signals in order: ``st`` has the state after each signal and, where a position was closed, the trade."""
+    size = f'floor(s.cash * {stake}::double / e."close")::bigint'
+    opens = f"s.sh = 0 and e.signal = 1 and {size} > 0"
+    closes = "s.sh > 0 and e.signal = -1"
+    got = f's.cash + s.sh * e."close" * (1.0::double - {commission}::double)'
+    pnl = f'(e."close" - s.ep) * s.sh - {commission}::double * (s.sh * s.ep) - {commission}::double * (s.sh * e."close")'
+    return [
+        'ev as (select symbol, bar_ts, "close"::double "close", signal, row_number() over (partition by symbol order by bar_ts) n from sig where signal <> 0 and "close" > 0)',
+        f"st as (select distinct symbol, 0::bigint n, {cash}::double cash, 0::bigint sh, null::double ep, null::timestamp et, null::timestamp xt, null::bigint tsh, null::double tep, null::double xp, null::timestamp tet, null::double pnl from sig union all "
+        f'select e.symbol, e.n, case when {opens} then s.cash - {size} * e."close" * (1.0::double + {commission}::double) when {closes} then {got} else s.cash end, '
+        f'case when {opens} then {size} when {closes} then 0 else s.sh end, case when {opens} then e."close" when {closes} then null else s.ep end, case when {opens} then e.bar_ts when {closes} then null else s.et end, '
+        f'case when {closes} then e.bar_ts end, case when {closes} then s.sh end, case when {closes} then s.ep end, case when {closes} then e."close" end, case when {closes} then s.et end, case when {closes} then {pnl} end '
+        "from st s join ev e on e.symbol = s.symbol and e.n = s.n + 1)",
+    ]
+
+
 def cross_signals(fast: int, slow: int, keys: str, source: str, name: str) -> list[str]:
     w = lambda n: f"(partition by {keys} order by bar_ts rows between {n - 1} preceding and current row)"
     m = lambda n: f"case when count({C}) over {w(n)} = {n} then avg({C}) over {w(n)} end"
@@ -476,6 +493,14 @@ def oracle_sql() -> dict[str, str]:
         "signals_dual_thrust": sig([dual], "dt", f'{C} > "open" + 0.5 * reach', f'{C} < "open" - 0.5 * reach'),
         "signals_bollinger_bounce": sig([boll], "b", f"{C} < mid - 2.0 * sd", f"{C} > mid + 2.0 * sd"),
         "trades": f"with recursive {bt} select symbol, et entry_ts, bar_ts exit_ts, {six('ep')} entry_price, {six(C)} exit_price, {six(f'(({C} - ep) / ep - 2 * 0.001::double) * 100.0')} return_pct, (rn - er)::bigint bars_held from pos where ext",
+        "sized_trades": f"with recursive {', '.join([TREND, *SIGNALLED, *sized()])} select symbol, tet entry_ts, xt exit_ts, tsh shares, {six('tep')} entry_price, {six('xp')} exit_price, {six('pnl')} pnl, {six('cash')} cash_after from st where xt is not null",
+        "sized_results": f"""with recursive {', '.join([TREND, *SIGNALLED, *sized()])}, l as (select symbol, count(*) n_bars, arg_max("close", bar_ts) last from sig group by 1),
+e as (select symbol, count(xt) total_trades, arg_max(cash, n) cash, arg_max(sh, n) shares, count(*) filter (pnl > 0) won from st group by 1),
+v as (select *, cash + case when shares > 0 then shares * last else 0.0::double end v from e join l using (symbol))
+select symbol, n_bars, total_trades, {six('cash')} cash, shares, {six('v')} "value", {six('v / 1000.0::double - 1.0')} total_return, {six('coalesce(won / nullif(total_trades, 0)::double, 0)')} win_rate from v""",
+        "strategy_results": f"""with recursive {HOURLY.replace('bars as', 'raw as', 1)}, bars as (select * exclude (rn) from (select *, row_number() over {ORDER} rn from raw) where rn <= 25 + 5 * length(symbol)), {', '.join([*SIGNALLED, *backtest()])}
+select symbol, n n_bars, {', '.join(f'case when n >= 50 then round({c} * 100.0, 2) + 0.0::double else 0.0::double end {c}' for c in ('total_return', 'annual_return', 'max_drawdown', 'win_rate'))},
+case when n >= 50 then round(sharpe_ratio, 4) + 0.0::double else 0.0::double end sharpe_ratio, case when n >= 50 then total_trades else 0 end total_trades, case when n >= 50 then max_drawdown_bars else 0 end max_drawdown_bars from bt""",
         "equity_log": f"with recursive {bt} select symbol, bar_ts, {six('le')} log_equity, {six('dd')} drawdown from eq",
         "drawdown_duration": f"with recursive {bt} select symbol, runs max_drawdown_bars from runs",
         "backtest_metrics": f"with recursive {bt} select symbol, total_trades, max_drawdown_bars, {', '.join(f'{six(c)} {c}' for c in BT_COLUMNS)} from bt",

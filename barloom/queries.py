@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions.shared import cut_lineage
-from barloom.operators import backtest, chunks, evaluation, indicators as ind, metrics, optimise, patterns, retrieval, signals, text
+from barloom.functions.windows import ordered
+from barloom.operators import backtest, chunks, evaluation, indicators as ind, metrics, optimise, patterns, retrieval, signals, sizing, text
 from barloom.plans import screen
 from barloom.sources import bars
 
@@ -51,6 +52,12 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.where("role = 'assistant'").select("conv_id", "turn", F.col("text").alias("answer")).join(asked, ["conv_id", "turn"])
 
 
+def shortened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signals over the first bars of each symbol, 25 and 5 for each letter of its name, so that some have fewer than fifty."""
+    first = bars.hourly(spark, sf_dir).withColumn("n", F.row_number().over(ordered())).where(F.col("n") <= 25 + 5 * F.length("symbol")).drop("n")
+    return signals.rsi_extreme(first, oversold=45.0, overbought=60.0)
+
+
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.backtest_metrics(rsi_signals(spark, sf_dir))
 
@@ -226,6 +233,9 @@ def queries() -> dict[str, Query]:
         "patterns": over_hours(patterns.scan, *patterns.NAMES),
         "pattern_summary": lambda s, d: patterns.summary(patterns.scan(bars.hourly(s, d))),
         "trades": lambda s, d: show(backtest.trades(rsi_signals(s, d)), "entry_price", "exit_price", "return_pct", "bars_held", keys=("symbol", "entry_ts", "exit_ts")),
+        "sized_trades": lambda s, d: show(sizing.sized_trades(rsi_signals(s, d), cash=1_000.0), "shares", "entry_price", "exit_price", "pnl", "cash_after", keys=("symbol", "entry_ts", "exit_ts")),
+        "sized_results": lambda s, d: show(sizing.sized_results(rsi_signals(s, d), cash=1_000.0), "n_bars", "total_trades", "cash", "shares", "value", "total_return", "win_rate", keys=BY),
+        "strategy_results": lambda s, d: metrics.strategy_results(shortened(s, d)),
         "equity_log": lambda s, d: show(backtest.drawdown(backtest.equity(rsi_signals(s, d))), "log_equity", "drawdown"),
         "drawdown_duration": lambda s, d: backtest.drawdown_runs(backtest.drawdown(backtest.equity(rsi_signals(s, d)))),
         "backtest_metrics": lambda s, d: show(_metrics(s, d), "total_trades", "max_drawdown_bars", *BT, keys=BY),

@@ -199,6 +199,24 @@ def cross_signals(fast: int, slow: int, keys: str, source: str, name: str) -> li
     ]
 
 
+def search_signals() -> list[str]:
+    """CTE ``tried``: two crossings of exponential means, two limits of RSI and two widths of bands; needs ``rsis``."""
+    upper = lambda k: f"m20 + {k}::double * d20"
+    lower = lambda k: f"m20 - {k}::double * d20"
+    of = lambda i, template, buy, sell: f"select symbol, bar_ts, \"close\", {i} param_id, '{template}' template, {signal(buy, sell)} signal from sides"
+    each = [
+        of(0, "ema_cross", up("e5", "e20"), down("e5", "e20")), of(1, "ema_cross", up("e10", "e20"), down("e10", "e20")),
+        of(2, "rsi", "rsi < 40", "rsi > 60"), of(3, "rsi", "rsi < 45", "rsi > 60"),
+        of(4, "bands", f"{C} < {lower(1.0)}", f"{C} > {upper(1.0)}"), of(5, "bands", f"{C} < {lower(1.5)}", f"{C} > {upper(1.5)}"),
+    ]
+    return [
+        *[c for n in (5, 10, 20) for c in ema(f"x{n}", "numbered", C, span(n), f"e{n}")],
+        f"ind as (select r.*, e5, e10, e20, {full(20, SMA20)} m20, {full(20, SD20)} d20 from rsis r join x5 using (symbol, i) join x10 using (symbol, i) join x20 using (symbol, i))",
+        f"sides as (select *, {', '.join(f'{lag(c)} prev_{c}' for c in ('e5', 'e10', 'e20'))} from ind)",
+        "tried as (" + " union all ".join(each) + ")",
+    ]
+
+
 FOLDS = """num as (select *, row_number() over (partition by symbol order by bar_ts) - 1 idx, count(*) over (partition by symbol) n from bars),
 sized as (select *, n // 5 size, trunc((n // 5)::double / (1.0::double - 0.7::double))::bigint total from num),
 fold0 as (select *, fold * size st, least(fold * size + trunc(total * 0.7::double)::bigint, n) cut, least(fold * size + total, n) en from sized, (select unnest(range(5)) fold)),
@@ -430,6 +448,7 @@ def oracle_sql() -> dict[str, str]:
     dual = f"dt as (select *, {full(5, f'greatest(max(high) over {r(4)} - min({C}) over {r(4)}, max({C}) over {r(4)} - min(low) over {r(4)})')} reach from bars)"
     sig = lambda ctes, source, buy, sell: shown({"signal": f"({signal(buy, sell)})::int"}, *ctes, source=source)
     bt = ", ".join([TREND, *SIGNALLED, *backtest()])
+    search_sql = ", ".join([TREND, *RSI14, *search_signals(), *backtest("symbol, param_id, template", "tried")])
     def searched(pairs: list[tuple[int, int]]) -> str:
         ctes = [x for i, (f, s) in enumerate(pairs) for x in cross_signals(f, s, "symbol", "bars", f"g{i}")]
         union = "gs as (" + " union all ".join(f"select symbol, bar_ts, {C}, {i} param_id, signal from g{i}" for i in range(len(pairs))) + ")"
@@ -514,6 +533,8 @@ select symbol, n n_returns, {six('gr - 1.0')} total_return, {six('ann')} annual_
   {six(f'(ann - 0.03::double) / (dsd * sqrt({DAYS_A}.0::double))')} sortino_ratio, {six('ann / abs(mdd)')} calmar_ratio, {six('mdd')} max_drawdown, {six('wr')} win_rate, {six('mg / abs(ml)')} profit_factor from a""",
         "grid_search": f"with recursive {grid_sql} select symbol, param_id, {six('coalesce(total_return, 0)')} score from bt",
         "random_search": f"with recursive {random_sql} select symbol, param_id, {six('coalesce(total_return, 0)')} score from bt",
+        "search_templates": f"with recursive {search_sql} select symbol, param_id, template, {six('coalesce(total_return, 0)')} score from bt",
+        "search_best": f"with recursive {search_sql}, sc as (select symbol, param_id, coalesce(total_return, 0) score from bt) select symbol, arg_max(param_id, {{'s': score, 'i': -param_id}}) param_id, {six('max(score)')} score from sc group by symbol",
         "overfit_report": f"""with recursive {over_sql}, wn as (select symbol, train_sharpe_ratio > 3 a, (train_total_return > 0 and test_total_return < 0) or (train_sharpe_ratio > 1 and test_sharpe_ratio < 0) b,
   train_max_drawdown > 0 and test_max_drawdown > train_max_drawdown * 1.8::double c, train_win_rate > 0.6::double and test_win_rate < 0.4::double d, train_profit_factor > 2 and test_profit_factor < 1 f from pv),
 rc as (select symbol, concat_ws(',', case when a then 'sharpe' end, case when b then 'sharpe_cliff' end, case when c then 'drawdown' end, case when d then 'win_rate' end, case when f then 'profit_factor' end) warnings,

@@ -9,13 +9,18 @@ from pyspark.sql import functions as F
 
 from barloom.functions.shared import cut_lineage
 from barloom.functions.windows import ordered
-from barloom.operators import backtest, chunks, evaluation, indicators as ind, metrics, optimise, patterns, retrieval, signals, sizing, text
+from barloom.operators import backtest, chunks, evaluation, indicators as ind, metrics, optimise, patterns, retrieval, search, signals, sizing, text
 from barloom.plans import screen
 from barloom.sources import bars
 
 C = screen.Condition
 Query = Callable[[SparkSession, str], DataFrame]
 GRID = optimise.grid(fast=[5, 10], slow=[20, 30])
+TRIED = [
+    *[("ema_cross", p) for p in optimise.grid(fast=[5, 10], slow=[20])],
+    *[("rsi", p) for p in optimise.grid(n=[14], low=[40.0, 45.0], high=[60.0])],
+    *[("bands", p) for p in optimise.grid(n=[20], k=[1.0, 1.5])],
+]
 RANDOM = optimise.random_combinations({"fast": [3, 15], "slow": [20, 30, 40]}, 4)
 
 
@@ -251,6 +256,8 @@ def queries() -> dict[str, Query]:
         "grid_search": lambda s, d: show(optimise.grid_search(trend(s, d), GRID), "score", keys=("symbol", "param_id")),
         "grid_search_best": lambda s, d: show(optimise.best_of(optimise.grid_search(trend(s, d), GRID)), "score", keys=("symbol", "param_id")),
         "random_search": lambda s, d: show(optimise.grid_search(trend(s, d), RANDOM), "score", keys=("symbol", "param_id")),
+        "search_templates": lambda s, d: show(search.search(trend(s, d), TRIED), "score", keys=("symbol", "param_id", "template")),
+        "search_best": lambda s, d: show(optimise.best_of(search.search(trend(s, d), TRIED)), "score", keys=("symbol", "param_id")),
         "overfit_report": overfit_report,
         "walk_forward_folds": lambda s, d: show(optimise.walk_forward(trend(s, d)), "train_return", "test_return", keys=("symbol", "fold")),
         "walk_forward_summary": lambda s, d: show(optimise.walk_forward_summary(optimise.walk_forward(trend(s, d))), "n_folds", "mean_train", "mean_test", "degradation_ratio", "robust", keys=BY),

@@ -18,14 +18,16 @@ Jaccard similarity of both sets of shingles.
 Texts of equal words are one node. In some rounds, each value has one of its own
 nodes as a hub, another in each round; every node of the value is compared with the
 nearest of its hubs, and what is linked is joined. So a dense group becomes one root
-before anything is paired. Then the nodes of each value, looked up or own, are dealt
-into blocks of bounded size, and distances between nodes of different roots are
-taken block by block; only pairs that are near enough leave a block.
+before anything else. Then the nodes of each value, looked up or own, are dealt into
+blocks of bounded size, and distances between nodes of different roots are taken block
+by block. What is near enough is joined to clouds, and within each cloud all nodes of
+different roots are compared exactly, again block by block. Neither step lists pairs:
+a task passes on an edge only where it joins what its edges didn't join before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +48,7 @@ LANES = 8
 #: Complete distance of a candidate at most; 0.8 gives 73 with a deviation of 8 (10 for texts of few shingles).
 MAX_BITS = 105
 #: Nodes of a value that are compared in one block, and rows that small blocks are put together to.
-BLOCK, TOGETHER = 512, 256
+BLOCK, TOGETHER = 2048, 256
 SEED = 42
 CHUNK = 4096
 _rng = np.random.default_rng(SEED)
@@ -222,57 +224,139 @@ def _apart(entries: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed, "key").select("key", "node", "own", "root", "n")
 
 
-def _near_pairs(apart: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): nodes of different roots that meet under a value, at most MAX_BITS apart; a pair may come several times."""
-    blocks = F.ceil(F.col("n") / (BLOCK // 2)).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    with_blocks = apart.withColumn("blocks", F.when(F.col("n") <= BLOCK, 1).otherwise(blocks)).withColumn("mine", mine)
+class _Joined:
+    """Which items belong together, by the smallest of each set."""
+
+    def __init__(self) -> None:
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (y := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(y, y)
+            x = y
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether x and y were apart until now."""
+        x, y = self.top(x), self.top(y)
+        if x != y:
+            self.up[max(x, y)] = min(x, y)
+        return x != y
+
+
+def _close(fp: np.ndarray, may: Callable[[slice], np.ndarray], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs, the first before the second, that may be compared and are at most so many bits apart."""
+    for at in range(0, len(fp), 128):
+        i, j = np.nonzero(may(slice(at, at + 128)))
+        i = i + at
+        i, j = i[i < j], j[i < j]
+        for k in range(0, len(i), 1 << 16):
+            x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            near = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1) <= most
+            yield x[near], y[near]
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch], names: list[str], together: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole cells, rows of equal ``names``, and the number of each row's cell; small cells are put together."""
+
+    def numbered(table: pa.Table) -> np.ndarray:
+        columns = np.stack([table.column(c).to_numpy() for c in names], axis=1)
+        return np.concatenate([[0], np.cumsum((columns[1:] != columns[:-1]).any(axis=1))])
+
+    rest = None
+    for batch in _and_none(batches):
+        if batch is not None:
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+        if rest is None or not len(rest):
+            continue
+        number = numbered(rest)
+        ends = [*(np.flatnonzero(np.diff(number)) + 1).tolist(), *([len(rest)] if batch is None else [])]
+        at = 0
+        for k, end in enumerate(ends):
+            if k + 1 == len(ends) or ends[k + 1] - at > together:
+                yield rest.slice(at, end - at), number[at:end]
+                at = end
+        rest = rest.slice(at)
+
+
+def _and_none(items: Iterator) -> Iterator:
+    yield from items
+    yield None
+
+
+def _fps(table: pa.Table) -> np.ndarray:
+    return table.column("fp").combine_chunks().flatten().to_numpy().reshape(-1, LANES).view(np.uint64)
+
+
+def _dealt(rows: DataFrame, count: Column, group: str) -> DataFrame:
+    """Rows with i, j and side: each two blocks of a ``group`` meet in a cell, of ``count`` rows in all; side 1 meets side 2, and all meet in side 0."""
+    blocks = F.when(count <= BLOCK, 1).otherwise(F.ceil(count / (BLOCK // 2))).cast("int")
+    held = rows.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cell = lambda j: F.struct(F.least("mine", j).alias("i"), F.greatest("mine", j).alias("j"), F.when(j == F.col("mine"), 0).when(j > F.col("mine"), 1).otherwise(2).cast("tinyint").alias("side"))
-    dealt = with_blocks.withColumn("c", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), cell))).select("key", "c.*", "node", "own", "root").join(nodes.select("node", "fp"), "node")
+    made = held.withColumn("c", F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), cell)))
+    return made.select(*[c for c in rows.columns if c != "n"], "c.*")
+
+
+def _sorted_cells(rows: DataFrame, *names: str) -> DataFrame:
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *names).sortWithinPartitions(*names)
+
+
+def _sides_meet(side: np.ndarray, rows: slice) -> np.ndarray:
+    return (side[rows, None] != side[None]) | (side[rows, None] == 0)
+
+
+def _clouds(apart: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): edges that join nodes of different roots which meet under a value and are at most MAX_BITS apart.
+
+    Pairs aren't listed: a task gives an edge only where its nodes weren't joined by
+    its edges before, so edges follow the number of nodes.
+    """
+    cells = _dealt(apart, F.col("n"), "key").join(nodes.select("node", "fp"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def near(table: pa.Table) -> pa.RecordBatch:
-            cells = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
-            same = np.concatenate([[0], np.cumsum((cells[1:] != cells[:-1]).any(axis=1))])
+        joined = _Joined()
+        for table, same in _by_cell(batches, ["key", "i", "j"], TOGETHER):
             node, own, root, side = (table.column(c).to_numpy() for c in ("node", "own", "root", "side"))
-            fp = table.column("fp").combine_chunks().flatten().to_numpy().reshape(-1, LANES).view(np.uint64)
-            a, b = [], []
-            for at in range(0, len(node), 128):
-                rows = slice(at, at + 128)
-                ok = (same[rows, None] == same[None, at:]) & (root[rows, None] != root[None, at:]) & (own[rows, None] | own[None, at:]) & ((side[rows, None] != side[None, at:]) | (side[rows, None] == 0))
-                i, j = np.nonzero(ok)
-                i, j = i[i < j] + at, j[i < j] + at
-                for k in range(0, len(i), 1 << 16):
-                    x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-                    close = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1) <= MAX_BITS
-                    a.append(node[x[close]])
-                    b.append(node[y[close]])
-            pairs = np.concatenate([np.empty((2, 0), np.int64), *(np.stack(p) for p in zip(a, b))], axis=1)
-            pairs = np.unique(np.sort(pairs, axis=0), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-        def whole_cells(table: pa.Table, last: bool) -> Iterator[pa.RecordBatch | pa.Table]:
-            """Results, then what is left; cells are bounded, and small ones are put together."""
-            cells = np.stack([table.column(c).to_numpy() for c in ("key", "i", "j")], axis=1)
-            ends = np.concatenate([np.flatnonzero((cells[1:] != cells[:-1]).any(axis=1)) + 1, [len(cells)] if last else np.empty(0, np.int64)]).astype(int).tolist()
-            at = 0
-            for k, end in enumerate(ends):
-                if k + 1 == len(ends) or ends[k + 1] - at > TOGETHER:
-                    yield near(table.slice(at, end - at))
-                    at = end
-            yield table.slice(at)
-
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            *made, rest = whole_cells(table if rest is None else pa.concat_tables([rest, table]), False)
-            yield from made
-        if rest is not None and len(rest):
-            *made, _ = whole_cells(rest, True)
-            yield from made
+            may = lambda r: (same[r, None] == same[None]) & (root[r, None] != root[None]) & (own[r, None] | own[None]) & _sides_meet(side, r)  # noqa: E731, B023
+            edges = [(x, y) for i, j in _close(_fps(table), may, MAX_BITS) for x, y in zip(node[i].tolist(), node[j].tolist()) if joined.join(x, y)]
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return _sorted_cells(cells, "key", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def _linked(clouds: DataFrame, labels: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
+    """(a, b): edges that join what is similar enough within each cloud (node, cloud), found by exact comparison of all its nodes of different roots.
 
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long")
+    The nodes of a cloud meet block by block, each with its set of shingles; edges follow the number of nodes.
+    """
+    members = clouds.join(labels, "node")
+    several = members.groupBy("cloud").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("cloud", "n")
+    members = cut_lineage(members.join(several, "cloud").select("cloud", "node", "root", "n"))
+    met = members.select("node")
+    sets = cut_lineage(_sets(base, _filter(met, "node")).join(met, "node", "left_semi").dropDuplicates(["node"]))
+    cells = _dealt(members, F.col("n"), "cloud").join(nodes.select("node", "fp"), "node").join(sets, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        joined = _Joined()
+        for table, same in _by_cell(batches, ["cloud", "i", "j"], TOGETHER):
+            node, root, side = (table.column(c).to_numpy() for c in ("node", "root", "side"))
+            lists = table.column("s").combine_chunks()
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            grams = [values[ends[k] : ends[k + 1]] for k in range(len(lists))]  # distinct, see shingles()
+            may = lambda r: (same[r, None] == same[None]) & (root[r, None] != root[None]) & _sides_meet(side, r)  # noqa: E731, B023
+            edges = []
+            for i, j in _close(_fps(table), may, MAX_BITS):
+                for x, y in zip(i.tolist(), j.tolist()):
+                    p, q = int(node[x]), int(node[y])
+                    if joined.top(p) != joined.top(q):
+                        both = len(np.intersect1d(grams[x], grams[y], assume_unique=True))
+                        if both >= LEAST * (len(grams[x]) + len(grams[y]) - both) and joined.join(p, q):
+                            edges.append((p, q))
+            yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return _sorted_cells(cells, "cloud", "i", "j").mapInArrow(run, "a long, b long")
 
 
 def groups(nodes: DataFrame, base: DataFrame, width: tuple[int, int]) -> DataFrame:
@@ -293,8 +377,11 @@ def groups(nodes: DataFrame, base: DataFrame, width: tuple[int, int]) -> DataFra
         labels = _joined(labels, _verified(nearest, base))
 
     looked = _shared(_entered(nodes, width, wanted))
-    close = cut_lineage(_near_pairs(cut_lineage(_apart(looked, labels)), nodes).distinct())
-    return _joined(labels, _verified(close, base)) if close.take(1) else labels
+    edges = cut_lineage(_clouds(_apart(looked, labels), nodes))
+    tops = components(edges).select("node", F.col("root").alias("cloud"))
+    # A cloud's smallest node is no row of components().
+    clouds = cut_lineage(tops.unionByName(tops.select(F.col("cloud").alias("node"), "cloud").distinct()))
+    return _joined(labels, _linked(clouds, labels, nodes, base))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -56,8 +56,17 @@ def test_keys_of_close_fingerprints_meet(n_texts, least):
         assert met / 150 >= wanted
 
 
-def test_blocks_hold_every_pair_of_a_value(spark, monkeypatch):
-    """Pairs of different roots with an own entry, whatever the size of the blocks."""
+def joined_by(pairs):
+    tops = {}
+    top = lambda x: x if tops.get(x, x) == x else top(tops[x])
+    for a, b in pairs:
+        x, y = sorted((top(a), top(b)))
+        tops[y] = x
+    return {x: top(x) for p in pairs for x in p}
+
+
+def test_edges_join_what_every_pair_of_a_value_joins(spark, monkeypatch):
+    """Nodes of different roots with an own entry, whatever the size of the blocks."""
     rng = np.random.default_rng(5)
     prints = rng.integers(0, 1 << 62, (40, 8)) & 3
     nodes = spark.createDataFrame([(i, prints[i].tolist()) for i in range(40)], "node long, fp array<long>")
@@ -65,12 +74,31 @@ def test_blocks_hold_every_pair_of_a_value(spark, monkeypatch):
     entries = [(k, n, bool((k + n) % 3), n % 5, sum(x == k for x, _ in rows)) for k, n in rows]
     apart = spark.createDataFrame(entries, "key long, node long, own boolean, root long, n long").repartition(3)
     bits = lambda a, b: sum(int(x ^ y).bit_count() for x, y in zip(prints[a].tolist(), prints[b].tolist()))
-    monkeypatch.setattr(near_copies, "MAX_BITS", 8)
-    expect = {tuple(sorted((a[1], b[1]))) for a in entries for b in entries if a[0] == b[0] and a[1] != b[1] and a[3] != b[3] and (a[2] or b[2]) and bits(a[1], b[1]) <= 8}
-    for block, together in ((512, 256), (8, 4), (2, 1)):
-        monkeypatch.setattr(near_copies, "BLOCK", block)
-        monkeypatch.setattr(near_copies, "TOGETHER", together)
-        assert {(r.a, r.b) for r in near_copies._near_pairs(apart, nodes).collect()} == expect
+    for most in (3, 5, 8):
+        monkeypatch.setattr(near_copies, "MAX_BITS", most)
+        expect = {(a[1], b[1]) for a in entries for b in entries if a[0] == b[0] and a[1] < b[1] and a[3] != b[3] and (a[2] or b[2]) and bits(a[1], b[1]) <= most}
+        for block, together in ((512, 256), (8, 4), (2, 1)):
+            monkeypatch.setattr(near_copies, "BLOCK", block)
+            monkeypatch.setattr(near_copies, "TOGETHER", together)
+            got = [(r.a, r.b) for r in near_copies._clouds(apart, nodes).collect()]
+            assert {tuple(sorted(p)) for p in got} <= expect and joined_by(got) == joined_by(sorted(expect))
+
+
+def test_a_cloud_of_texts_on_both_sides_of_the_limit(spark, monkeypatch):
+    """Many short variants of one text, some similar enough and most not: no link is lost, however the cloud is cut."""
+    monkeypatch.setattr(near_copies, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(45)]
+    rows = []
+    for i in range(120):
+        text = list(base)
+        for at in rng.choice(45, int(rng.integers(1, 4)), replace=False):
+            text[at] = f"x{rng.integers(0, 4)}"
+        rows.append((i, " ".join(text)))
+    kept = sorted(r.doc_id for r in near_copies.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect())
+    links = [(a, b) for a in range(120) for b in range(a) if similarity(rows[a][1], rows[b][1]) >= near_copies.LEAST]
+    tops = joined_by(links)
+    assert kept == [i for i in range(120) if tops.get(i, i) == i] and 5 < len(kept) < 115
 
 
 def test_margins_are_the_plain_count():

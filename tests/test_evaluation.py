@@ -119,6 +119,9 @@ def test_samples(spark):
     assert made.groupBy("symbol").count().collect()[0]["count"] == 30 and made.select("symbol").distinct().count() == 3
     assert made.where("high < greatest(open, close) or low > least(open, close) or low <= 0").count() == 0
     assert sorted(map(tuple, made.collect())) == sorted(map(tuple, samples.sample_bars(spark, ["MSFT", "GOOGL", "AAPL"], 30).collect()))
+    assert made.where("weekday(bar_ts) >= 5").count() == 0 and str(made.agg(F.max("bar_ts")).first()[0])[:10] == "2024-06-28"
+    alike = samples.sample_bars(spark, ["A", "B"], 5, seed="x").drop("symbol").distinct()
+    assert alike.count() == 5 and made.select("close").distinct().count() > 60
     assert samples.symbols_of("nowhere") == samples.SYMBOLS["A股"] and set(made.columns) == set(bars.COLUMNS)
 
 

@@ -18,6 +18,7 @@ their order then, and are put together again where they are.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import uuid
@@ -195,6 +196,21 @@ def with_pieces(encoded: DataFrame, ids_col: str, vocabulary: str) -> DataFrame:
     return each.repartition("row").sortWithinPartitions("row", "pos").select("id", "pos", "token", "piece")
 
 
+@functools.cache
+def _numbers(n: int = 1 << 16) -> pa.Array:
+    return pa.array(map(str, range(n)), pa.string())
+
+
+def _written(column: pa.Array) -> pa.Array:
+    """Texts as they are, numbers in digits; small ones from a table, which is quicker than writing each."""
+    if not pa.types.is_integer(column.type):
+        return column
+    least, most = pc.min_max(column).values()
+    if least.as_py() is not None and least.as_py() >= 0 and most.as_py() < len(_numbers()):
+        return _numbers().take(column)
+    return column.cast(pa.string())
+
+
 def put_together(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[pa.Scalar, int, list[list[str]]]]:
     """For each document of a stream of rows by ``with_pieces`` its id, its number of ids and, for each of ``columns``, the texts to be joined by one space."""
     current: list | None = None
@@ -209,7 +225,7 @@ def put_together(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) ->
         before = np.concatenate([[current[1] - 1 if current else -1], pos[:-1]])
         if (pos[inside] != before[inside] + 1).any():
             raise RuntimeError("rows of a document's ids are out of order")
-        lists = lambda c: pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pc.fill_null(batch.column(c).cast(pa.string()), ""))  # noqa: E731, B023
+        lists = lambda c: pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pc.fill_null(_written(batch.column(c)), ""))  # noqa: E731, B023
         said = [pc.binary_join(lists(c), " ").to_pylist() for c in columns]
         for k, (at, end) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
             if pos[at] <= 0:

@@ -18,11 +18,12 @@ Jaccard similarity of both sets of shingles.
 Texts of equal words are one node. In some rounds, each value has one of its own
 nodes as a hub, another in each round; every node of the value is compared with the
 nearest of its hubs, and what is linked is joined. So a dense group becomes one root
-before anything else. Then the nodes of each value, looked up or own, are dealt into
-blocks of bounded size, and distances between nodes of different roots are taken block
-by block. What is near enough is joined to clouds, and within each cloud all nodes of
-different roots are compared exactly, again block by block. Neither step lists pairs:
-a task passes on an edge only where it joins what its edges didn't join before.
+before anything else. Then the nodes of each own value are dealt into blocks of bounded
+size, distances between nodes of different roots are taken block by block, and what is
+near enough is joined to clouds. The same follows for looked up values, but only for
+those whose nodes are of several clouds. Within each cloud all nodes of different roots
+are compared exactly, again block by block. No step lists pairs: a task passes on an
+edge only where it joins what its edges didn't join before.
 """
 
 from __future__ import annotations
@@ -148,8 +149,9 @@ def _passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _entered(nodes: DataFrame, width: tuple[int, int], wanted=None) -> DataFrame:
-    """(key, node, own): each node under its own values and, with a filter, under those of its balls that pass it."""
+def _entered(nodes: DataFrame, width: tuple[int, int], wanted=None, *more: str) -> DataFrame:
+    """(key, node, own, and ``more`` longs of nodes): each node under its own values or, with a filter, under those of its balls, its own included, that pass it."""
+    names = ["key", "node", "own", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -158,14 +160,12 @@ def _entered(nodes: DataFrame, width: tuple[int, int], wanted=None) -> DataFrame
                 words = batch.column(1).flatten().to_numpy().reshape(-1, LANES)
                 places = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8)
                 made = keys(words, places, width, ball=wanted is not None)
-                kept = np.zeros(made.shape, bool)
-                kept[:, :, 0] = True
-                if wanted is not None:
-                    kept[:, :, 1:] = _passes(wanted.value, made[:, :, 1:].ravel()).reshape(made[:, :, 1:].shape)
+                kept = np.ones(made.shape, bool) if wanted is None else _passes(wanted.value, made.ravel()).reshape(made.shape)
                 row, _, ball = np.nonzero(kept)
-                yield pa.RecordBatch.from_arrays([pa.array(made[kept]), pa.array(batch.column(0).to_numpy()[row]), pa.array(ball == 0)], names=["key", "node", "own"])
+                rest = [pa.array(batch.column(k).to_numpy()[row]) for k in range(3, 3 + len(more))]
+                yield pa.RecordBatch.from_arrays([pa.array(made[kept]), pa.array(batch.column(0).to_numpy()[row]), pa.array(ball == 0), *rest], names=names)
 
-    return nodes.select("node", "fp", "places").mapInArrow(run, "key long, node long, own boolean")
+    return nodes.select("node", "fp", "places", *more).mapInArrow(run, ", ".join(["key long, node long, own boolean", *(f"{m} long" for m in more)]))
 
 
 def _sets(base: DataFrame, wanted) -> DataFrame:
@@ -224,6 +224,19 @@ def _apart(entries: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed, "key").select("key", "node", "own", "root", "n")
 
 
+def _still_apart(nodes: DataFrame, labels: DataFrame, width: tuple[int, int], wanted) -> DataFrame:
+    """(key, node, own, root, cloud, n) of the entries, looked up ones too, under values whose nodes are of several roots and of several clouds (node, root, cloud).
+
+    Nodes of one cloud are compared in any case, so what they have in common is
+    counted by value and goes no further: entries are made a second time for the values that are left.
+    """
+    marked = nodes.join(labels, "node").select("node", "fp", "places", "root", "cloud")
+    ends = [f(c).alias(f"{c}_{k}") for c in ("root", "cloud") for k, f in (("low", F.min), ("high", F.max))]
+    counted = _entered(marked, width, wanted, "root", "cloud").groupBy("key").agg(*ends, F.max("own").alias("any"), F.count(F.lit(1)).alias("n"))
+    mixed = cut_lineage(counted.where("any and root_low < root_high and cloud_low < cloud_high").select("key", "n"))
+    return _entered(marked, width, _filter(mixed, "key"), "root", "cloud").join(mixed, "key").select("key", "node", "own", "root", "cloud", "n")
+
+
 class _Joined:
     """Which items belong together, by the smallest of each set."""
 
@@ -308,18 +321,20 @@ def _sides_meet(side: np.ndarray, rows: slice) -> np.ndarray:
 
 
 def _clouds(apart: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b): edges that join nodes of different roots which meet under a value and are at most MAX_BITS apart.
+    """(a, b): edges that join nodes of different roots and clouds, each node its own cloud where there are none, which meet under a value and are at most MAX_BITS apart.
 
     Pairs aren't listed: a task gives an edge only where its nodes weren't joined by
     its edges before, so edges follow the number of nodes.
     """
+    if "cloud" not in apart.columns:
+        apart = apart.withColumn("cloud", F.col("node"))
     cells = _dealt(apart, F.col("n"), "key").join(nodes.select("node", "fp"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joined = _Joined()
         for table, same in _by_cell(batches, ["key", "i", "j"], TOGETHER):
-            node, own, root, side = (table.column(c).to_numpy() for c in ("node", "own", "root", "side"))
-            may = lambda r: (same[r, None] == same[None]) & (root[r, None] != root[None]) & (own[r, None] | own[None]) & _sides_meet(side, r)  # noqa: E731, B023
+            node, own, root, cloud, side = (table.column(c).to_numpy() for c in ("node", "own", "root", "cloud", "side"))
+            may = lambda r: (same[r, None] == same[None]) & (root[r, None] != root[None]) & (cloud[r, None] != cloud[None]) & (own[r, None] | own[None]) & _sides_meet(side, r)  # noqa: E731, B023
             edges = [(x, y) for i, j in _close(_fps(table), may, MAX_BITS) for x, y in zip(node[i].tolist(), node[j].tolist()) if joined.join(x, y)]
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
@@ -376,9 +391,11 @@ def groups(nodes: DataFrame, base: DataFrame, width: tuple[int, int]) -> DataFra
             break
         labels = _joined(labels, _verified(nearest, base))
 
-    looked = _shared(_entered(nodes, width, wanted))
-    edges = cut_lineage(_clouds(_apart(looked, labels), nodes))
-    tops = components(edges).select("node", F.col("root").alias("cloud"))
+    met = cut_lineage(_clouds(_apart(alike, labels), nodes))
+    tops = components(met).select("node", F.col("root").alias("cloud"))
+    marked = cut_lineage(labels.join(tops, "node", "left").select("node", "root", F.coalesce("cloud", "node").alias("cloud")))
+    looked = cut_lineage(_clouds(_still_apart(nodes, marked, width, wanted), nodes))
+    tops = components(met.unionByName(looked)).select("node", F.col("root").alias("cloud"))
     # A cloud's smallest node is no row of components().
     clouds = cut_lineage(tops.unionByName(tops.select(F.col("cloud").alias("node"), "cloud").distinct()))
     return _joined(labels, _linked(clouds, labels, nodes, base))

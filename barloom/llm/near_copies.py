@@ -21,7 +21,7 @@ nearest of its hubs, and what is linked is joined. So a dense group becomes one
 before anything else. Then the nodes of each own value are dealt into blocks of bounded
 size, distances between nodes of different roots are taken block by block, and what is
 near enough is joined to clouds. The same follows for looked up values, but only for
-those whose nodes are of several clouds. Within each cloud all nodes of different roots
+those whose nodes are of several clouds, some segments after others. Within each cloud all nodes of different roots
 are compared exactly, again block by block. No step lists pairs: a task passes on an
 edge only where it joins what its edges didn't join before.
 """
@@ -46,6 +46,8 @@ WIDTHS = ((1 << 17, 24, 5), (1 << 20, 28, 6), (1 << 40, 32, 7))
 #: Rounds with hubs before pairs are listed.
 ROUNDS = 2
 LANES = 8
+#: First segments of the steps in which balls are looked up; dense clouds are whole after the first, so the others find little left.
+STEPS = (0, 1, 5)
 #: Complete distance of a candidate at most; 0.8 gives 73 with a deviation of 8 (10 for texts of few shingles).
 MAX_BITS = 105
 #: Nodes of a value that are compared in one block, and rows that small blocks are put together to.
@@ -149,8 +151,8 @@ def _passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _entered(nodes: DataFrame, width: tuple[int, int], wanted=None, *more: str) -> DataFrame:
-    """(key, node, own, and ``more`` longs of nodes): each node under its own values or, with a filter, under those of its balls, its own included, that pass it."""
+def _entered(nodes: DataFrame, width: tuple[int, int], wanted=None, *more: str, ball: bool = True, segments: slice = slice(None)) -> DataFrame:
+    """(key, node, own, and ``more`` longs of nodes): each node under its own values and those of its balls, in some of the segments; with a filter, those that pass it."""
     names = ["key", "node", "own", *more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,11 +161,11 @@ def _entered(nodes: DataFrame, width: tuple[int, int], wanted=None, *more: str)
                 batch = whole.slice(at, 1024)
                 words = batch.column(1).flatten().to_numpy().reshape(-1, LANES)
                 places = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8)
-                made = keys(words, places, width, ball=wanted is not None)
+                made = keys(words, places, width, ball)[:, segments]
                 kept = np.ones(made.shape, bool) if wanted is None else _passes(wanted.value, made.ravel()).reshape(made.shape)
-                row, _, ball = np.nonzero(kept)
+                row, _, of_ball = np.nonzero(kept)
                 rest = [pa.array(batch.column(k).to_numpy()[row]) for k in range(3, 3 + len(more))]
-                yield pa.RecordBatch.from_arrays([pa.array(made[kept]), pa.array(batch.column(0).to_numpy()[row]), pa.array(ball == 0), *rest], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(made[kept]), pa.array(batch.column(0).to_numpy()[row]), pa.array(of_ball == 0), *rest], names=names)
 
     return nodes.select("node", "fp", "places", *more).mapInArrow(run, ", ".join(["key long, node long, own boolean", *(f"{m} long" for m in more)]))
 
@@ -211,10 +213,11 @@ def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(labels.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
 
 
-def _shared(entries: DataFrame) -> DataFrame:
-    """The entries under values that an own one and another share."""
-    values = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("any")).where("n > 1 and any").select("key")
-    return cut_lineage(entries.join(values, "key", "left_semi"))
+def _shared(nodes: DataFrame, width: tuple[int, int]) -> DataFrame:
+    """The entries of nodes under own values that several share; made a second time, so that what isn't shared is counted alone."""
+    counted = _entered(nodes, width, ball=False).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    values = cut_lineage(counted.where("n > 1").select("key"))
+    return cut_lineage(_entered(nodes, width, _filter(values, "key"), ball=False).join(values, "key", "left_semi"))
 
 
 def _apart(entries: DataFrame, labels: DataFrame) -> DataFrame:
@@ -224,17 +227,17 @@ def _apart(entries: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed, "key").select("key", "node", "own", "root", "n")
 
 
-def _still_apart(nodes: DataFrame, labels: DataFrame, width: tuple[int, int], wanted) -> DataFrame:
-    """(key, node, own, root, cloud, n) of the entries, looked up ones too, under values whose nodes are of several roots and of several clouds (node, root, cloud).
+def _still_apart(nodes: DataFrame, labels: DataFrame, width: tuple[int, int], wanted, segments: slice) -> DataFrame:
+    """(key, node, own, root, cloud, n) of the entries, looked up ones too, under values of some segments whose nodes are of several roots and of several clouds (node, root, cloud).
 
     Nodes of one cloud are compared in any case, so what they have in common is
     counted by value and goes no further: entries are made a second time for the values that are left.
     """
     marked = nodes.join(labels, "node").select("node", "fp", "places", "root", "cloud")
     ends = [f(c).alias(f"{c}_{k}") for c in ("root", "cloud") for k, f in (("low", F.min), ("high", F.max))]
-    counted = _entered(marked, width, wanted, "root", "cloud").groupBy("key").agg(*ends, F.max("own").alias("any"), F.count(F.lit(1)).alias("n"))
+    counted = _entered(marked, width, wanted, "root", "cloud", segments=segments).groupBy("key").agg(*ends, F.max("own").alias("any"), F.count(F.lit(1)).alias("n"))
     mixed = cut_lineage(counted.where("any and root_low < root_high and cloud_low < cloud_high").select("key", "n"))
-    return _entered(marked, width, _filter(mixed, "key"), "root", "cloud").join(mixed, "key").select("key", "node", "own", "root", "cloud", "n")
+    return _entered(marked, width, _filter(mixed, "key"), "root", "cloud", segments=segments).join(mixed, "key").select("key", "node", "own", "root", "cloud", "n")
 
 
 class _Joined:
@@ -374,13 +377,20 @@ def _linked(clouds: DataFrame, labels: DataFrame, nodes: DataFrame, base: DataFr
     return _sorted_cells(cells, "cloud", "i", "j").mapInArrow(run, "a long, b long")
 
 
+def _grown(edges: DataFrame | None, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges of clouds and ``more`` of them as a forest, and the clouds (node, cloud) that they make, of two nodes at least."""
+    tops = components(more if edges is None else edges.unionByName(more)).select("node", F.col("root").alias("cloud"))
+    # A cloud's smallest node is no row of components().
+    clouds = cut_lineage(tops.unionByName(tops.select(F.col("cloud").alias("node"), "cloud").distinct()))
+    return tops.select(F.col("node").alias("a"), F.col("cloud").alias("b")), clouds
+
+
 def groups(nodes: DataFrame, base: DataFrame, width: tuple[int, int]) -> DataFrame:
     """(node, root) for all ``nodes``; a root stands for its group. ``base`` holds the texts."""
-    own = _entered(nodes, width)
-    wanted = _filter(own, "key")
+    wanted = _filter(_entered(nodes, width, ball=False), "key")
     labels = nodes.select("node", F.col("node").alias("root"))
 
-    alike = _shared(own)
+    alike = _shared(nodes, width)
     for n in range(ROUNDS):
         members = cut_lineage(_apart(alike, labels))
         hubs = members.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(n))).alias("hub"))
@@ -391,13 +401,10 @@ def groups(nodes: DataFrame, base: DataFrame, width: tuple[int, int]) -> DataFra
             break
         labels = _joined(labels, _verified(nearest, base))
 
-    met = cut_lineage(_clouds(_apart(alike, labels), nodes))
-    tops = components(met).select("node", F.col("root").alias("cloud"))
-    marked = cut_lineage(labels.join(tops, "node", "left").select("node", "root", F.coalesce("cloud", "node").alias("cloud")))
-    looked = cut_lineage(_clouds(_still_apart(nodes, marked, width, wanted), nodes))
-    tops = components(met.unionByName(looked)).select("node", F.col("root").alias("cloud"))
-    # A cloud's smallest node is no row of components().
-    clouds = cut_lineage(tops.unionByName(tops.select(F.col("cloud").alias("node"), "cloud").distinct()))
+    edges, clouds = _grown(None, _clouds(_apart(alike, labels), nodes))
+    for first, last in zip(STEPS, (*STEPS[1:], TOTAL // width[0])):
+        marked = cut_lineage(labels.join(clouds, "node", "left").select("node", "root", F.coalesce("cloud", "node").alias("cloud")))
+        edges, clouds = _grown(edges, _clouds(_still_apart(nodes, marked, width, wanted, slice(first, last)), nodes))
     return _joined(labels, _linked(clouds, labels, nodes, base))
 
 

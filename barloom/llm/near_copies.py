@@ -28,6 +28,7 @@ edge only where it joins what its edges didn't join before.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -132,14 +133,26 @@ def _fingerprinted(base: DataFrame, width: tuple[int, int]) -> DataFrame:
 FILTERS = (134_217_689, 134_217_593)
 
 
+class _Bits:
+    """A filter's bits, packed while they are sent and lie on the disks of driver and executors; a worker opens them once."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.packed, self.shape, self.opened = zlib.compress(bits, 1), bits.shape, None
+
+    def bits(self) -> np.ndarray:
+        if self.opened is None:
+            self.opened = np.frombuffer(zlib.decompress(self.packed), np.uint8).reshape(self.shape)
+        return self.opened
+
+
 def _filter(values: DataFrame, column: str):
-    """Bits for each value's remainders by two primes, for the tasks: 32 MB. What passes is checked by a join."""
+    """Bits for each value's remainders by two primes, for the tasks: 32 MB at most. What passes is checked by a join."""
     each = values.select(F.explode(F.array(*[F.struct(F.lit(i).alias("f"), (F.pmod(column, F.lit(p)) + 1).alias("place")) for i, p in enumerate(FILTERS)])).alias("x")).select("x.*")
     rows = each.select("f", F.bitmap_bucket_number("place").alias("b"), F.bitmap_bit_position("place").alias("p")).groupBy("f", "b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
     found = np.zeros((2, max(FILTERS) // 32768 + 2, 4096), np.uint8)
     for r in rows:
         found[r.f, r.b] = np.frombuffer(r.bits, np.uint8)
-    return values.sparkSession.sparkContext.broadcast(found)
+    return values.sparkSession.sparkContext.broadcast(_Bits(found))
 
 
 def _passes(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -162,7 +175,7 @@ def _entered(nodes: DataFrame, width: tuple[int, int], wanted=None, *more: str,
                 words = batch.column(1).flatten().to_numpy().reshape(-1, LANES)
                 places = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8)
                 made = keys(words, places, width, ball)[:, segments]
-                kept = np.ones(made.shape, bool) if wanted is None else _passes(wanted.value, made.ravel()).reshape(made.shape)
+                kept = np.ones(made.shape, bool) if wanted is None else _passes(wanted.value.bits(), made.ravel()).reshape(made.shape)
                 row, _, of_ball = np.nonzero(kept)
                 rest = [pa.array(batch.column(k).to_numpy()[row]) for k in range(3, 3 + len(more))]
                 yield pa.RecordBatch.from_arrays([pa.array(made[kept]), pa.array(batch.column(0).to_numpy()[row]), pa.array(of_ball == 0), *rest], names=names)
@@ -179,7 +192,7 @@ def _sets(base: DataFrame, wanted) -> DataFrame:
             texts = [_words(t) for t in batch.column(0).to_pylist()]
             nodes = np.array([_node(w) for w in texts], np.int64)
             firsts = np.sort(np.unique(nodes, return_index=True)[1])
-            kept = firsts[_passes(wanted.value, nodes[firsts])]
+            kept = firsts[_passes(wanted.value.bits(), nodes[firsts])]
             kept = kept[[n not in seen for n in nodes[kept].tolist()]] if len(kept) else kept
             seen.update(nodes[kept].tolist())
             yield pa.RecordBatch.from_arrays([pa.array(nodes[kept]), _lists([shingles(texts[i]).view(np.int64) for i in kept.tolist()])], names=["node", "s"])

@@ -1,14 +1,16 @@
 """BM25 by an inverted index that is written once and searched many times.
 
-Postings are dealt by token bucket and document block: a row holds one token's
-documents of one block, with their weights and the highest of them. Documents fall
-into blocks of some hundred by a hash, so a token that every document has is spread
-like any other. Nothing is collected; all steps are joins and sums.
-
-A search needs a part of the postings. For each query the tokens that can add most, up
-to some thousand postings, give documents whose sums by these tokens alone bound the
-k-th best score from below. Blocks whose highest weights don't add up to that bound
-can't hold one of the k best and are skipped; the others are summed in full.
+Documents fall into blocks of some hundred by a hash. A block's texts meet in one task,
+which counts each document's tokens by sorting them in its row; so texts are shuffled
+once, tokens never. Postings lie by token bucket, sorted by token. Nothing is collected;
+all steps are joins and sums.
+
+A search takes the postings of its tokens, deals them by block and sums them there, so
+that only the k best of each query and task are shuffled after that. On demand it skips
+blocks: for each query the tokens that can add most, up to some thousand postings, give
+documents whose sums by these tokens alone bound the k-th best score from below. Blocks
+whose highest weights don't add up to that bound can't hold one of the k best. That
+takes another pass over the postings and pays where queries hold rare tokens.
 """
 
 from __future__ import annotations
@@ -22,13 +24,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from barloom.functions.shared import cut_lineage, parts, shared_dir
+from barloom.operators.chunks import let
 from barloom.operators.text import SINGLE, tokens
 
 K1, B = 1.5, 0.75
-#: Documents of a block, tokens of a bucket of files, and postings that the first bound is made of.
+#: Documents of a block, tokens of a bucket of files (of five characters each), and postings that the first bound is made of.
 BLOCK_DOCS, BUCKET_TOKENS, FIRST_POSTINGS = 128, 50_000_000, 2000
-#: Up to so many postings in all, finding blocks to skip takes longer than summing them.
-SUMMED_AT_ONCE = 20_000_000
+#: Documents that a task indexes, postings that it sums, and query tokens that are sent to all tasks.
+TASK_DOCS, TASK_POSTINGS, FEW_TOKENS = 16_384, 10_000_000, 500_000
 #: Scores are kept at so many places; bounds are taken wider than that.
 PLACES, SLACK = 9, 1e-6
 
@@ -45,37 +48,49 @@ class Index:
     buckets: int
 
     def postings(self, spark: SparkSession) -> DataFrame:
-        """(bucket, block, token, n, bound, posts) with posts of (id, w)."""
+        """(bucket, block, token, id, tf, len): how often a document of ``len`` tokens has a token."""
         return spark.read.parquet(f"{self.folder}/postings")
 
     def terms(self, spark: SparkSession) -> DataFrame:
         """(token, df, top): documents that have it, and its highest weight."""
         return spark.read.parquet(f"{self.folder}/terms")
 
+    def weight(self) -> Column:
+        """What a posting adds to a score, but for the token's and the query's factor."""
+        return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(self.mean)))
+
 
 def _bucket(token: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
+def _counts(words: Column) -> Column:
+    """(token, tf) of each distinct word: neighbours in a sorted array."""
+
+    def made(s: Column, starts: Column) -> Column:
+        return F.transform(starts, lambda i, j: F.struct(F.get(s, i).alias("token"), (F.coalesce(F.get(starts, j + 1), F.size(s)) - i).alias("tf")))
+
+    firsts = lambda s: F.filter(F.transform(s, lambda _, i: i), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    return let(F.sort_array(words), lambda s: let(firsts(s), lambda starts: made(s, starts)))
+
+
 def build(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = SINGLE) -> Index:
-    """Write the index of ``docs`` under ``folder``; null text has no token. One shuffle of (token, document)."""
+    """Write the index of ``docs`` under ``folder``; null text has no token. One shuffle of the documents."""
     spark = docs.sparkSession
-    if docs.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-        docs = docs.select(id_col, text_col).repartition(parts(spark))  # a few files keep all cores busy
-    read = docs.select(F.col(id_col).alias("id"), tokens(F.coalesce(text_col, F.lit("")), pattern).alias("k")).withColumn("len", F.size("k"))
-    n, total = read.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
-    mean, buckets, blocks = total / n if total else 1.0, -(-total // BUCKET_TOKENS) or 1, -(-n // BLOCK_DOCS) or 1
-    each = read.select("id", "len", F.explode("k").alias("token"))
-    placed = each.select(_bucket(F.col("token"), buckets).alias("bucket"), F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)).cast("int").alias("block"), "token", "id", "len")
-    keys = ["bucket", "block"]
-    counted = placed.repartition(parts(spark), *keys).groupBy(*keys, "token", "id", "len").agg(F.count(F.lit(1)).alias("tf"))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(mean))))
-    rows = counted.withColumn("w", weight).groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("n"), F.max("w").alias("bound"), F.collect_list(F.struct("id", "w")).alias("posts"))
-    rows.sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{folder}/postings")
-    made = Index(folder, n, float(mean), pattern, id_col, buckets)
-    if n and total:
-        made.postings(spark).groupBy("token").agg(F.sum("n").alias("df"), F.max("bound").alias("top")).write.parquet(f"{folder}/terms")
-    spark.createDataFrame([(n, float(mean), buckets)], "n long, mean double, buckets int").coalesce(1).write.parquet(f"{folder}/stats")  # last: it says that the index is whole
+    docs = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    n, chars = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    buckets, blocks = -(-chars // (5 * BUCKET_TOKENS)) or 1, -(-n // BLOCK_DOCS) or 1
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks)).cast("int")).repartition(max(parts(spark), -(-n // TASK_DOCS)), "block")
+    each = dealt.select("block", "id", tokens(F.col("text"), pattern).alias("k"))
+    counted = each.select("block", "id", F.size("k").alias("len"), F.explode(_counts(F.col("k"))).alias("c")).select("block", "id", "len", "c.*")
+    rows = counted.withColumn("bucket", _bucket(F.col("token"), buckets)).select("bucket", "block", "token", "id", "tf", "len")
+    rows.sortWithinPartitions("bucket", "token", "id").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    schema = "block int, token string, id " + docs.schema["id"].dataType.simpleString() + ", tf int, len int, bucket int"
+    total = spark.read.schema(schema).parquet(f"{folder}/postings").agg(F.sum("tf")).first()[0] or 0
+    made = Index(folder, n, total / n if total else 1.0, pattern, id_col, buckets)
+    if total:
+        made.postings(spark).groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max(made.weight()).alias("top")).write.parquet(f"{folder}/terms")
+    spark.createDataFrame([(n, made.mean, buckets)], "n long, mean double, buckets int").coalesce(1).write.parquet(f"{folder}/stats")  # last: it says that the index is whole
     return made
 
 
@@ -106,18 +121,19 @@ def index_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     """
     spark = docs.sparkSession
     mark = _mark(docs.select(id_col, text_col), id_col, text_col, pattern)
-    folder = f"{shared_dir(spark).rstrip('/')}/bm25-{BLOCK_DOCS}-{mark or uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark).rstrip('/')}/bm25-tf-{BLOCK_DOCS}-{mark or uuid.uuid4().hex}"
     if mark and _exists(spark, f"{folder}/stats/_SUCCESS"):
         n, mean, buckets = spark.read.parquet(f"{folder}/stats").first()
         return Index(folder, n, mean, pattern, id_col, buckets)
     return build(docs, folder if not mark or not _exists(spark, folder) else f"{folder}-{uuid.uuid4().hex}", id_col, text_col, pattern)
 
 
-def search(index: Index, queries: DataFrame, k: int = 10, query_col: str = "item_id", text_col: str = "text", at_once: int = SUMMED_AT_ONCE) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int = 10, query_col: str = "item_id", text_col: str = "text", at_once: int | None = None) -> DataFrame:
     """(query_col, rank, id_col, score): the k best documents of each query, scores at nine places, ties to the smaller id.
 
     Only positive scores count; a token that a query repeats counts as often. Queries
-    without a known token have no row. Results don't depend on ``at_once``.
+    without a known token have no row. Where more than ``at_once`` postings would be
+    summed, blocks that can't hold one of the k best are left out; results don't depend on it.
     """
     spark = queries.sparkSession
     kind = queries.schema[query_col].dataType.simpleString()
@@ -128,23 +144,30 @@ def search(index: Index, queries: DataFrame, k: int = 10, query_col: str = "item
     strong = W.partitionBy("q").orderBy(F.desc(F.col("f") * F.col("top")), "token").rowsBetween(W.unboundedPreceding, -1)
     known = asked.join(index.terms(spark), "token").withColumn("f", idf * F.col("qn")).withColumn("before", F.coalesce(F.sum("df").over(strong), F.lit(0)))
     known = cut_lineage(known.select("q", _bucket(F.col("token"), index.buckets).alias("bucket"), "token", "f", "before", "df"))
-    postings = index.postings(spark)
+    n_known, n_postings = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("df"), F.lit(0))).first()
+    sent = lambda df: F.broadcast(df) if n_known <= FEW_TOKENS else df
+    keys = ["bucket", "token"]
+    # All of a block meets in one task before queries multiply it, and stays there until its best are chosen.
+    tasks = max(parts(spark), min(-(-n_postings // TASK_POSTINGS), -(-index.n // BLOCK_DOCS)))
+    wanted = index.postings(spark).join(sent(known.select(*keys).distinct()), keys, "left_semi")
+    dealt = wanted.select(*keys, "block", "id", index.weight().alias("w")).repartition(tasks, "block")
 
     def scored(rows: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
-        """(q, id, s): sums of weights by the tokens in ``rows``, over all blocks or those (q, block)."""
-        met = rows.join(postings.select("bucket", "token", "block", "posts"), ["bucket", "token"])
+        """(q, block, id, s): sums of weights by the tokens in ``rows``, over all blocks or those (q, block)."""
+        met = dealt.join(sent(rows.select("q", *keys, "f")), keys)
         met = met if blocks is None else met.join(blocks, ["q", "block"], "left_semi")
-        return met.select("q", "f", F.explode("posts").alias("p")).groupBy("q", F.col("p.id").alias("id")).agg(F.sum(F.col("f") * F.col("p.w")).alias("s"))
+        return met.groupBy("q", "block", "id").agg(F.sum(F.col("f") * F.col("w")).alias("s"))
 
     def worth_summing() -> DataFrame:
         """(q, block) of the blocks that may hold one of the k best."""
         # The k-th best of some tokens' sums can't be above the k-th best score.
         some = scored(known.where(F.col("before") < FIRST_POSTINGS)).withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("s")))).where(F.col("r") <= k)
         least = some.groupBy("q").agg((F.when(F.count(F.lit(1)) == k, F.min("s")).otherwise(F.lit(0.0)) - SLACK).alias("least"))
-        highest = known.join(postings.select("bucket", "token", "block", "bound"), ["bucket", "token"]).groupBy("q", "block").agg(F.sum(F.col("f") * F.col("bound")).alias("most"))
+        bounds = dealt.groupBy(*keys, "block").agg(F.max("w").alias("bound"))
+        highest = bounds.join(sent(known), keys).groupBy("q", "block").agg(F.sum(F.col("f") * F.col("bound")).alias("most"))
         return highest.join(least, "q").where("most >= least").select("q", "block")
 
-    few = (known.agg(F.sum("df")).first()[0] or 0) <= at_once
+    few = at_once is None or n_postings <= at_once
     whole = scored(known, None if few else worth_summing()).select("q", "id", F.round("s", PLACES).alias("score")).where("score > 0")
     ranked = whole.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)
     return ranked.select(F.col("q").alias(query_col), "rank", F.col("id").alias(index.id_col), "score")

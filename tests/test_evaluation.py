@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions.windows import ordered
+from barloom.functions import shared
 from barloom.operators import chunks, evaluation, inverted, metrics, retrieval, text
 from barloom.sources import bars, samples
 
@@ -160,3 +161,21 @@ def test_skipping_blocks_loses_nothing(spark, monkeypatch, tmp_path):
     docs.limit(10).union(docs).write.parquet(str(tmp_path / "e"))
     assert inverted.index_of(spark.read.parquet(str(tmp_path / "e"))).n == 410
     assert inverted.index_of(docs.where("doc_id < 50")).n == 50  # a part of the files isn't the files
+
+
+def test_bm25_postings_stay_with_their_blocks(spark, tmp_path):
+    docs = [(i, " ".join("abcdefg"[: i % 7]) + " b b" * (i % 3)) for i in range(300)]
+    spark.createDataFrame([*docs, (300, None), (301, "...")], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    index = inverted.index_of(spark.read.parquet(str(tmp_path / "d")))
+    want = {(i, w, t.split().count(w), len(t.split())) for i, t in docs for w in t.split()}
+    assert {(r.id, r.token, r.tf, r.len) for r in index.postings(spark).collect()} == want  # counted in each row
+    found = inverted.search(index, spark.createDataFrame([(1, "b d"), (2, "f")], "item_id long, text string"), 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    # Postings by block once, then the best of each query; no join or sum shuffles (query, document).
+    assert sum("hashpartitioning(q#" in x for x in dealt) == 1 and sum("hashpartitioning(block#" in x for x in dealt) == 1 and "SortMergeJoin" not in plan and not any("id#" in x for x in dealt)
+
+
+def test_hits_are_sent_to_the_documents(spark):
+    hits = spark.range(20).withColumnRenamed("id", "doc_id").repartition(3)
+    assert "BroadcastHashJoin" in shared.sent_if_few(hits).join(spark.range(10**7).withColumnRenamed("id", "doc_id"), "doc_id")._jdf.queryExecution().executedPlan().toString()

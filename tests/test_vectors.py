@@ -1,7 +1,9 @@
 """Exact vector search against brute force, on clustered, random and odd vectors."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as spark_types
 
 from barloom.operators import vectors
 
@@ -52,3 +54,23 @@ def test_small_and_empty_tables(spark):
     assert found(spark, [(1, [0.0, 0.0]), (2, [0.0, 0.0])], [2], 3) == [(2, 1, 1, 0.0)]
     none = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert vectors.vector_top(none, none).count() == 0
+
+
+def test_python_holds_slices(monkeypatch):
+    """A batch of queries that visits every cell is given out by slices of bounded size, whole and in order."""
+    monkeypatch.setattr(vectors, "HELD", 20_000)
+    rng = np.random.default_rng(5)
+    cells = vectors.Cells(vectors._unit(rng.normal(size=(50, 8))), np.array([3] * 50 + [0]), np.full(51, 3.0))
+
+    class Asked:
+        schema = spark_types.StructType.fromDDL("id long, v array<double>, least double")
+
+        def mapInArrow(self, run, _):
+            return run
+
+    v = rng.normal(size=(3000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(v.tolist(), pa.list_(pa.float64())), pa.array([-2.0] * 3000)], names=["id", "v", "least"])
+    first, later = (list(f(Asked(), cells, 5)(iter([batch]))) for f in (vectors.first_visits, vectors.later_visits))
+    assert max(b.num_rows * 8 for b in first + later) <= 20_000
+    seen = [(i, c) for b in first + later for i, c in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+    assert len(seen) == len(set(seen)) == 3000 * 50 and [i for b in first for i in b.column(0).to_pylist()] == sorted(i for b in first for i in b.column(0).to_pylist())

@@ -1,4 +1,4 @@
-"""Chunks of texts, as Catalyst expressions over each row: nothing is shuffled and no Python runs.
+"""Chunks of texts, as Catalyst expressions over each row: no Python runs, and at most the documents are dealt anew.
 
 Pieces are packed by folds over arrays. ``let`` gives a value a name within an
 expression, so that it is made once.
@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.shared import numbered
+from barloom.functions.shared import numbered, parts
 
 # Ends of sentences, separators from coarse to fine, clause headings at a line's start in any case.
 SENTENCE_END = r"(?<=[.!?。！？；\n])\s*"
@@ -98,33 +98,33 @@ def bigrams(text: Column) -> Column:
 
 
 def _codes(text: Column) -> Column:
-    """Bigrams as numbers."""
+    """Bigrams as numbers, sorted."""
     pairs = lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda x, y: x.cast("long") * 0x110000 + y)
     points = F.transform(F.filter(F.split(F.lower(text), ""), lambda x: x != ""), F.ascii)
-    return let(points, lambda c: F.when(F.size(c) > 1, pairs(c)).otherwise(F.array().cast("array<bigint>")))
+    return let(points, lambda c: F.when(F.size(c) > 1, F.sort_array(pairs(c))).otherwise(F.array().cast("array<bigint>")))
 
 
-def _likeness(a: Column, b: Column) -> Column:
-    """Cosine of the counts of two arrays of numbers, 0 if one is empty: one pass over both, sorted together.
+def _squares(codes: Column) -> Column:
+    """Sum of the squared counts of a sorted array's numbers: only places where a new number starts are folded."""
+    starts = lambda s: F.filter(F.transform(s, lambda _, i: i), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+    counts = lambda s, b: F.transform(b, lambda i, j: (F.coalesce(F.get(b, j + 1), F.size(s)) - i).cast("bigint"))
+    return let(codes, lambda s: let(starts(s), lambda b: F.aggregate(counts(s, b), F.lit(0).cast("bigint"), lambda x, n: x + n * n)))
 
-    The last bit of a tagged number says whose it is; counts, squares and products
-    grow number by number.
-    """
-    merged = F.sort_array(F.concat(F.transform(a, lambda x: x * 2), F.transform(b, lambda x: x * 2 + 1)))
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(F.lit(-1).cast("bigint").alias("k"), *[zero.alias(n) for n in ("ca", "cb", "dot", "aa", "bb")])
 
-    def step(s: Column, x: Column) -> Column:
-        same, second = F.shiftright(x, 1) == s["k"], x.bitwiseAND(F.lit(1).cast("bigint"))
-        ca, cb = F.when(same, s["ca"]).otherwise(zero), F.when(same, s["cb"]).otherwise(zero)
-        first = 1 - second
-        return F.struct(
-            F.shiftright(x, 1).alias("k"), (ca + first).alias("ca"), (cb + second).alias("cb"), (s["dot"] + F.when(second == 1, ca).otherwise(cb)).alias("dot"),
-            (s["aa"] + first * (2 * ca + 1)).alias("aa"), (s["bb"] + second * (2 * cb + 1)).alias("bb"),
-        )
+def _counted(text: Column) -> Column:
+    """(codes, squares) of a text."""
+    return let(_codes(text), lambda c: F.struct(c.alias("codes"), _squares(c).alias("squares")))
+
 
-    made = lambda s: F.coalesce(F.try_divide(s["dot"].cast("double"), F.sqrt((s["aa"] * s["bb"]).cast("double"))), F.lit(0.0))
-    return F.aggregate(merged, start, step, made)
+def _likeness(a: Column, b: Column) -> Column:
+    """Cosine of the bigram counts of two ``_counted`` texts, 0 if one has none.
+
+    The squared counts of both together, less those of each, are twice the product;
+    two sorted arrays are sorted together in one pass.
+    """
+    both = _squares(F.sort_array(F.concat(a["codes"], b["codes"])))
+    dot = F.shiftright(both - a["squares"] - b["squares"], 1)
+    return F.coalesce(F.try_divide(dot.cast("double"), F.sqrt((a["squares"] * b["squares"]).cast("double"))), F.lit(0.0))
 
 
 def semantic_cut(text: Column, threshold: float = 0.5, least: int = 50, most: int = 1000) -> Column:
@@ -136,7 +136,7 @@ def semantic_cut(text: Column, threshold: float = 0.5, least: int = 50, most: in
     """
 
     def grouped(s: Column) -> Column:
-        coded = F.transform(s, _codes)
+        coded = F.transform(s, _counted)
         begins = lambda c: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (_likeness(F.get(c, i - 1), F.get(c, i)) < threshold))
         joined = lambda b: F.transform(b, lambda i, k: F.array_join(F.slice(s, i + 1, F.coalesce(F.get(b, k + 1), F.size(s)) - i), " "))
         return let(let(coded, begins), joined)
@@ -172,7 +172,11 @@ def recursive_split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def semantic_split(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """(id, pos, chunk) by :func:`semantic_cut`."""
+    """(id, pos, chunk) by :func:`semantic_cut`, whose folds take long: a few files keep all cores busy."""
+    spark = docs.sparkSession
+    docs = docs.select(id_col, text_col)
+    if docs.rdd.getNumPartitions() < 4 * spark.sparkContext.defaultParallelism:
+        docs = docs.repartition(max(parts(spark), 4 * spark.sparkContext.defaultParallelism))
     return _exploded(docs, id_col, semantic_cut(F.col(text_col), **how))
 
 

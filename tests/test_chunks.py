@@ -197,3 +197,13 @@ def test_bigram_vectors(spark):
         got.setdefault(r.k, {})[r.bucket] = r.weight
     place = lambda b: int(hashlib.md5(b.encode()).hexdigest()[:8], 16) % 64
     assert got[1] == pytest.approx({place("ab"): 2 / 5**0.5, place("ba"): 1 / 5**0.5}) and got[4] == {place("àà"): 1.0} and set(got) == {1, 4}
+
+
+def test_likeness_by_squared_counts(spark):
+    """Counts are squared once for each text, and once for each two neighbours together."""
+    texts = [("", "ab"), ("a", "ab"), ("abab abab", "bab aba"), ("Hello hello", "hello there"), ("aaaa", "aaaaaaa"), ("xyz", "abc")]
+    df = spark.createDataFrame(texts, "a string, b string")
+    for r in df.select("a", "b", chunks._squares(chunks._codes(F.col("a"))).alias("n"), chunks._likeness(chunks._counted(F.col("a")), chunks._counted(F.col("b"))).alias("s")).collect():
+        p, q = (Counter(zip(x.lower(), x.lower()[1:])) for x in (r.a, r.b))
+        aa, bb = (sum(n * n for n in c.values()) for c in (p, q))
+        assert r.n == aa and r.s == (sum(n * q[g] for g, n in p.items()) / math.sqrt(aa * bb) if aa and bb else 0.0)

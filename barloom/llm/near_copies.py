@@ -131,6 +131,8 @@ def _fingerprinted(base: DataFrame, width: tuple[int, int]) -> DataFrame:
 
 #: Sizes of the filters that keep what surely isn't needed from being shuffled; primes, whatever the corpus.
 FILTERS = (134_217_689, 134_217_593)
+#: Parts in which the driver fetches a filter's bits.
+FETCHES = 16
 
 
 class _Bits:
@@ -148,9 +150,9 @@ class _Bits:
 def _filter(values: DataFrame, column: str):
     """Bits for each value's remainders by two primes, for the tasks: 32 MB at most. What passes is checked by a join."""
     each = values.select(F.explode(F.array(*[F.struct(F.lit(i).alias("f"), (F.pmod(column, F.lit(p)) + 1).alias("place")) for i, p in enumerate(FILTERS)])).alias("x")).select("x.*")
-    rows = each.select("f", F.bitmap_bucket_number("place").alias("b"), F.bitmap_bit_position("place").alias("p")).groupBy("f", "b").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
+    rows = each.select("f", F.bitmap_bucket_number("place").alias("b"), F.bitmap_bit_position("place").alias("p")).groupBy("f", "b").agg(F.bitmap_construct_agg("p").alias("bits"))
     found = np.zeros((2, max(FILTERS) // 32768 + 2, 4096), np.uint8)
-    for r in rows:
+    for r in rows.repartition(FETCHES).toLocalIterator():  # some MB at a time, where collecting holds all of it several times over
         found[r.f, r.b] = np.frombuffer(r.bits, np.uint8)
     return values.sparkSession.sparkContext.broadcast(_Bits(found))
 

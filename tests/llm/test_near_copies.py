@@ -119,3 +119,16 @@ def test_empty_and_very_long(spark, tmp_path):
     long = " ".join(f"w{i}" for i in range(100_000))
     kept = near_copies.keep_first(spark.createDataFrame([(2, long, "x"), (1, long + " end", "x"), (3, "a b", "y"), (4, "a b c", "z")], schema))
     assert sorted(map(tuple, kept.collect())) == [(1, long + " end", "x"), (3, "a b", "y"), (4, "a b c", "z")]
+
+
+def test_filters_reach_the_driver_in_parts(spark, monkeypatch):
+    values = [7, 123_456_789_012, -5, 134_217_688]
+    df = spark.createDataFrame([(v,) for v in values], "node long")
+
+    def whole(self):
+        raise AssertionError("a filter is collected whole")
+
+    monkeypatch.setattr(type(df), "collect", whole)
+    bits = near_copies._filter(df, "node").value.bits()
+    assert near_copies._passes(bits, np.array(values)).all() and not near_copies._passes(bits, np.array([8, 9, 10])).any()
+    assert np.unpackbits(bits).sum() == 2 * len(values)

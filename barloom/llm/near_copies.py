@@ -55,6 +55,8 @@ MAX_BITS = 105
 BLOCK, TOGETHER = 2048, 256
 SEED = 42
 CHUNK = 4096
+#: Texts that a worker takes out of a batch at once, and fingerprints whose values it holds at once.
+FEW, PRINTS = 64, 256
 _rng = np.random.default_rng(SEED)
 FACTORS, SHIFTS = (_rng.integers(0, 1 << 63, (2, LANES), dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
@@ -116,14 +118,19 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *rows])))
 
 
+def _each_words(texts: pa.Array) -> Iterator[list[bytes]]:
+    """Words of one text after another; those of a whole batch take some ten times its bytes."""
+    for at in range(0, len(texts), FEW):
+        yield from map(_words, texts.slice(at, FEW).to_pylist())
+
+
 def _fingerprinted(base: DataFrame, width: tuple[int, int]) -> DataFrame:
     """(id, node, fp, places)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [_words(t) for t in batch.column(1).to_pylist()]
-            made = [entry(margins(shingles(w)), width) for w in texts]
-            columns = [pa.array([_node(w) for w in texts], pa.int64()), _lists([m[0] for m in made]), pa.array([m[1].tobytes() for m in made], pa.binary())]
+            made = [(_node(w), *entry(margins(shingles(w)), width)) for w in _each_words(batch.column(1))]
+            columns = [pa.array([m[0] for m in made], pa.int64()), _lists([m[1] for m in made]), pa.array([m[2].tobytes() for m in made], pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["id", "node", "fp", "places"])
 
     return base.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, node long, fp array<long>, places binary")
@@ -143,7 +150,7 @@ class _Bits:
 
     def bits(self) -> np.ndarray:
         if self.opened is None:
-            self.opened = np.frombuffer(zlib.decompress(self.packed), np.uint8).reshape(self.shape)
+            self.opened, self.packed = np.frombuffer(zlib.decompress(self.packed), np.uint8).reshape(self.shape), None
         return self.opened
 
 
@@ -172,8 +179,8 @@ def _entered(nodes: DataFrame, width: tuple[int, int], wanted=None, *more: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
+            for at in range(0, whole.num_rows, PRINTS):
+                batch = whole.slice(at, PRINTS)
                 words = batch.column(1).flatten().to_numpy().reshape(-1, LANES)
                 places = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8)
                 made = keys(words, places, width, ball)[:, segments]
@@ -191,13 +198,15 @@ def _sets(base: DataFrame, wanted) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            texts = [_words(t) for t in batch.column(0).to_pylist()]
-            nodes = np.array([_node(w) for w in texts], np.int64)
+            nodes = np.fromiter(map(_node, _each_words(batch.column(0))), np.int64, batch.num_rows)
             firsts = np.sort(np.unique(nodes, return_index=True)[1])
             kept = firsts[_passes(wanted.value.bits(), nodes[firsts])]
             kept = kept[[n not in seen for n in nodes[kept].tolist()]] if len(kept) else kept
             seen.update(nodes[kept].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[kept]), _lists([shingles(texts[i]).view(np.int64) for i in kept.tolist()])], names=["node", "s"])
+            for at in range(0, len(kept), FEW):
+                some = kept[at : at + FEW]
+                sets = [shingles(w).view(np.int64) for w in _each_words(batch.column(0).take(pa.array(some)))]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[some]), _lists(sets)], names=["node", "s"])
 
     return base.select("text").mapInArrow(run, "node long, s array<long>")
 

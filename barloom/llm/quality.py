@@ -187,7 +187,9 @@ def fit(
     h = got.column("h").to_numpy()
     sort = np.argsort(h, kind="stable")
     y = got.column("y").to_numpy(zero_copy_only=False)[sort]
-    x = [np.stack(got.column(c).to_pylist()).astype(np.float64)[sort] if got.num_rows else np.zeros((0, w)) for c, w in (("a", TEXT_WIDTH), ("b", META_WIDTH))]
+    # As they lie in memory: a list of Python floats would take eight times that.
+    x = [got.column(c).combine_chunks().flatten().to_numpy().reshape(-1, w)[sort].astype(np.float64) for c, w in (("a", TEXT_WIDTH), ("b", META_WIDTH))]
+    del got
     known = ~np.isnan(y)
     return co_train((x[0][known], x[1][known]), y[known], (x[0][~known], x[1][~known]), rounds)
 

@@ -159,3 +159,21 @@ def test_very_long_text(spark):
     docs, labels = corpus(40)
     d, l = frames(spark, [*docs, (900, "word " * 400_000, "en", "s", 0, "x")], labels)
     assert quality.quality_report(d, l).where("doc_id = 900 and score is not null").count() == 1
+
+
+def test_features_reach_the_driver_without_lists_of_floats(spark, monkeypatch):
+    """The driver holds the sample as numbers, some 12 bytes each; before, each was a Python float in a list, 32 bytes and more."""
+    import tracemalloc
+
+    n = 3000
+    docs = spark.createDataFrame([(i, f"some text {i}", "en", "s") for i in range(n)], "doc_id long, text string, lang string, source string").repartition(3)
+    labels = spark.createDataFrame([(i, float(i % 2)) for i in range(0, n, 2)], "doc_id long, quality double")
+    given = []
+    monkeypatch.setattr(quality, "co_train", lambda x, y, pool, rounds: given.extend((x, y, pool)))
+    tracemalloc.start()
+    quality.fit(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    x, y, pool = given
+    assert len(y) == len(x[0]) == n // 2 and x[0].dtype == np.float64 and sum(map(len, (x[0], pool[0]))) == n
+    assert peak < n * (quality.TEXT_WIDTH + quality.META_WIDTH) * 30

@@ -10,17 +10,19 @@ block. Then
 3. each block joins them to its documents by position: bucketing lets this
    happen where the documents lie, so texts are never shuffled.
 
-Decoding is a join: each id of each document is a row, which finds its piece in the
-vocabulary's table of ids and pieces. That table is as large as the vocabulary,
-whatever the corpus, so it is broadcast once its size is known to be small; rows keep
-their order then, and are put together again where they are.
+Decoding is a join: each id is a row, which finds its piece in the vocabulary's table
+of ids and pieces. That table is as large as the vocabulary, whatever the corpus, so
+it is broadcast once its size is known to be small; rows keep their order then, and
+are put together again where they are. ``decode`` joins every id of every row. For the
+report, whose ids come from blocks, the distinct ids of a block's words are joined
+once a task, and what they decode to goes back to the documents by position, as ids do.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import itertools
+import json
 import uuid
 import zlib
 from array import array
@@ -84,10 +86,12 @@ def listed_in(data: bytes) -> list[str]:
     return zlib.decompress(data).decode("utf-8", "surrogatepass").split("\n")
 
 
-def word_table(blocks: DataFrame, vocabulary: str) -> DataFrame:
+def word_table(blocks: DataFrame, vocabulary: str, tokens_too: bool = False) -> DataFrame:
     """(block, words, ids): for each block its distinct words and their ids, in several rows.
 
-    Both columns are compressed lists, since they are what is shuffled.
+    Both columns are compressed lists, since they are what is shuffled. With
+    ``tokens_too`` (block, words, ids, token): before and in each such row, the ids
+    that its task hasn't listed yet, one a row; if there are none, any of its ids.
     """
     parts = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -114,6 +118,7 @@ def word_table(blocks: DataFrame, vocabulary: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, str] = {}  # of the distinct words dealt to this task
+        met: set[str] = set()  # ids listed by it
         tokenizer = tokens.library_tokenizer(vocabulary)
         for batch in batches:
             for k in range(batch.num_rows):
@@ -125,11 +130,20 @@ def word_table(blocks: DataFrame, vocabulary: str) -> DataFrame:
                     part = new[at : at + 20_000]
                     for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                         known[w] = " ".join(map(str, e.ids))
-                ids = squeezed([known[w] for w in words])
-                yield pa.RecordBatch.from_arrays([batch.column(1)[k : k + 1], batch.column(2)[k : k + 1], pa.array([ids], pa.binary())], names=["block", "words", "ids"])
+                made = [known[w] for w in words]
+                ids = pa.array([squeezed(made)], pa.binary())
+                if not tokens_too:
+                    yield pa.RecordBatch.from_arrays([batch.column(1)[k : k + 1], batch.column(2)[k : k + 1], ids], names=["block", "words", "ids"])
+                    continue
+                each = set(" ".join(made).split())
+                new = [int(i) for i in each - met or [*each][:1]] or [None]
+                met |= each
+                none = pa.nulls(len(new) - 1, pa.binary())
+                lists = [pa.concat_arrays([none, x]) for x in (batch.column(2)[k : k + 1].cast(pa.binary()), ids)]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(1)[k].as_py()] * len(new), pa.int64()), *lists, pa.array(new, pa.int32())], names=["block", "words", "ids", "token"])
 
     listed = blocks.select("block", "text").mapInArrow(distinct, "p int, block long, words binary")
-    return listed.repartition(parts, "p").mapInArrow(encode, "block long, words binary, ids binary")
+    return listed.repartition(parts, "p").mapInArrow(encode, "block long, words binary, ids binary" + ", token int" * tokens_too)
 
 
 def pieces(vocabulary: str) -> list[str]:
@@ -196,21 +210,6 @@ def with_pieces(encoded: DataFrame, ids_col: str, vocabulary: str) -> DataFrame:
     return each.repartition("row").sortWithinPartitions("row", "pos").select("id", "pos", "token", "piece")
 
 
-@functools.cache
-def _numbers(n: int = 1 << 16) -> pa.Array:
-    return pa.array(map(str, range(n)), pa.string())
-
-
-def _written(column: pa.Array) -> pa.Array:
-    """Texts as they are, numbers in digits; small ones from a table, which is quicker than writing each."""
-    if not pa.types.is_integer(column.type):
-        return column
-    least, most = pc.min_max(column).values()
-    if least.as_py() is not None and least.as_py() >= 0 and most.as_py() < len(_numbers()):
-        return _numbers().take(column)
-    return column.cast(pa.string())
-
-
 def put_together(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[pa.Scalar, int, list[list[str]]]]:
     """For each document of a stream of rows by ``with_pieces`` its id, its number of ids and, for each of ``columns``, the texts to be joined by one space."""
     current: list | None = None
@@ -225,7 +224,7 @@ def put_together(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) ->
         before = np.concatenate([[current[1] - 1 if current else -1], pos[:-1]])
         if (pos[inside] != before[inside] + 1).any():
             raise RuntimeError("rows of a document's ids are out of order")
-        lists = lambda c: pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pc.fill_null(_written(batch.column(c)), ""))  # noqa: E731, B023
+        lists = lambda c: pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pc.fill_null(batch.column(c), ""))  # noqa: E731, B023
         said = [pc.binary_join(lists(c), " ").to_pylist() for c in columns]
         for k, (at, end) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
             if pos[at] <= 0:
@@ -262,21 +261,61 @@ def _batched(items: Iterator, most: int = 256) -> Iterator[list]:
         yield some
 
 
+def words_with_pieces(blocks: DataFrame, vocabulary: str) -> DataFrame:
+    """(block, words, ids, pieces): ``word_table`` and the pieces of the distinct ids of each row, found by a join."""
+    table, size = piece_table(blocks.sparkSession, vocabulary)
+    rows = word_table(blocks, vocabulary, tokens_too=True)
+    if size <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(table), "token", "left")
+    else:  # rows of a task are put in order again
+        joined = rows.withColumn("row", F.monotonically_increasing_id()).join(table, "token", "left")
+        joined = joined.repartition(F.shiftright("row", 33)).sortWithinPartitions("row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, str] = {}  # of this task; as large as the vocabulary at most
+        for batch in batches:
+            found.update(zip(map(str, batch.column("token").to_pylist()), pc.fill_null(batch.column("piece"), "").to_pylist()))
+            for k in np.flatnonzero(batch.column("words").is_valid().to_numpy(zero_copy_only=False)).tolist():
+                each = set(" ".join(listed_in(batch.column("ids")[k].as_py())).split())
+                data = zlib.compress(json.dumps({i: found[i] for i in each}).encode(), 3)  # a KeyError if rows were out of order
+                yield pa.RecordBatch.from_arrays([*(batch.column(c)[k : k + 1] for c in ("block", "words", "ids")), pa.array([data], pa.binary())], names=["block", "words", "ids", "pieces"])
+
+    return joined.select("block", "words", "ids", "token", "piece").mapInArrow(run, "block long, words binary, ids binary, pieces binary")
+
+
 def round_trip_report(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """One row per document: number of ids, digest of the ids, digest of what they decode to.
 
-    Ids are made by ``encode`` and decoded by the join of ``decode``. Rows are treated
-    as there: every row gives one, null text as empty text, an empty table an empty
-    result.
+    Ids are made as by ``encode``; the distinct ids of each block's words are joined
+    to their pieces. Rows are treated as there: every row gives one, null text as
+    empty text, an empty table an empty result.
     """
-    digest = lambda texts: hashlib.sha256(" ".join(texts).encode("utf-8", "surrogatepass")).hexdigest()
+    path = vocabulary or tokens.default_vocabulary()
+    if not tokens.fits(path):
+        raise ValueError(f"tokens of {path} may cross white space or depend on case")
+    blocks = blocked(docs, "doc_id", "text")
+    digest = lambda text: hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in _batched(put_together(batches, ("token", "piece"))):
-            columns = [pa.array([n for _, n, _ in some], pa.int64()), *(pa.array([digest(x[c]) for *_, x in some], pa.string()) for c in (0, 1))]
-            yield pa.RecordBatch.from_arrays([pa.array([i.as_py() for i, *_ in some], kind), *columns], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    encoded = encode(docs, vocabulary=vocabulary).withColumnRenamed("doc_id", "id")
-    kind = to_arrow_type(encoded.schema["id"].dataType)
-    joined = with_pieces(encoded, "ids", vocabulary or tokens.default_vocabulary())
-    return joined.mapInArrow(run, f"id {encoded.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", "doc_id")
+    def assemble(mine: pa.Table, table: pa.Table) -> pa.Table:
+        written: dict[str, str] = {}  # each word's ids in digits
+        decoded: dict[str, str] = {}
+        for words, ids, found in zip(*(table.column(c).to_pylist() for c in ("words", "ids", "pieces")), strict=True):
+            piece = json.loads(zlib.decompress(found))
+            for w, i in zip(listed_in(words), listed_in(ids), strict=True):
+                written[w], decoded[w] = i, " ".join(map(piece.__getitem__, i.split()))
+        without = {w for w, i in written.items() if not i}
+        made = []
+        for chunk in mine.column("text").chunks:
+            for at in range(0, len(chunk), 256):
+                for t in chunk[at : at + 256].to_pylist():
+                    words = words_of(t)
+                    if without:
+                        words = [w for w in words if w not in without]
+                    ids = " ".join(map(written.__getitem__, words))
+                    made.append((ids.count(" ") + 1 if ids else 0, digest(ids), digest(" ".join(map(decoded.__getitem__, words)))))
+        columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+        return pa.Table.from_arrays([mine.column("id"), *columns], names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = blocks.schema["id"].dataType.simpleString()
+    joined = blocks.groupBy("block").cogroup(words_with_pieces(blocks, path).groupBy("block"))
+    return joined.applyInArrow(assemble, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", "doc_id")

@@ -66,3 +66,24 @@ def test_very_long_text_and_no_tables_left(spark):
     ids, decoded = library(text)
     assert (r.n_tokens, r.decoded_sha256) == (len(ids), hashlib.sha256(decoded.encode()).hexdigest())
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_report_joins_distinct_ids_and_not_every_id(spark, monkeypatch):
+    """By broadcast or by a shuffle, with blocks of few documents and batches of few rows; before, each id of each document was a row."""
+    docs, results = make(spark), []
+    monkeypatch.setattr(bpe, "BLOCK_DOCS", 3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for most in (bpe.BROADCAST_BYTES, 0):
+            monkeypatch.setattr(bpe, "BROADCAST_BYTES", most)
+            made = bpe.round_trip_report(docs)
+            plan = made._jdf.queryExecution().optimizedPlan().toString()
+            assert "Join LeftOuter" in plan and "Generate" not in plan
+            results.append(sorted(map(tuple, made.collect()), key=str))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert results[0] == results[1]
+    got = {r[0]: r[1:] for r in results[0]}
+    for i, t in enumerate(TEXTS):
+        ids, decoded = library(t)
+        assert got[i] == (len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), decoded)))

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import cut_lineage, text_or_empty
-from barloom.llm.components import components
+from barloom.llm.components import Joined, components
 
 WIDTH, LEAST = 5, 0.8
 #: Bits of the fingerprint; bits of a segment and narrow ones among them, up to so many texts.
@@ -264,26 +264,6 @@ def _still_apart(nodes: DataFrame, labels: DataFrame, width: tuple[int, int], wa
     return _entered(marked, width, _filter(mixed, "key"), "root", "cloud", segments=segments).join(mixed, "key").select("key", "node", "own", "root", "cloud", "n")
 
 
-class _Joined:
-    """Which items belong together, by the smallest of each set."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def top(self, x: int) -> int:
-        while (y := self.up.get(x, x)) != x:
-            self.up[x] = self.up.get(y, y)
-            x = y
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        """Whether x and y were apart until now."""
-        x, y = self.top(x), self.top(y)
-        if x != y:
-            self.up[max(x, y)] = min(x, y)
-        return x != y
-
-
 def _close(fp: np.ndarray, may: Callable[[slice], np.ndarray], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of pairs, the first before the second, that may be compared and are at most so many bits apart."""
     for at in range(0, len(fp), 128):
@@ -358,7 +338,7 @@ def _clouds(apart: DataFrame, nodes: DataFrame) -> DataFrame:
     cells = _dealt(apart, F.col("n"), "key").join(nodes.select("node", "fp"), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined = _Joined()
+        joined = Joined()
         for table, same in _by_cell(batches, ["key", "i", "j"], TOGETHER):
             node, own, root, cloud, side = (table.column(c).to_numpy() for c in ("node", "own", "root", "cloud", "side"))
             may = lambda r: (same[r, None] == same[None]) & (root[r, None] != root[None]) & (cloud[r, None] != cloud[None]) & (own[r, None] | own[None]) & _sides_meet(side, r)  # noqa: E731, B023
@@ -381,7 +361,7 @@ def _linked(clouds: DataFrame, labels: DataFrame, nodes: DataFrame, base: DataFr
     cells = _dealt(members, F.col("n"), "cloud").join(nodes.select("node", "fp"), "node").join(sets, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        joined = _Joined()
+        joined = Joined()
         for table, same in _by_cell(batches, ["cloud", "i", "j"], TOGETHER):
             node, root, side = (table.column(c).to_numpy() for c in ("node", "root", "side"))
             lists = table.column("s").combine_chunks()

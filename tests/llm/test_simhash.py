@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from barloom.llm import components, simhash
@@ -73,6 +74,34 @@ def test_long_chain_is_one_component(spark):
     assert got == {**{i: 0 for i in range(1, 301)}, 501: 500}
 
 
+@pytest.mark.parametrize("lot", [0, 40, components.LOT])
+def test_components_at_once_and_by_rounds(spark, monkeypatch, lot):
+    monkeypatch.setattr(components, "LOT", lot)
+    rng = np.random.default_rng(3)
+    pairs = [(int(x), int(y)) for x, y in rng.integers(-200, 200, (150, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
+    joined = {x: {x} for p in pairs for x in p}
+    for x, y in pairs:
+        if joined[x] is not joined[y]:
+            joined[x] |= joined[y]
+            joined.update(dict.fromkeys(joined[y], joined[x]))
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(pairs * 2, "a long, b long")).collect()}
+    assert got == {x: min(of) for x, of in joined.items() if x != min(of)}
+
+
+def test_few_edges_take_few_tasks(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long").repartition(40).localCheckpoint()
+    context = spark.sparkContext
+    context.setJobGroup("few-edges", "")
+    try:
+        assert components.components(edges).count() == 100
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    told = context.statusTracker()
+    jobs = [told.getJobInfo(j) for j in told.getJobIdsForGroup("few-edges")]
+    # 40 write the edges and few read them; by rounds of stars it took 149
+    assert sum(told.getStageInfo(s).numCompletedTasks for s in {s for j in jobs for s in j.stageIds}) < 60
+
+
 def test_nulls_and_empty(spark):
     schema = "doc_id long, text string"
     assert simhash.simhash_report(spark.createDataFrame([], schema)).count() == 0

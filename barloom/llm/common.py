@@ -27,10 +27,25 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder; lost executors cannot lose it."""
+#: Narrow rows, and rows with a text's shingles, that one task writes where it is known about how many there are.
+NARROW_LOT, WIDE_LOT = 1 << 18, 1 << 13
+
+
+def tasks_for(spark: SparkSession, rows: int, lot: int = NARROW_LOT) -> int:
+    """Tasks for so many rows, one for each core at least."""
+    return max(1, spark.sparkContext.defaultParallelism, -(-rows // lot))
+
+
+def cut_lineage(df: DataFrame, rows: int | None = None, lot: int = NARROW_LOT) -> DataFrame:
+    """Materialise ``df`` in the shared folder; lost executors cannot lose it.
+
+    With ``rows``, about how many there are at most, no more tasks write than these
+    take. Every task writes a file and its checksum, and where Hadoop's native library
+    is missing an executor's process splits off a chmod for each of both, whose memory
+    is the executor's own once more until it has started.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.coalesce(tasks_for(df.sparkSession, rows, lot))).checkpoint(eager=True)
 
 
 def drop(spark: SparkSession, folder: str) -> None:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import cut_lineage
+from barloom.llm.common import cut_lineage, tasks_for
 
 #: Edges that one task joins by itself, in some 20 MB.
 LOT = 1 << 16
@@ -72,12 +72,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return down.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 60, rows: int | None = None) -> DataFrame:
     """``edges`` has columns a and b (long). Returns (node, root) for every node that isn't its own root.
 
     An empty edge table gives an empty result; repeated edges and loops are harmless.
+    With ``rows``, about how many edges there are at most, no more tasks write them than these take.
     """
-    now = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    # Shuffled, since what makes the edges is to keep its tasks.
+    now = cut_lineage(edges if rows is None else edges.repartition(tasks_for(edges.sparkSession, rows)))
     cores = max(1, edges.sparkSession.sparkContext.defaultParallelism)
     seen = None
     for _ in range(rounds):

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import cut_lineage, text_or_empty
+from barloom.llm.common import WIDE_LOT, cut_lineage, text_or_empty
 from barloom.llm.components import Joined, components
 
 WIDTH, LEAST = 5, 0.8
@@ -222,26 +222,26 @@ def _with(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
     return pairs
 
 
-def _verified(close: DataFrame, base: DataFrame) -> DataFrame:
+def _verified(close: DataFrame, base: DataFrame, n: int | None = None) -> DataFrame:
     """The pairs (a, b) whose sets of shingles are similar enough; sets are made of the texts of these pairs alone."""
-    met = cut_lineage(close.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    sets = cut_lineage(_sets(base, _filter(met, "node")).join(met, "node", "left_semi").dropDuplicates(["node"]))
+    met = cut_lineage(close.select(F.explode(F.array("a", "b")).alias("node")).distinct(), n)
+    sets = cut_lineage(_sets(base, _filter(met, "node")).join(met, "node", "left_semi").dropDuplicates(["node"]), n, WIDE_LOT)
     both = F.size(F.array_intersect("sa", "sb"))
     return _with(close, sets, "s").where(both >= LEAST * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+def _joined(labels: DataFrame, links: DataFrame, n: int | None = None) -> DataFrame:
     """``labels`` (node, root) after links between nodes."""
     roots = _with(links, labels, "root").select(F.col("roota").alias("a"), F.col("rootb").alias("b"))
-    top = components(roots).select(F.col("node").alias("root"), F.col("root").alias("top"))
-    return cut_lineage(labels.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+    top = components(roots, rows=n).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return cut_lineage(labels.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")), n)
 
 
-def _shared(nodes: DataFrame, width: tuple[int, int]) -> DataFrame:
+def _shared(nodes: DataFrame, width: tuple[int, int], n: int | None = None) -> DataFrame:
     """The entries of nodes under own values that several share; made a second time, so that what isn't shared is counted alone."""
     counted = _entered(nodes, width, ball=False).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    values = cut_lineage(counted.where("n > 1").select("key"))
-    return cut_lineage(_entered(nodes, width, _filter(values, "key"), ball=False).join(values, "key", "left_semi"))
+    values = cut_lineage(counted.where("n > 1").select("key"), n)
+    return cut_lineage(_entered(nodes, width, _filter(values, "key"), ball=False).join(values, "key", "left_semi"), n)
 
 
 def _apart(entries: DataFrame, labels: DataFrame) -> DataFrame:
@@ -251,7 +251,7 @@ def _apart(entries: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed, "key").select("key", "node", "own", "root", "n")
 
 
-def _still_apart(nodes: DataFrame, labels: DataFrame, width: tuple[int, int], wanted, segments: slice) -> DataFrame:
+def _still_apart(nodes: DataFrame, labels: DataFrame, width: tuple[int, int], wanted, segments: slice, n: int | None = None) -> DataFrame:
     """(key, node, own, root, cloud, n) of the entries, looked up ones too, under values of some segments whose nodes are of several roots and of several clouds (node, root, cloud).
 
     Nodes of one cloud are compared in any case, so what they have in common is
@@ -260,7 +260,7 @@ def _still_apart(nodes: DataFrame, labels: DataFrame, width: tuple[int, int], wa
     marked = nodes.join(labels, "node").select("node", "fp", "places", "root", "cloud")
     ends = [f(c).alias(f"{c}_{k}") for c in ("root", "cloud") for k, f in (("low", F.min), ("high", F.max))]
     counted = _entered(marked, width, wanted, "root", "cloud", segments=segments).groupBy("key").agg(*ends, F.max("own").alias("any"), F.count(F.lit(1)).alias("n"))
-    mixed = cut_lineage(counted.where("any and root_low < root_high and cloud_low < cloud_high").select("key", "n"))
+    mixed = cut_lineage(counted.where("any and root_low < root_high and cloud_low < cloud_high").select("key", "n"), n)
     return _entered(marked, width, _filter(mixed, "key"), "root", "cloud", segments=segments).join(mixed, "key").select("key", "node", "own", "root", "cloud", "n")
 
 
@@ -348,16 +348,16 @@ def _clouds(apart: DataFrame, nodes: DataFrame) -> DataFrame:
     return _sorted_cells(cells, "key", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def _linked(clouds: DataFrame, labels: DataFrame, nodes: DataFrame, base: DataFrame) -> DataFrame:
+def _linked(clouds: DataFrame, labels: DataFrame, nodes: DataFrame, base: DataFrame, n: int | None = None) -> DataFrame:
     """(a, b): edges that join what is similar enough within each cloud (node, cloud), found by exact comparison of all its nodes of different roots.
 
     The nodes of a cloud meet block by block, each with its set of shingles; edges follow the number of nodes.
     """
     members = clouds.join(labels, "node")
     several = members.groupBy("cloud").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("cloud", "n")
-    members = cut_lineage(members.join(several, "cloud").select("cloud", "node", "root", "n"))
+    members = cut_lineage(members.join(several, "cloud").select("cloud", "node", "root", "n"), n)
     met = members.select("node")
-    sets = cut_lineage(_sets(base, _filter(met, "node")).join(met, "node", "left_semi").dropDuplicates(["node"]))
+    sets = cut_lineage(_sets(base, _filter(met, "node")).join(met, "node", "left_semi").dropDuplicates(["node"]), n, WIDE_LOT)
     cells = _dealt(members, F.col("n"), "cloud").join(nodes.select("node", "fp"), "node").join(sets, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,35 +381,36 @@ def _linked(clouds: DataFrame, labels: DataFrame, nodes: DataFrame, base: DataFr
     return _sorted_cells(cells, "cloud", "i", "j").mapInArrow(run, "a long, b long")
 
 
-def _grown(edges: DataFrame | None, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _grown(edges: DataFrame | None, more: DataFrame, n: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Edges of clouds and ``more`` of them as a forest, and the clouds (node, cloud) that they make, of two nodes at least."""
-    tops = components(more if edges is None else edges.unionByName(more)).select("node", F.col("root").alias("cloud"))
+    tops = components(more if edges is None else edges.unionByName(more), rows=n).select("node", F.col("root").alias("cloud"))
     # A cloud's smallest node is no row of components().
-    clouds = cut_lineage(tops.unionByName(tops.select(F.col("cloud").alias("node"), "cloud").distinct()))
+    clouds = cut_lineage(tops.unionByName(tops.select(F.col("cloud").alias("node"), "cloud").distinct()), n)
     return tops.select(F.col("node").alias("a"), F.col("cloud").alias("b")), clouds
 
 
-def groups(nodes: DataFrame, base: DataFrame, width: tuple[int, int]) -> DataFrame:
-    """(node, root) for all ``nodes``; a root stands for its group. ``base`` holds the texts."""
+def groups(nodes: DataFrame, base: DataFrame, width: tuple[int, int], n: int | None = None) -> DataFrame:
+    """(node, root) for all ``nodes``, ``n`` at most where that is known; a root stands for its group. ``base`` holds the texts."""
+    entries = n and n * (TOTAL // width[0])
     wanted = _filter(_entered(nodes, width, ball=False), "key")
     labels = nodes.select("node", F.col("node").alias("root"))
 
-    alike = _shared(nodes, width)
-    for n in range(ROUNDS):
-        members = cut_lineage(_apart(alike, labels))
-        hubs = members.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(n))).alias("hub"))
+    alike = _shared(nodes, width, entries)
+    for k in range(ROUNDS):
+        members = cut_lineage(_apart(alike, labels), entries)
+        hubs = members.groupBy("key").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(k))).alias("hub"))
         starred = members.join(hubs, "key").where("root <> hub.root").select(F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
         stars = _with(starred, nodes, "fp").withColumn("d", _distance("fpa", "fpb"))
-        nearest = cut_lineage(stars.where(F.col("d") <= MAX_BITS).groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", "best.b"))
+        nearest = cut_lineage(stars.where(F.col("d") <= MAX_BITS).groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", "best.b"), n)
         if not nearest.take(1):
             break
-        labels = _joined(labels, _verified(nearest, base))
+        labels = _joined(labels, _verified(nearest, base, n), n)
 
-    edges, clouds = _grown(None, _clouds(_apart(alike, labels), nodes))
+    edges, clouds = _grown(None, _clouds(_apart(alike, labels), nodes), n)
     for first, last in zip(STEPS, (*STEPS[1:], TOTAL // width[0])):
-        marked = cut_lineage(labels.join(clouds, "node", "left").select("node", "root", F.coalesce("cloud", "node").alias("cloud")))
-        edges, clouds = _grown(edges, _clouds(_still_apart(nodes, marked, width, wanted, slice(first, last)), nodes))
-    return _joined(labels, _linked(clouds, labels, nodes, base))
+        marked = cut_lineage(labels.join(clouds, "node", "left").select("node", "root", F.coalesce("cloud", "node").alias("cloud")), n)
+        edges, clouds = _grown(edges, _clouds(_still_apart(nodes, marked, width, wanted, slice(first, last), entries), nodes), n)
+    return _joined(labels, _linked(clouds, labels, nodes, base, n), n)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -422,13 +423,14 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     columns are ignored, whatever their names.
     """
     base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    width = width_for(base.count())
+    n = base.count()
+    width = width_for(n)
     made = cut_lineage(_fingerprinted(base, width))
     first = lambda c: F.first(c).alias(c)  # noqa: E731  equal within a node
     nodes = made.groupBy("node").agg(F.min("id").alias("first"), first("fp"), first("places"))
     # Each row becomes some hundred, so rows are spread before; by a key of its own, see simhash.link_fingerprints.
     nodes = cut_lineage(nodes.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("node", F.lit(1))))
-    named = nodes.select("node", "first").join(groups(nodes, base, width), "node")
+    named = nodes.select("node", "first").join(groups(nodes, base, width, n), "node")
     # The smallest id of a group has the smallest of its node.
     kept = named.groupBy("root").agg(F.min("first").alias(id_col)).select(id_col).distinct()
     return docs.join(kept, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))

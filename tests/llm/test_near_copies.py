@@ -155,3 +155,23 @@ def test_workers_hold_the_words_of_few_texts(spark):
         peak = tracemalloc.get_traced_memory()[1] / 1e6
         tracemalloc.stop()
         assert rows in (3000, 1500) and peak < 25
+
+
+def test_steps_write_no_more_files_than_their_rows_take(spark, tmp_path):
+    """However many shuffle partitions there are; before, each step wrote as many files."""
+    context, parts = spark.sparkContext, {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in parts}
+    words = [f"w{i}" for i in range(40)]
+    docs = spark.createDataFrame([(i, " ".join([*words, f"last{i % 15}"])) for i in range(30)], "doc_id long, text string")
+    folder = context.getCheckpointDir()
+    try:
+        context.setCheckpointDir(str(tmp_path))
+        for k, v in parts.items():
+            spark.conf.set(k, v)
+        assert [r.doc_id for r in near_copies.keep_first(docs).collect()] == [0]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        if folder:
+            context.setCheckpointDir(folder.removeprefix("file:"))
+    assert sum(1 for _ in tmp_path.rglob("part-*")) < 200
